@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from .packing import op2_packing
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_packing": op2_packing,
 }
 
 ORACLES: dict[str, str] = {}

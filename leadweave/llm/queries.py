@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .packing import op2_packing
+from .url_filter import ORACLE as URL_ORACLE
+from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_url_filter": URL_ORACLE,
+}

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from .language import op4_language_id
 from .packing import op2_packing
+from .toxicity import op8_toxicity
 from .url_filter import ORACLE as URL_ORACLE
 from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op4_language_id": op4_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .language import op4_language_id
+from .neighbours import op6_neighbours
 from .packing import op2_packing
 from .toxicity import op8_toxicity
 from .url_filter import ORACLE as URL_ORACLE
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
+    "op6_neighbours": op6_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }

@@ -152,7 +152,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn(spare, predict(F.col(text_col))).select(*kept, F.col(f"{spare}.lang_pred"), F.col(f"{spare}.score"))
+    return docs.withColumn(spare, predict.asNondeterministic()(F.col(text_col))).select(*kept, F.col(f"{spare}.lang_pred"), F.col(f"{spare}.score"))
 
 
 _models: dict[int, Profiles] = {}

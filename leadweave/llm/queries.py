@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .language import op4_language_id
+from .lm_score import op7_lm_score
 from .near_duplicates import op5_near_duplicates
 from .neighbours import op6_neighbours
 from .packing import op2_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_neighbours": op6_neighbours,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_lm_score": op7_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }

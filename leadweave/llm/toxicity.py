@@ -276,7 +276,7 @@ def score_texts(docs: DataFrame, weights: dict[str, dict[int, float]], text_col:
 
     new = ["score", *["finds"] * finds]
     kept = [c for c in docs.columns if c not in new]
-    return docs.withColumn(spare, scored(F.col(text_col))).select(*kept, *[F.col(f"{spare}.{c}") for c in new])
+    return docs.withColumn(spare, scored.asNondeterministic()(F.col(text_col))).select(*kept, *[F.col(f"{spare}.{c}") for c in new])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .language import op4_language_id
+from .licenses import op3_licenses
 from .lm_score import op7_lm_score
 from .near_duplicates import op5_near_duplicates
 from .neighbours import op6_neighbours
 from .packing import op2_packing
+from .segmentations import op10_segmentations
 from .toxicity import op8_toxicity
 from .url_filter import ORACLE as URL_ORACLE
 from .url_filter import op9_url_filter
@@ -15,12 +17,14 @@ from .url_filter import op9_url_filter
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
     "op4_language_id": op4_language_id,
     "op6_neighbours": op6_neighbours,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_lm_score": op7_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_segmentations": op10_segmentations,
 }
 
 ORACLES: dict[str, str] = {

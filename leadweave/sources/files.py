@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -29,11 +30,35 @@ def csv_encoding(head: bytes) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header row, its encoding told from its bytes on the executors."""
+    """Company fields of a CSV file with a header row, its encoding told from its bytes on the executors.
+
+    Spark's reader takes UTF-8 and Latin-1; a file in cp1252 is parsed whole where it is scheduled.
+    """
     tell = F.udf(lambda b: csv_encoding(bytes(b)), "string")
     encoding = spark.read.format("binaryFile").load(path).select(tell("content").alias("e")).first()["e"]
+    if encoding == "cp1252":
+        return _parsed_files(spark, path, lambda content: list(csv.reader(io.StringIO(content.decode("cp1252"), newline=""))))
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    return normalise_headers(df.toDF(*[c.removeprefix("\ufeff") for c in df.columns]))
+
+
+def _parsed_files(spark: SparkSession, path: str, rows_of) -> DataFrame:
+    """Company fields from files that ``rows_of`` turns into rows of text, the first the headers."""
+    fields = list(HEADER_ALIASES)
+
+    def parse(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for content in pdf["content"]:
+                header, *rows = rows_of(bytes(content)) or [[]]
+                for row in rows:
+                    values = {re.sub(r"[^a-z0-9]", "", h.lower()): v.strip() for h, v in zip(header, row, strict=False)}
+                    out.append([next((values[a] for a in HEADER_ALIASES[f] if values.get(a)), "" if f == "company_name" else None) for f in fields])
+            yield pd.DataFrame(out, columns=fields)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, ", ".join(f"{f} string" for f in fields))
 
 
 def xlsx_rows(content: bytes) -> list[list[str]]:
@@ -64,22 +89,8 @@ def xlsx_rows(content: bytes) -> list[list[str]]:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Baseline rows of one or more workbooks (row 1 holds the headers), as company fields; each workbook is read where it is scheduled."""
-    fields = list(HEADER_ALIASES)
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for content in pdf["content"]:
-                header, *rows = xlsx_rows(bytes(content)) or [[]]
-                for row in rows:
-                    values = {re.sub(r"[^a-z0-9]", "", h.lower()): v.strip() for h, v in zip(header, row, strict=False)}
-                    out.append([next((values[a] for a in HEADER_ALIASES[f] if values.get(a)), "" if f == "company_name" else None) for f in fields])
-            yield pd.DataFrame(out, columns=fields)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, ", ".join(f"{f} string" for f in fields))
+    """Company fields of one or more workbooks (row 1 holds the headers)."""
+    return _parsed_files(spark, path, xlsx_rows)
 
 
 def catalogue(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -92,7 +103,7 @@ def catalogue(spark: SparkSession, folder: str, recursive: bool = False) -> Data
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
     """Company fields of all CSV files below a folder, then all workbooks."""
     files = [r["path"] for r in catalogue(spark, folder, recursive=True).select("path").toLocalIterator()]
-    parts = [normalise_headers(read_csv(spark, p)) for p in files if p.lower().endswith(".csv")]
+    parts = [read_csv(spark, p) for p in files if p.lower().endswith(".csv")]
     books = [p for p in files if p.lower().endswith(".xlsx")]
     parts += [read_xlsx(spark, p) for p in books]
     empty = spark.createDataFrame([], ", ".join(f"{f} string" for f in HEADER_ALIASES))

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,9 +123,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edges = np.array(sorted({c for c in cuts["cuts"] or [] if least is None or c > least}), dtype=np.int64)
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def places(ids):
-        import pandas as pd
-
+    def places(ids: pd.Series) -> pd.Series:
         null = ids.isna().to_numpy()
         known = ids.fillna(0).astype("int64").to_numpy()
         block = np.where(null, 0, np.searchsorted(edges, known, side="right"))

@@ -238,10 +238,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", "key").join(named, "key").select(F.col("doc_id").alias(id_col), "class_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each class; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, **options).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without all but one document of each class; rows without an id stay. Rows repeated with id and text count once."""
+    found = cut_lineage(near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col).isNotNull()))
+    gone = found.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = cut_lineage(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, id_col, "left_anti").select(*docs.columns)
+    again = kept.join(repeated, id_col, "left_semi").select(*docs.columns)
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

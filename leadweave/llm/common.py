@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import cut_lineage
+
+__all__ = ["U64", "Words", "byte_chunks", "cut_lineage", "mix", "odd_constants", "shingles", "table"]
+
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text that one round of array work covers; temporaries take about 30 times as much.
@@ -19,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x + U64(0x9E3779B97F4A7C15)
@@ -131,7 +124,3 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.nda
             step = np.where(left > j, step, U64(0))
         total = total * base + step
     return mix(total), starts
-
-
-def packed(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, type=pa.binary())

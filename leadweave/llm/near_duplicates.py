@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import components
 from .common import U64, Words, byte_chunks, cut_lineage, mix, odd_constants, shingles, table
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -131,33 +132,6 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) of long nodes -> (node, root): root is the least node of the connected component.
-
-    Alternates the large-star and small-star steps, whose number grows with the logarithm of the nodes. Each is a
-    grouped minimum and a join on the same key; the edges never grow in number by more than a constant factor.
-    """
-    edges = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    before = state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    rooted = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, tolerance: float = TOLERANCE) -> DataFrame:
     """(id, class_id, n_links) for each row: links lead to all rows whose text is similar enough, copies included."""
     texts = docs.select(F.col(text_col).alias("text"))

@@ -28,7 +28,7 @@ from .common import cut_lineage, table
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers (about 100 bytes each); more are encoded anew each time.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _PIECES = [("node", pa.int64()), ("bin", pa.int64()), ("full", pa.bool_()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]
 _DDL = "node long, bin long, full boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"

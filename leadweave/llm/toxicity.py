@@ -155,7 +155,7 @@ class Scorer:
         if found:
             weight, edits, term = max(found)
             out = (term, -edits, weight)
-        if len(self.seen) < 300_000:
+        if len(self.seen) < 150_000:
             self.seen[word] = out
         return out
 

@@ -192,7 +192,30 @@ def official_name(html: Column | str) -> Column:
     return F.coalesce(*[F.when(is_company_name(c), collapse(c)) for c in every])
 
 
+#: Fixed values.
+LEGAL_SUFFIXES = ("private", "limited", "ltd", "pvt", "llp")
+
+
 def matches_company_terms(text: Column, name: Column) -> Column:
-    """Whether some word of the name, longer than two signs and no legal suffix, is in the text."""
-    terms = F.filter(F.split(F.lower(collapse(name)), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) > 2) & ~t.isin("pvt", "ltd", "limited", "private", "llp", "inc", "company"))
-    return F.exists(terms, lambda t: F.contains(F.lower(text), t))
+    """Whether some word of the name, longer than two signs and no legal suffix, is in the text; a name without such words fits all."""
+    terms = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~t.isin(*LEGAL_SUFFIXES))
+    return (F.size(terms) == 0) | F.exists(terms, lambda t: F.contains(F.lower(text), t))
+
+
+def gstin_of_site(html: Column | str, pdf_texts: Column | None = None, most_pdfs: int = 3) -> Column:
+    """The number in the markup, else in the first documents linked from it."""
+    if pdf_texts is None:
+        return gstin(html)
+    numbers = F.filter(F.transform(F.slice(F.coalesce(pdf_texts, F.array().cast("array<string>")), 1, most_pdfs), lambda t: gstin(t)), lambda g: g.isNotNull())
+    return F.coalesce(gstin(html), F.try_element_at(numbers, F.lit(1)))
+
+
+def size_text(size: Column | str) -> Column:
+    """Whole kilobytes, at least 1, below a megabyte; megabytes with one decimal above."""
+    b = col(size)
+    return F.when(b < 1 << 20, F.concat(F.greatest(F.lit(1), F.ceil(b / 1024)).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.replace(F.format_number(b / (1 << 20), 1), F.lit(","), F.lit("")), F.lit(" MB")))
+
+
+def time_text(iso: Column | str) -> Column:
+    """An ISO time as day, month, year and minute."""
+    return F.date_format(F.to_timestamp(col(iso)), "d MMM yyyy, HH:mm")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.targeting import address_components
+from ..functions.extract import is_person_name, matches_company_terms, person_name
+from ..functions.targeting import address_components, designation_in_text
 from ..functions.text import collapse, first_truthy, is_falsy, last_ten_digits, strip
 
 
@@ -93,6 +94,19 @@ def enrich(companies: DataFrame, site: DataFrame, registry_by_name: DataFrame, r
     return df.select([F.when(nothing, F.col(c)).otherwise(merged[c]).alias(c) if c in merged else F.col(c) for c in companies.columns])
 
 
+def people_from_cards(cards: DataFrame, most_cards: int = 30) -> DataFrame:
+    """(name, contact_person, designation, linkedin_url) from recorded people-search cards (name, rank, text, person, href).
+
+    Of each company's first cards, the first that names the company, a target title and a person with a profile.
+    """
+    place = F.row_number().over(Window.partitionBy("name").orderBy("rank"))
+    rows = cards.withColumn("_place", place).filter(F.col("_place") <= most_cards)
+    person = F.element_at(F.split(strip("person"), "\n"), 1)
+    rows = rows.withColumn("_title", designation_in_text("text")).filter(~is_falsy("text") & matches_company_terms(F.col("text"), F.col("name")) & F.col("_title").isNotNull() & F.contains(F.col("href"), F.lit("/in/")) & is_person_name(person))
+    row = F.struct(person_name(person).alias("contact_person"), F.col("_title").alias("designation"), F.substring_index("href", "?", 1).alias("linkedin_url"))
+    return rows.groupBy("name").agg(F.min_by(row, "_place").alias("_r")).select("name", "_r.*")
+
+
 COVERED = ("email", "address", "contact_person", "phone_alt", "gst", "turnover", "city", "region")
 
 

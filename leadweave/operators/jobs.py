@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import JOB_EVENT
+
 FINAL = ("completed", "failed")
 
 
+def new_job_id() -> str:
+    return uuid.uuid4().hex
+
+
+def log_event(spark: SparkSession, path: str, number: int, job_id: str, step: str, status: str, message: str = "") -> None:
+    """Append one event; the log is never rewritten. ``number`` orders a job's events."""
+    row = (number, job_id, datetime.now(UTC).isoformat(), step, status, message)
+    spark.createDataFrame([row], JOB_EVENT).write.mode("append").parquet(path)
+
+
 def state_of_event(status: str = "status") -> Column:
     """An event's effect on its job: progress of any kind means running."""
     s = F.col(status)

@@ -420,6 +420,24 @@ def company_term_match(spark, d):
     return companies(spark, d).filter(X.matches_company_terms(card, F.lit("Acme Pumps Private Ltd"))).select("seq")
 
 
+@query("people_from_cards", "SELECT 'Company ' || n AS name, 'Asha Rao' AS contact_person, 'Plant Head' AS designation, 'https://linkedin.com/in/asha' || m AS linkedin_url FROM (SELECT page_id % 9 AS n, min(page_id) AS m FROM pages WHERE page_id % 2 = 0 GROUP BY page_id % 9)")
+def people_from_cards(spark, d):
+    even = F.col("page_id") % 2 == 0
+    cards = table(spark, d, "pages").select(F.concat(F.lit("Company "), F.col("page_id") % 9).alias("name"), F.col("page_id").alias("rank"), F.when(even, "Plant Head at a COMPANY").otherwise("Visitor at a company").alias("text"), F.lit("asha RAO\nview").alias("person"), F.concat(F.lit("https://linkedin.com/in/asha"), "page_id", F.lit("?x=1")).alias("href"))
+    return enrich.people_from_cards(cards)
+
+
+@query("gstin_of_site", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '29ABCDE1234F1ZW' END AS gst FROM pages")
+def gstin_of_site(spark, d):
+    pdfs = F.array(F.lit("none"), F.when(F.col("page_id") % 2 == 0, "GSTIN: 29abcde1234f1zw"), F.lit(""), F.lit("33ABCDE1234F1Z7"))
+    return table(spark, d, "pages").select("page_id", X.gstin_of_site(F.col("html"), pdfs).alias("gst"))
+
+
+@query("size_and_time_text", "SELECT o_orderkey, CASE WHEN o_orderkey * 100 < 1048576 THEN greatest(1, CAST(ceil(o_orderkey * 100 / 1024.0) AS BIGINT)) || ' KB' ELSE printf('%.1f', o_orderkey * 100 / 1048576.0) || ' MB' END AS size, '3 Feb 2024, 04:05' AS time FROM orders")
+def size_and_time_text(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.size_text(F.col("o_orderkey") * 100).alias("size"), X.time_text(F.lit("2024-02-03T04:05:06")).alias("time"))
+
+
 @query("profile_url", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://linkedin.com/in/p' || page_id END AS profile FROM pages")
 def profile_url(spark, d):
     hrefs = F.array(F.lit("https://linkedin.com/company/x"), F.concat(F.when(F.col("page_id") % 2 == 0, "https://linkedin.com/in/p").otherwise("https://other.example/in/p"), "page_id"))

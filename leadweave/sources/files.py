@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import re
+import tempfile
 import zipfile
 from functools import reduce
+from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +118,36 @@ def is_plain_file_name(name: str) -> bool:
     return name == name.replace("\\", "/").rsplit("/", 1)[-1] and name.lower().endswith((".csv", ".xlsx")) and not name.startswith(".")
 
 
+MAX_UPLOAD_BYTES = 25 << 20
+
+
+def store_upload(folder: str, name: str, content: bytes) -> str:
+    """Put a baseline file into a folder: whole or not at all, never over another."""
+    if not is_plain_file_name(name):
+        raise ValueError("a .csv or .xlsx file with a simple name is needed")
+    if len(content) > MAX_UPLOAD_BYTES:
+        raise ValueError("a file may have 25 MB")
+    target = Path(folder, name)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    if target.exists():
+        raise FileExistsError(name)
+    with tempfile.NamedTemporaryFile(dir=folder, prefix=".", delete=False) as part:
+        part.write(content)
+    os.replace(part.name, target)
+    return str(target)
+
+
+def remove_upload(folder: str, name: str) -> None:
+    if not is_plain_file_name(name):
+        raise ValueError("a .csv or .xlsx file with a simple name is needed")
+    Path(folder, name).unlink()
+
+
+def read_prompt(folder: str, name: str) -> str:
+    """The text of a prompt, kept as a Markdown file."""
+    return Path(folder, f"{name}.md").read_text(encoding="utf-8")
+
+
 def xlsx_bytes(headers: list[str], rows: list[list[str]], sheet: str = "Leads") -> bytes:
     """A small workbook: bold frozen header row with a filter, text cells."""
     from xml.sax.saxutils import escape

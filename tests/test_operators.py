@@ -155,3 +155,40 @@ def test_remote_jobs():
     assert U.poll(lambda: next(answers), completion_text, sleep=waits.append, clock=lambda: 0.0) == "Done" and waits == [1.0, 2.0]
     with pytest.raises(U.JobFailed, match="broken"):
         U.poll(lambda: {"status": "FAILED", "error": "broken"}, completion_text)
+
+
+def test_uploads(tmp_path):
+    folder = str(tmp_path / "in")
+    files.store_upload(folder, "a.csv", b"x")
+    with pytest.raises(FileExistsError):
+        files.store_upload(folder, "a.csv", b"y")
+    with pytest.raises(ValueError):
+        files.store_upload(folder, "../a.csv", b"y")
+    with pytest.raises(ValueError):
+        files.store_upload(folder, "b.csv", bytes(files.MAX_UPLOAD_BYTES + 1))
+    files.remove_upload(folder, "a.csv")
+    assert not list((tmp_path / "in").iterdir())
+
+
+def test_job_log(spark, tmp_path):
+    from leadweave.operators import jobs
+
+    job = jobs.new_job_id()
+    for i, (step, status) in enumerate([("", "queued"), ("search", "running"), ("search", "step failed"), ("search", "failed")]):
+        jobs.log_event(spark, f"{tmp_path}/log", i, job, step, status)
+    events = spark.read.parquet(f"{tmp_path}/log")
+    assert jobs.latest_states(events).first()["status"] == "failed" and len(job) == 32
+    assert [r["id"] for r in jobs.events_of(events, job).collect()] == [0, 1, 2, 3]
+
+
+def test_settings_and_pace():
+    from leadweave.plans.settings import Settings, throttled
+
+    assert Settings.from_env({"LEADWEAVE_POLL_ATTEMPTS": "3", "LEADWEAVE_LOOKUP_PEOPLE": "TRUE"}) == Settings(poll_attempts=3, lookup_people=True)
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    assert list(throttled("abc", 0.5, sleep, lambda: now[0])) == ["a", "b", "c"] and waits == [0.5, 0.5]

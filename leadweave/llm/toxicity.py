@@ -30,7 +30,7 @@ from .language import fold_of
 FIT_ROWS = 40_000
 MAX_TERMS = 5_000
 #: Share of the toxic texts that a term must be in, the least number of them, and the most of a term's texts that may be clean.
-SUPPORT, LEAST, IMPURE = 0.005, 8, 0.01
+SUPPORT, LEAST, IMPURE = 0.01, 8, 0.01
 #: Lengths of the beginnings that may become stems; a word is looked for misspelled if it is in so many of the toxic texts.
 STEMS, SPELLED = (4, 5, 6, 7), 0.02
 #: Taken for misspelled terms before any is seen in labelled texts, by distance, with this many texts' weight.

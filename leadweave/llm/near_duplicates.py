@@ -227,3 +227,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+', 0) AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN ['#' || t] ELSE list_transform(range(0, greatest(len(l) - 4, 1)), lambda i: array_to_string(l[i + 1:i + 5], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r(u, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.u)
+SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.u = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.u = d.doc_id) AS n_links FROM documents d"""

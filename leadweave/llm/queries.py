@@ -6,6 +6,7 @@ from .fingerprints import op1_fingerprints
 from .language import op4_language_id
 from .licenses import op3_licenses
 from .lm_score import op7_lm_score
+from .near_duplicates import ORACLE as NEAR_DUPLICATES_ORACLE
 from .near_duplicates import op5_near_duplicates
 from .neighbours import op6_neighbours
 from .packing import op2_packing
@@ -28,5 +29,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_near_duplicates": NEAR_DUPLICATES_ORACLE,
     "op9_url_filter": URL_ORACLE,
 }

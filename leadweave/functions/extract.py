@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, collapse, host, is_falsy, split_lines, strip
+from .text import col, collapse, host, is_falsy, let, split_lines, strip
 
 #: Patterns and words that decide what counts as a find.
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -86,11 +86,18 @@ def is_address_like(line: Column) -> Column:
 
 def address_block(text: Column | str) -> Column:
     """The first address-like line with a PIN code, after those of the two lines before it that are address-like."""
-    lines = split_lines(text)
-    hits = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(PIN_CODE) & is_address_like(F.element_at(lines, i)))
-    at = F.try_element_at(F.when(F.size(lines) > 0, hits), F.lit(1))
-    before = F.filter(F.slice(lines, F.greatest(at - 2, F.lit(1)), F.least(at - 1, F.lit(2))), is_address_like)
-    return F.when(at.isNotNull(), F.array_join(F.concat(before, F.array(F.element_at(lines, at))), ", "))
+    def block(lines: Column) -> Column:
+        def fits(i: Column) -> Column:
+            return let(F.element_at(lines, i), lambda line: line.rlike(PIN_CODE) & is_address_like(line))
+
+        def joined(at: Column) -> Column:
+            before = F.filter(F.slice(lines, F.greatest(at - 2, F.lit(1)), F.least(at - 1, F.lit(2))), is_address_like)
+            return F.when(at.isNotNull(), F.array_join(F.concat(before, F.array(F.element_at(lines, at))), ", "))
+
+        hits = F.filter(F.sequence(F.lit(1), F.size(lines)), fits)
+        return let(F.try_element_at(F.when(F.size(lines) > 0, hits), F.lit(1)), joined)
+
+    return let(split_lines(text), block)
 
 
 def slab_label(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import BROAD_INDUSTRY, CITY_ALIASES, DESIGNATIONS, INDUSTRIES, STATES, TURNOVER_BANDS
-from .text import col, collapse, contains_word, first_match, is_falsy, plain_signs, strip
+from .text import col, collapse, contains_word, first_match, is_falsy, let, plain_signs, strip
 
 NUMBER = r"\d+(?:[,.]\d+)?"
 
@@ -32,21 +32,20 @@ def industry_queries(c: Column | str) -> Column:
 
 def designation_function(c: Column | str) -> Column:
     """The function of the first title that stands in the text as words."""
-    text = F.lower(col(c))
-    return first_match([(contains_word(text, t.split("(")[0].strip().lower()), function) for function, own in DESIGNATIONS for t in own])
+    every = [(t.split("(")[0].strip().lower(), function) for function, own in DESIGNATIONS for t in own]
+    return let(F.lower(col(c)), lambda text: first_match([(contains_word(text, t), function) for t, function in every]))
 
 
 def designation_exact(c: Column | str) -> Column:
     """The title that the text is, but for case, spacing and a leading label."""
-    text = F.regexp_replace(F.lower(collapse(c)), r"^(designation|title|role)\s*[:\-]\s*", "")
-    return F.when(F.length(text) <= 80, first_match([(text == t.lower(), t) for _, own in DESIGNATIONS for t in own]))
+    plain = F.regexp_replace(F.lower(collapse(c)), r"^(designation|title|role)\s*[:\-]\s*", "")
+    return let(plain, lambda text: F.when(F.length(text) <= 80, first_match([(text == t.lower(), t) for _, own in DESIGNATIONS for t in own])))
 
 
 def designation_in_text(c: Column | str) -> Column:
     """The longest title that stands in the text."""
-    text = F.lower(F.regexp_replace(col(c), r"(?U)\s+", " "))
     every = sorted((t for _, own in DESIGNATIONS for t in own), key=len, reverse=True)
-    return first_match([(contains_word(text, t.lower()), t) for t in every])
+    return let(F.lower(F.regexp_replace(col(c), r"(?U)\s+", " ")), lambda text: first_match([(contains_word(text, t.lower()), t) for t in every]))
 
 
 def _numbers(c: Column) -> Column:

@@ -42,9 +42,14 @@ def plain_signs(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(col(c)), "[^a-z0-9]", "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: CASE branches and lambdas would otherwise each compute it anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_word(text: Column, phrase: str) -> Column:
-    """Whether the phrase stands between word boundaries."""
-    return text.rlike(r"(?U)\b" + re.escape(phrase) + r"\b")
+    """Whether the phrase stands between word boundaries; the regular expression runs only where the phrase occurs at all."""
+    return F.contains(text, F.lit(phrase)) & text.rlike(r"(?U)\b" + re.escape(phrase) + r"\b")
 
 
 def first_match(pairs: list[tuple[Column, str]]) -> Column:

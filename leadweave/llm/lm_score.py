@@ -2,9 +2,10 @@
 
 All training texts are counted: tokens exactly, runs of several tokens (n-grams) by a hash. A count c is quantised to level
 1 + floor(log_b c), and the filter holds a key (n-gram, 1), ..., (n-gram, level). Probing levels until one is missing gives
-the level back, never too low, seldom too high. The filter is built in segments by hash, in parallel, and broadcast; its
-size has a fixed upper bound, beyond which it gets denser (more false positives), not larger. N-grams seen once are left
-out, as a smoothed model gives them next to nothing.
+the level back, never too low, seldom too high. The filter has ``BITS_PER_KEY`` bits for every key, so it grows with the
+corpus, and is built in segments by hash, in parallel. One of up to ``BROADCAST_BYTES`` is broadcast. The segments of a
+larger one stay where they are: each run of documents sends its distinct n-grams to them and gets the levels back, so that
+a task holds one segment or one run. N-grams seen once are left out, as a smoothed model gives them next to nothing.
 
 Probabilities are smoothed by interpolation (Jelinek-Mercer): p(w | h) = a c(hw) / c(h) + (1 - a) p(w | h'), h' being h
 without its first token, all counts from repeated probes; below stands p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The weight a
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ BASE, LEAST = 2**0.5, 2
 #: Training texts that the interpolation weights are fitted on, and rounds of the fit.
 FIT_ROWS, FIT_ROUNDS = 1000, 25
 LEVELS = 130
-BITS_PER_KEY, PROBES, MAX_FILTER_BYTES = 10, 5, 64 << 20
+BITS_PER_KEY, PROBES = 10, 5
+#: The largest filter that is broadcast, and bytes of text whose n-grams are sent to the segments of a larger one at once.
+BROADCAST_BYTES, RUN_BYTES = 64 << 20, 4 << 20
 HEAD_TOKENS = 400_000
 #: Bits of an n-gram's hash that are kept below those of its slice.
 REST = 40
@@ -107,12 +111,15 @@ class Filter:
     def level(self, order: int, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by probing one level after the other."""
         part = (hashes >> U64(64 - self.slice_bits)).astype(np.int64) if self.slice_bits else np.zeros(len(hashes), np.int64)
-        keys = shortened(hashes, self.slice_bits, order)
-        out = np.zeros(len(hashes), dtype=np.int64)
-        alive = np.flatnonzero((self.bits[order][part] > 0) & (hashes != 0))
-        level = 0
-        while len(alive):
-            level += 1
+        return np.where(hashes != 0, self.find(order, part, shortened(hashes, self.slice_bits, order)), 0)
+
+    def find(self, order: int, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The level of each key of a segment, ``LEVELS`` at most."""
+        out = np.zeros(len(keys), dtype=np.int64)
+        alive = np.flatnonzero(self.bits[order][part] > 0)
+        for level in range(1, LEVELS + 1):
+            if not len(alive):
+                break
             first, bits = self.first[order][part[alive]], self.bits[order][part[alive]]
             there = np.ones(len(alive), dtype=bool)
             for place in self.places(keys[alive], level, bits):
@@ -212,25 +219,121 @@ def corpus_counts(texts: DataFrame, order: int, slice_bits: int) -> DataFrame:
     return texts.mapInArrow(count, _COUNTS).groupBy("n", "slice").applyInArrow(total, "n int, slice int, keys binary, counts binary, tokens long, distinct long, levels long")
 
 
-def build_filter(counts: DataFrame, order: int, slice_bits: int, max_bytes: int = MAX_FILTER_BYTES) -> Filter:
-    """The driver gathers at most ``max_bytes`` of segments."""
-    keys = counts.agg(F.sum("levels")).first()[0] or 0
-    bits = min(BITS_PER_KEY, 8.0 * max_bytes / max(keys, 1))
+def segment_bytes(levels_in_all) -> int:
+    return max(8, int(levels_in_all * BITS_PER_KEY / 8))
+
+
+def filter_segments(counts: DataFrame) -> DataFrame:
+    """(n, slice, body): each slice's bits, as many for a key at any size of the corpus."""
 
     def segment(batches):
         for batch in batches:
             for n, part, body, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 hashes, times = _unpack(body, n, part), np.frombuffer(raw, dtype="<i8")
                 q = levels(times, 1 if n == 1 else LEAST)
-                size = max(8, int(q.sum() * bits / 8))
+                size = segment_bytes(q.sum())
                 marks = np.zeros(size * 8, dtype=np.uint8)
                 for level in range(1, int(q.max(initial=0)) + 1):
                     for place in Filter.places(hashes[q >= level], level, size * 8):
                         marks[place] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([part], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], names=["n", "slice", "body"])
 
-    parts = counts.select("n", "slice", "keys", "counts").mapInArrow(segment, "n int, slice int, body binary")
-    return Filter(slice_bits, {(r["n"], r["slice"]): bytes(r["body"]) for r in parts.toLocalIterator()}, order)
+    return counts.select("n", "slice", "keys", "counts").mapInArrow(segment, "n int, slice int, body binary")
+
+
+def build_filter(segments: DataFrame, order: int, slice_bits: int) -> Filter:
+    """The whole filter on the driver."""
+    return Filter(slice_bits, {(r["n"], r["slice"]): bytes(r["body"]) for r in segments.toLocalIterator()}, order)
+
+
+def _runs(batches, names: list[str]):
+    """Batches sorted by the columns, regrouped: a table for each run of rows equal in them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b == a:
+                continue
+            if held and tuple(keys[:, a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[:, a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _run_grams(texts: pa.Array, words: Words, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """tokens, starts and n-grams of a run of texts."""
+    tokens, starts, grams = [], [np.zeros(1, dtype=np.int64)], [[] for _ in range(order)]
+    for _, some, first in token_hashes(texts, words):
+        tokens.append(some)
+        starts.append(first[1:] + starts[-1][-1])
+        for parts, hashes in zip(grams, ngrams(some, first, order), strict=True):
+            parts.append(hashes)
+    return np.concatenate(tokens), np.concatenate(starts), [np.concatenate(parts) for parts in grams]
+
+
+def sharded(rows: DataFrame, segments: DataFrame, order: int, slice_bits: int, code, kinds: str) -> DataFrame:
+    """``code`` over runs of documents, given the levels that their n-grams have in segments that are not broadcast."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // RUN_BYTES + 1)))
+
+    def ask(batches):
+        words = Words(separators=SPACES)
+        for table in _runs(batches, ["run"]):
+            run = table.column("run")[0].as_py()
+            _, _, grams = _run_grams(table.column("text").combine_chunks(), words, order)
+            for n, hashes in enumerate(grams, 1):
+                keys = shortened(np.unique(hashes[hashes != 0]), slice_bits, n)
+                keys = np.unique(keys)
+                part = keys >> U64(64 - slice_bits if n == 1 else REST) if slice_bits else np.zeros(len(keys), U64)
+                cuts = np.searchsorted(part, np.arange((1 << slice_bits) + 1, dtype=U64))
+                found = [(run, n, s, _pack(keys[a:b], n)) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["run", "n", "slice", "body"])
+
+    def answer(batches):
+        key = bloom = None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                run, n, part, body = (batch.column(c)[i].as_py() for c in ("run", "n", "slice", "body"))
+                if run < 0:
+                    key, bloom = (n, part), Filter(slice_bits, {(n, part): body}, order)
+                    continue
+                keys = _unpack(body, n, part)
+                level = bloom.find(n, np.full(len(keys), part), keys) if key == (n, part) else np.zeros(len(keys))
+                out.append((run, n, part, level.astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["run", "n", "slice", "body"])
+
+    def meet(batches):
+        words = Words(separators=SPACES)
+        for table in _runs(batches, ["run"]):
+            asked = table.filter(pa.compute.greater(table.column("n"), 0))
+            docs = table.filter(pa.compute.equal(table.column("n"), 0))
+            tokens, starts, grams = _run_grams(docs.column("text").combine_chunks(), words, order)
+            found = []
+            for n, hashes in enumerate(grams, 1):
+                bodies = asked.filter(pa.compute.equal(asked.column("n"), n)).column("body").to_pylist()
+                there = hashes != 0
+                keys, where = np.unique(shortened(hashes[there], slice_bits, n), return_inverse=True)
+                got = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+                if len(got) != len(keys):
+                    raise ValueError(f"{len(got)} levels for {len(keys)} n-grams")
+                level = np.zeros(len(hashes), dtype=np.uint8)
+                level[there] = got[where]
+                found.append(level)
+            yield code(docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), [(tokens, starts, found)])
+
+    shape = "run long, n int, slice int, body binary"
+    probes = runs.select("run", "text").repartition("run").sortWithinPartitions("run").mapInArrow(ask, shape)
+    met = segments.select(F.lit(-1).cast("long").alias("run"), "n", "slice", "body").unionByName(probes).repartition("n", "slice").sortWithinPartitions("n", "slice", "run").mapInArrow(answer, shape)
+    docs = runs.select("run", F.lit(0).alias("n"), F.lit(0).alias("slice"), "doc_id", "held_out", "text")
+    both = met.unionByName(docs, allowMissingColumns=True).repartition("run").sortWithinPartitions("run", "n", "slice")
+    return both.mapInArrow(meet, kinds)
 
 
 def head_and_tail(counts: DataFrame, slice_bits: int, head_tokens: int = HEAD_TOKENS) -> tuple[np.ndarray, np.ndarray, DataFrame]:
@@ -256,56 +359,59 @@ def head_and_tail(counts: DataFrame, slice_bits: int, head_tokens: int = HEAD_TO
 
 
 class Model:
-    """Smoothed log10 probabilities of tokens from the filter's counts."""
+    """Smoothed log10 probabilities of tokens from the levels of their n-grams."""
 
-    def __init__(self, bloom: Filter, order: int, whole: float, weights: np.ndarray | None = None):
-        self.bloom, self.order, self.whole = bloom, order, whole
+    def __init__(self, order: int, whole: float, weights: np.ndarray | None = None):
+        self.order, self.whole = order, whole
         self.sizes = [level_counts(1)] + [level_counts(LEAST)] * (order - 1)
         #: For each order from 2 on and each level of the context.
         self.weights = np.zeros((order - 1, LEVELS + 1)) if weights is None else weights
 
-    def counted(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each order, the n-gram's count at each token, and the level of its context (0: none)."""
-        grams = ngrams(tokens, starts, self.order)
-        counts, level = [], []
-        for n, hashes in enumerate(grams, 1):
-            kinds, where = np.unique(hashes, return_inverse=True)
-            level.append(np.minimum(self.bloom.level(n, kinds), LEVELS)[where])
-            counts.append(self.sizes[n - 1][level[-1]])
-        contexts = [np.zeros(len(tokens), np.int64)]
+    def cases(self, body: bytes, lengths: np.ndarray) -> np.ndarray:
+        """A number for each token from the levels of its n-grams and of their contexts (0: none); all it takes to score it."""
+        level = np.frombuffer(body, dtype=np.uint8).reshape(-1, self.order).astype(np.int64)
+        place = np.arange(len(level)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out = np.zeros(len(level), dtype=np.int64)
         for n in range(1, self.order):
-            context = np.concatenate([[0], level[n - 1][:-1]])
-            contexts.append(np.where(grams[n] == 0, 0, context))
-        return counts, contexts
+            out[1:] = out[1:] * (LEVELS + 1) + np.where(place[1:] >= n, level[:-1, n - 1], 0)
+        for n in range(self.order):
+            out = out * (LEVELS + 1) + level[:, n]
+        return out
 
-    def log_probabilities(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        counts, contexts = self.counted(tokens, starts)
+    def counted(self, cases: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each order, the n-gram's count, and the level of its context."""
+        digits = []
+        for _ in range(2 * self.order - 1):
+            digits.append(cases % (LEVELS + 1))
+            cases = cases // (LEVELS + 1)
+        digits.reverse()
+        contexts, level = [np.zeros(len(cases), np.int64), *digits[: self.order - 1]], digits[self.order - 1 :]
+        return [size[at] for size, at in zip(self.sizes, level, strict=True)], contexts
+
+    def log_probabilities(self, cases: np.ndarray) -> np.ndarray:
+        counts, contexts = self.counted(cases)
         p = (counts[0] + 0.5) / self.whole
         for n in range(1, self.order):
             a = self.weights[n - 1][contexts[n]]
             p = a * np.minimum(1.0, counts[n] / np.maximum(self.sizes[n - 1][contexts[n]], 1.0)) + (1 - a) * p
         return np.log10(p)
 
-    def fit(self, texts: list[str]) -> np.ndarray:
-        words = Words(separators=SPACES)
+    def fit(self, cases: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expectation maximisation over each case as often as it occurs."""
         self.weights = np.zeros((self.order - 1, LEVELS + 1))
-        seen = [self.counted(tokens, starts) for _, tokens, starts in token_hashes(pa.array(texts, pa.large_string()), words)]
-        if not seen:
-            return self.weights
-        counts = [np.concatenate([c[n] for c, _ in seen]) for n in range(self.order)]
-        contexts = [np.concatenate([c[n] for _, c in seen]) for n in range(self.order)]
+        counts, contexts = self.counted(cases)
         lower = (np.maximum(counts[0] - 1, 0) + 0.5) / self.whole
         for n in range(1, self.order):
             at = contexts[n]
             without = np.where(counts[n] > LEAST, counts[n] - 1, 0.0)
             share = np.minimum(1.0, without / np.maximum(self.sizes[n - 1][at] - 1, 1.0))
             a = np.where(np.arange(LEVELS + 1) > 0, 0.1, 0.0)
-            rows = np.bincount(at, minlength=LEVELS + 1)
+            rows = np.bincount(at, weights=times, minlength=LEVELS + 1)
             for _ in range(FIT_ROUNDS):
                 own = a[at] * share
                 part = own / (own + (1 - a[at]) * lower)
                 # two tokens' worth of doubt, so that a level seen once is not trusted
-                a = np.where(rows > 0, np.bincount(at, weights=part, minlength=LEVELS + 1) / (rows + 2.0), 0.0)
+                a = np.where(rows > 0, np.bincount(at, weights=part * times, minlength=LEVELS + 1) / (rows + 2.0), 0.0)
                 a[0] = 0.0
             self.weights[n - 1] = a
             lower = a[at] * share + (1 - a[at]) * lower
@@ -321,40 +427,72 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     facts = counts.filter("n = 1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n_all, v_all = facts["n"] or 0, facts["v"] or 0
     whole = n_all + 0.5 * (v_all + 1)
-    model = Model(build_filter(counts, order, slice_bits), order, whole)
-    sample = rows.filter("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    model.fit([r["text"] or "" for r in sample.select("text").toLocalIterator()])
-    shared = spark.sparkContext.broadcast(model)
     head, times, tail = head_and_tail(counts, slice_bits)
     known = spark.sparkContext.broadcast((head, times))
 
-    def score(batches):
-        words, model = Words(separators=SPACES), shared.value
+    def code(ids, held_out, parts) -> pa.RecordBatch:
+        """Each document's sums over its frequent tokens, its other tokens, and the levels of its n-grams, a byte each."""
         head, times = known.value
         logs = np.log10(times + 0.5)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for _, tokens, starts in token_hashes(batch.column(2), words):
-                at = np.minimum(np.searchsorted(head, tokens), max(len(head) - 1, 0))
-                common = head[at] == tokens if len(head) else np.zeros(len(tokens), dtype=bool)
-                base = np.zeros(len(tokens))
-                base[common] = logs[at[common]]
-                rare = np.concatenate([[0], np.cumsum(~common)])[starts]
-                out[0].append(np.diff(starts))
-                out[1].append(np.diff(starts) - np.diff(rare))
-                out[2].append(np.add.reduceat(base, starts[:-1]))
-                out[3].append(np.add.reduceat(model.log_probabilities(tokens, starts), starts[:-1]))
-                out[4] += np.split(tokens[~common].view(np.int64), rare[1:-1])
-            joined = [np.concatenate(c) if c else np.zeros(0) for c in out[:4]]
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in out[4]])]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(float)), pa.array(joined[3].astype(float)), rest], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+        out: list[list] = [[] for _ in range(3)]
+        others, ends, levels_ = [], [np.zeros(1, np.int64)], []
+        for tokens, starts, found in parts:
+            at = np.minimum(np.searchsorted(head, tokens), max(len(head) - 1, 0))
+            common = head[at] == tokens if len(head) else np.zeros(len(tokens), dtype=bool)
+            base = np.zeros(len(tokens))
+            base[common] = logs[at[common]]
+            rare = np.concatenate([[0], np.cumsum(~common)])[starts]
+            out[0].append(np.diff(starts))
+            out[1].append(np.diff(starts) - np.diff(rare))
+            out[2].append(np.add.reduceat(base, starts[:-1]))
+            others.append(tokens[~common].view(np.int64))
+            ends.append(rare[1:] + ends[-1][-1])
+            levels_.append(np.stack([level.astype(np.uint8) for level in found], axis=1))
+        joined = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        rest = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(others) if others else np.zeros(0, np.int64), pa.int64()))
+        bounds = np.concatenate([[0], np.cumsum(joined[0])]).astype(np.int32) * order
+        body = np.concatenate(levels_).tobytes() if levels_ else b""
+        packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(body)])
+        return pa.RecordBatch.from_arrays([ids, held_out, pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(float)), rest, packed], names=["doc_id", "held_out", "n_tokens", "known", "base", "rare", "levels"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = cut_lineage(rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times"))
+    kinds = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, levels binary"
+    segments = filter_segments(counts)
+    sizes = counts.select("levels").toPandas()["levels"]
+    if sum(segment_bytes(q) for q in sizes) <= BROADCAST_BYTES:
+        bloom = spark.sparkContext.broadcast(build_filter(segments, order, slice_bits))
+
+        def probe(batches):
+            words = Words(separators=SPACES)
+            for batch in batches:
+                parts = []
+                for _, tokens, starts in token_hashes(batch.column(2), words):
+                    found = []
+                    for n, hashes in enumerate(ngrams(tokens, starts, order), 1):
+                        keys, where = np.unique(hashes, return_inverse=True)
+                        found.append(bloom.value.level(n, keys)[where].astype(np.uint8))
+                    parts.append((tokens, starts, found))
+                yield code(batch.column(0), batch.column(1), parts)
+
+        coded = rows.mapInArrow(probe, kinds)
+    else:
+        coded = sharded(rows, segments, order, slice_bits, code, kinds)
+    coded = cut_lineage(coded.withColumn("row", F.monotonically_increasing_id()))
+    model = Model(order, whole)
+    sample = coded.filter("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("n_tokens", "levels").toPandas()
+    model.fit(*np.unique(model.cases(b"".join(sample["levels"]), sample["n_tokens"].to_numpy(dtype=np.int64)), return_counts=True))
+
+    def score(batches):
+        for batch in batches:
+            lengths = batch.column(1).to_numpy()
+            each = model.log_probabilities(model.cases(b"".join(batch.column(2).to_pylist()), lengths))
+            sums = np.add.reduceat(each, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4, 5, 6)), pa.array(sums)], names=["row", "n_tokens", "doc_id", "held_out", "known", "base", "score"])
+
+    rare = coded.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times"))
     met = rare.join(tail, "token").groupBy("row").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log10(F.col("count") + 0.5)).alias("met_base"))
-    out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(met, "row", "left")
+    scored = coded.select("row", "n_tokens", "levels", "doc_id", "held_out", "known", "base").mapInArrow(score, f"row long, n_tokens long, doc_id {kind}, held_out boolean, known long, base double, score double")
+    out = scored.join(met, "row", "left")
     met_n = F.coalesce("met", F.lit(0))
     unknown = F.col("n_tokens") - F.col("known") - met_n
     base = F.col("base") + F.coalesce("met_base", F.lit(0.0)) + unknown * F.lit(float(np.log10(0.5))) - F.col("n_tokens") * F.lit(float(np.log10(whole)))

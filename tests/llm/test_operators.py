@@ -274,6 +274,17 @@ def test_filter_never_loses_a_level():
     assert (found >= q).all() and (found == q).mean() > 0.95
 
 
+def test_lm_filter_is_not_capped(spark, monkeypatch):
+    keys = np.random.default_rng(2).integers(1, 2**63, 200).astype(np.uint64)
+    assert LM.segment_bytes(10**9) * 8 == LM.BITS_PER_KEY * 10**9
+    assert LM.Filter(0, {(1, 0): b"\xff" * 8}, 1).level(1, keys).max() == LM.LEVELS
+    docs = documents(spark, [*make_texts(200, 4), "", None, "A b"] * 2).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    whole = sorted(map(str, LM.score_documents(docs, LM.fold_of("doc_id", 5) != 1).collect()))
+    monkeypatch.setattr(LM, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(LM, "RUN_BYTES", 3000)
+    assert sorted(map(str, LM.score_documents(docs, LM.fold_of("doc_id", 5) != 1).collect())) == whole
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

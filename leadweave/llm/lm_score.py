@@ -9,8 +9,9 @@ a task holds one segment or one run. N-grams seen once are left out, as a smooth
 
 Probabilities are smoothed by interpolation (Jelinek-Mercer): p(w | h) = a c(hw) / c(h) + (1 - a) p(w | h'), h' being h
 without its first token, all counts from repeated probes; below stands p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The weight a
-depends on the order and the level of c(h); the weights are fitted by expectation maximisation on ``FIT_ROWS`` training
-texts (those with the smallest hash of the id), each token with its own occurrence taken off all counts.
+depends on the order and the level of c(h); the weights are fitted by expectation maximisation on all training texts, each
+token with its own occurrence taken off all counts. Levels are few, so the tokens are counted by the levels that decide
+their probability, and the driver fits on these counts, which do not grow with the number of texts.
 
 The base score needs each token's exact count. The most frequent tokens, a bounded number, are broadcast; all others meet
 their counts in a shuffle, already summed by document. Tokens are told apart by a 64-bit hash.
@@ -36,8 +37,8 @@ END = U64(0xE7D0E7D0E7D0E7D1)
 ORDER = 2
 #: Ratio of neighbouring quantised counts, least count of an n-gram of several tokens.
 BASE, LEAST = 2**0.5, 2
-#: Training texts that the interpolation weights are fitted on, and rounds of the fit.
-FIT_ROWS, FIT_ROUNDS = 1000, 25
+#: Rounds of the fit.
+FIT_ROUNDS = 25
 LEVELS = 130
 BITS_PER_KEY, PROBES = 10, 5
 #: The largest filter that is broadcast, and bytes of text whose n-grams are sent to the segments of a larger one at once.
@@ -418,6 +419,22 @@ class Model:
         return self.weights
 
 
+def training_cases(coded: DataFrame, model: Model):
+    """How often each case occurs in the documents."""
+
+    def count(batches):
+        held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            cases = model.cases(b"".join(batch.column(1).to_pylist()), batch.column(0).to_numpy())
+            for parts, found in zip(held, np.unique(cases, return_counts=True), strict=True):
+                parts.append(found)
+            cases, where = np.unique(np.concatenate(held[0]), return_inverse=True)
+            held = [cases], [np.bincount(where, weights=np.concatenate(held[1]), minlength=len(cases)).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)) for parts in held], names=["case", "times"])
+
+    return coded.select("n_tokens", "levels").mapInArrow(count, "case long, times long").groupBy("case").agg(F.sum("times").alias("times")).orderBy("case").toPandas()
+
+
 def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``train`` is the condition that marks what is learned from."""
     spark = docs.sparkSession
@@ -479,8 +496,8 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
         coded = sharded(rows, segments, order, slice_bits, code, kinds)
     coded = cut_lineage(coded.withColumn("row", F.monotonically_increasing_id()))
     model = Model(order, whole)
-    sample = coded.filter("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("n_tokens", "levels").toPandas()
-    model.fit(*np.unique(model.cases(b"".join(sample["levels"]), sample["n_tokens"].to_numpy(dtype=np.int64)), return_counts=True))
+    seen = training_cases(coded.filter("NOT held_out"), model)
+    model.fit(seen["case"].to_numpy(dtype=np.int64), seen["times"].to_numpy(dtype=np.int64))
 
     def score(batches):
         for batch in batches:

@@ -285,6 +285,14 @@ def test_lm_filter_is_not_capped(spark, monkeypatch):
     assert sorted(map(str, LM.score_documents(docs, LM.fold_of("doc_id", 5) != 1).collect())) == whole
 
 
+def test_lm_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    texts, fitted = make_texts(1300, 15, words=(3, 9)), []
+    fit = LM.Model.fit
+    monkeypatch.setattr(LM.Model, "fit", lambda model, cases, times: (fitted.append(int(times.sum())), fit(model, cases, times))[1])
+    rows = LM.score_documents(documents(spark, texts), F.lit(True)).collect()
+    assert fitted == [rows[0]["train_tokens"]] == [sum(len(t.split()) + 1 for t in texts)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,7 +1,8 @@
 """Toxicity scores from a learned lexicon, found with Levenshtein automata.
 
 The lexicon holds the words, and the beginnings of words (written ``stem*``), that labelled toxic texts have and labelled
-clean texts lack. All its terms form one trie. The words of a text run through the product of that trie and the terms' Levenshtein automata, made deterministic as states
+clean texts lack. A term is tested by its own texts alone, however few of all toxic texts they are: so many of them must be
+toxic that chance (the binomial tail's Chernoff bound, over all words tried) hardly explains it. All its terms form one trie. The words of a text run through the product of that trie and the terms' Levenshtein automata, made deterministic as states
 are met, so that misspelled terms are found without trying each term. Each find weighs as much as its term, or its term at
 that distance, has proved in the labelled texts; the words and signs around it raise that weight (address) or lower it
 (quotation, report). A text's score is the chance that any of its finds is abuse, each taken to be independent.
@@ -16,6 +17,7 @@ scored once each. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -24,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_lineage, table
 from .language import fold_of
 
 FIT_ROWS = 40_000
 MAX_TERMS = 5_000
-#: Share of the toxic texts that a term must be in, the least number of them, and the most of a term's texts that may be clean.
-SUPPORT, LEAST, IMPURE = 0.01, 8, 0.01
-#: Lengths of the beginnings that may become stems; a word is looked for misspelled if it is in so many of the toxic texts.
-STEMS, SPELLED = (4, 5, 6, 7), 0.02
+#: Terms expected to be learned by chance, were the labels dealt at random, and the most of a term's texts that may be clean.
+CHANCE, IMPURE = 1.0, 0.01
+#: Lengths of the beginnings that may become stems.
+STEMS = (4, 5, 6, 7)
 #: Taken for misspelled terms before any is seen in labelled texts, by distance, with this many texts' weight.
 PRIOR, PRIOR_TEXTS = {1: 0.8, 2: 0.6}, 2.0
 LOWEST = 0.01
@@ -216,13 +218,16 @@ def learn_weights(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, dict
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return {}
-    least = max(LEAST, SUPPORT * totals[1])
-    counts = rows.mapInArrow(_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = cut_lineage(rows.mapInArrow(_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 0"))
+    share = totals[1] / (totals[0] + totals[1])
+    least = math.log(max(1, counts.count()) / CHANCE)
+    both = F.col("toxic") + F.col("clean")
+    evidence = F.col("toxic") * F.log(F.col("toxic") / both / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / both / (1 - share))).otherwise(0.0)
     # As often among clean texts as IMPURE of its texts allow, were there as many clean texts as toxic ones.
     even = F.col("clean") * (totals[1] / totals[0])
-    terms = counts.filter((F.col("toxic") >= least) & (even <= IMPURE * F.col("toxic"))).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()
+    terms = counts.filter((F.col("toxic") > share * both) & (evidence >= least) & (even <= IMPURE * F.col("toxic"))).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()
     weights = {r["word"]: {0: r["toxic"] / (r["toxic"] + r["clean"] + 1.0)} for r in terms}
-    tried = {r["word"]: 0 if r["word"].endswith("*") or r["toxic"] < SPELLED * totals[1] else allowed_edits(r["word"]) for r in terms}
+    tried = {r["word"]: 0 if r["word"].endswith("*") else allowed_edits(r["word"]) for r in terms}
     scorer = Scorer({t: dict.fromkeys(range(n + 1), 1.0) for t, n in tried.items()})
 
     def misspelled(batches):

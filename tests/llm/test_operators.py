@@ -335,6 +335,15 @@ def test_toxicity(spark):
     assert texts[360][hit["start"] : hit["end"]] == "w0rthless" and hit["edits"] == 1
 
 
+def test_toxic_terms_of_few_texts(spark):
+    clean = make_texts(3000, 21, words=(3, 9))
+    toxic = [t + (" basura" if i < 12 else " moronic") for i, t in enumerate(make_texts(1500, 22, words=(3, 9)))]
+    rows = spark.createDataFrame([(t, 0) for t in clean] + [(t, 1) for t in toxic], "text string, toxic int")
+    weights = TX.learn_weights(rows)
+    assert set(weights["basura"]) == {0, 1} and set(weights["moronic"]) == {0, 1}
+    assert not {w for t in clean for w in t.split()} & set(weights)
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/x?q", "https://example.com/en/a", "https://a.example.com/en/", "http://x.com/de", "http://x.com", "http://q.net/es/1", "ftp://q.net/fr/", "http://q.net/de/", "http://other.org/", "no scheme", None, "http://notcom/"]
     rows = UF.judge_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")).orderBy("page_id").collect()

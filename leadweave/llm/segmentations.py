@@ -14,17 +14,22 @@ be. A sample's inclusion score is 1 - exp(-exp(l - z)), l its log probability, z
 All noise comes from a generator seeded by the row's key. The vocabulary file holds merge ranks, not probabilities: a piece's
 log probability is taken from its rank by Zipf's law. Signs that are no piece are spelled in bytes.
 
+A word that may no longer be some of its segmentations is drawn anew until it is another; where that takes long, one is drawn
+from its others, best first, as many as it takes.
+
 Cases: null and empty texts have one segmentation, the empty one, with log probability 0 and inclusion 1. Texts with fewer
-segmentations than asked for, but for ways of a word that have less than LEAST_SHARE of its weight, give all they have. Repeated rows give the same samples. Null keys share a seed. Other columns
+segmentations than asked for give all they have. Repeated rows give the same samples. Null keys share a seed. Other columns
 are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,8 +44,10 @@ SPACE = "▁"
 #: Text of one round of array work; its lattices take about 200 bytes a letter of each distinct word.
 BATCH_CHARS = 4_000_000
 NONE = -(1 << 31)
-#: A word of which less than this share of its weight is left is taken as used up, so that draws that must differ end soon.
-LEAST_SHARE = 1e-4
+#: Draws of a word that must differ, after which its other segmentations are walked.
+MOST_DRAWS = 84
+#: A difference of weights smaller than this share of them is summed up instead, as digits cancel.
+CANCELS = 1e-8
 ALMOST_ONE = np.float32(1 - 2.0**-24)
 
 
@@ -130,6 +137,61 @@ class Lattices:
         return ids, counts, log
 
 
+    def others(self, word: int, barred) -> Iterator[tuple[float, np.ndarray]]:
+        """The segmentations of a word that are not barred, heaviest first: log weight, ids in order."""
+        first, length = int(self.starts[word]), int(self.lengths[word])
+        logs, ids = self.logs[first : first + length].astype(np.float64), self.ids[first : first + length]
+        heaviest = np.full(length + 1, -np.inf)
+        heaviest[0] = 0.0
+        for p in range(1, length + 1):
+            width = min(p, logs.shape[1])
+            heaviest[p] = (logs[p - 1, :width] + heaviest[p - 1 - np.arange(width)]).max()
+        heap, n = [(-heaviest[length], 0, length, 0.0, ())], 1
+        while heap:
+            _, _, p, log, tail = heapq.heappop(heap)
+            if not p:
+                own = np.array(tail, dtype=np.int32)
+                if own.tobytes() not in barred:
+                    yield log, own
+                continue
+            for d in range(min(p, logs.shape[1])):
+                way = logs[p - 1, d] + log
+                if np.isfinite(way + heaviest[p - 1 - d]):
+                    heapq.heappush(heap, (-(way + heaviest[p - 1 - d]), n, p - 1 - d, way, (int(ids[p - 1, d]), *tail)))
+                    n += 1
+
+    def left(self, word: int, barred: dict[bytes, float]) -> float:
+        """Log weight of what is not barred; -inf if nothing is."""
+        share = 1.0 - sum(math.exp(v - self.totals[word]) for v in barred.values())
+        if share > CANCELS:
+            return self.totals[word] + math.log(share)
+        total, most, ways = 0.0, None, self.ways(word)
+        for log, _ in self.others(word, barred):
+            most = log if most is None else most
+            total += math.exp(log - most)
+            if math.exp(log - most) * ways < 1e-12 * total:
+                break  # all that follow add nothing to the number
+        return -math.inf if most is None else most + math.log(total)
+
+    def another(self, word: int, barred: dict[bytes, float], point: float) -> tuple[float, np.ndarray]:
+        """The segmentation that a uniform number picks among those that are not barred: log weight, ids."""
+        mass, passed = self.left(word, barred), 0.0
+        for log, own in self.others(word, barred):
+            passed += math.exp(log - mass)
+            if passed >= point:
+                break
+        return log, own
+
+    def ways(self, word: int) -> float:
+        """How many segmentations a word has."""
+        first, length = int(self.starts[word]), int(self.lengths[word])
+        there = np.isfinite(self.logs[first : first + length])
+        out = [1.0]
+        for p in range(1, length + 1):
+            out.append(sum(out[p - 1 - d] for d in np.flatnonzero(there[p - 1, : min(p, there.shape[1])])))
+        return out[-1]
+
+
 class Segmenter:
     """A vocabulary with log probabilities, and sampling with it."""
 
@@ -274,9 +336,11 @@ class Segmenter:
         origin = np.full(len(full), -1)
         barred: list[dict[bytes, float]] = [{} for _ in full]
 
-        def ids_of(leaf: int, at: int) -> np.ndarray:
-            first = leaves[leaf]["first"][at]
-            return pool[first : first + leaves[leaf]["count"][at]]
+        remains: dict[tuple[int, bytes], float] = {}  # log weight of what a word has besides a heavy segmentation
+
+        def ids_of(leaf: dict[str, np.ndarray], at: int) -> np.ndarray:
+            first = leaf["first"][at]
+            return pool[first : first + leaf["count"][at]]
 
         for turn in range(k):
             kind = 16 * turn
@@ -293,7 +357,7 @@ class Segmenter:
             grown = [pool, ids]
             at_end = len(pool) + len(ids)
             waiting, tried, many = np.flatnonzero(live & (fixed >= 0)), 0, 4
-            while len(waiting):  # words that must differ: several draws at once until one is not barred
+            while len(waiting) and tried < MOST_DRAWS:  # words that must differ: several draws at once until one is not barred
                 rows = np.repeat(waiting, many)
                 own, each, logs = lattices.draw(word[fixed[rows]], lambda which, step: uniform(rows[which], place[fixed[rows[which]]], kind + 3 + (step << 20) + ((tried + which % many) << 32)))
                 pieces = np.split(own, np.cumsum(each)[:-1])
@@ -308,6 +372,12 @@ class Segmenter:
                     grown.append(pieces[hit])
                     at_end += len(pieces[hit])
                 waiting, tried, many = np.array(left_over, dtype=np.int64), tried + many, min(4 * many, 1024)
+            for j in waiting.tolist():
+                at = fixed[j]
+                log, own = lattices.another(word[at], barred[j], float(uniform(np.array([j]), np.array([place[at]]), kind + 6)[0]))
+                leaf["first"][at], leaf["count"][at], leaf["log"][at] = at_end, len(own), log
+                grown.append(own)
+                at_end += len(own)
             pool = np.concatenate(grown)
             inside = np.concatenate([[0.0], np.cumsum(leaf["log"])])
             before, log_weight = inside[:-1] - inside[edges[:-1]][doc], inside[edges[1:]] - inside[edges[:-1]]
@@ -317,19 +387,25 @@ class Segmenter:
             for j in np.flatnonzero(live):
                 found[j].append((self.spell(flat[bounds[j] : bounds[j + 1]]), float(log_weight[j] - whole[j]), float(best[j] - whole[j])))
             # what is left of each
-            share = 1.0 - np.exp(np.minimum(leaf["log"] - total, 0.0))
-            open_ = later & (share > LEAST_SHARE) & ~lattices.single[word]
+            share = -np.expm1(np.minimum(leaf["log"] - total, 0.0))
+            rest = total + np.log(np.maximum(share, 1e-300))
             values = np.full(len(word), -np.inf)
-            at = np.flatnonzero(open_)
-            values[at] = gumbel(before[at] + total[at] + np.log(share[at]) + after[at], best[doc[at]], doc[at], place[at], kind + 4)
+            at = np.flatnonzero(later & ~lattices.single[word])
+            for i in at[share[at] <= CANCELS].tolist():
+                own = ids_of(leaf, i).tobytes()
+                if (int(word[i]), own) not in remains:
+                    remains[int(word[i]), own] = lattices.left(word[i], {own: float(leaf["log"][i])})
+                rest[i] = remains[int(word[i]), own]
+            at = at[rest[at] > -np.inf]
+            values[at] = gumbel(before[at] + rest[at] + after[at], best[doc[at]], doc[at], place[at], kind + 4)
             leaves.append(leaf)
             agenda.append(values)
             for j in np.flatnonzero(live & (fixed >= 0)):
                 at = int(fixed[j])
-                now = barred[j] | {ids_of(turn, at).tobytes(): float(leaf["log"][at])}
-                left = 1.0 - sum(math.exp(v - total[at]) for v in now.values())
-                if left > LEAST_SHARE:
-                    mass = before[at] + total[at] + math.log(left) + after[at]
+                now = barred[j] | {ids_of(leaf, at).tobytes(): float(leaf["log"][at])}
+                left = lattices.left(word[at], now)
+                if left > -math.inf:
+                    mass = before[at] + left + after[at]
                     narrowed[j].append((float(gumbel(mass, best[j], np.array([j]), np.array([place[at]]), kind + 5)[0]), turn, at, now))
             # the best set of each agenda
             tops = np.array([np.maximum.reduceat(v, edges[:-1]) for v in agenda])
@@ -345,7 +421,7 @@ class Segmenter:
                     best[j], origin[j], fixed[j], barred[j] = narrowed[j].pop(other)
                 elif best[j] > -np.inf:
                     agenda[origin[j]][fixed[j]] = -np.inf
-                    barred[j] = {ids_of(origin[j], int(fixed[j])).tobytes(): float(leaves[origin[j]]["log"][fixed[j]])}
+                    barred[j] = {ids_of(leaves[origin[j]], int(fixed[j])).tobytes(): float(leaves[origin[j]]["log"][fixed[j]])}
             ended = live & (best == -np.inf)
             live = live & ~ended
             if not live.any():

@@ -420,6 +420,15 @@ def test_segmentations_follow_gumbel_top_k():
     assert sum(math.exp(log) / inc for d in drawn for _, log, _, inc in d) / n == pytest.approx(1, abs=0.02)
 
 
+def test_near_certain_words_give_all_segmentations():
+    own = SG.segmenter(None)
+    for text in ("of", "a", ".", "the", "A?"):
+        every = {ids: log for ids, log in all_segmentations(own, "▁" + text)}
+        [drawn] = own.sample([text], len(every) + 2, [3])
+        assert {tuple(ids.tolist()) for ids, *_ in drawn} == set(every) and len(drawn) == len(every) >= 2
+        assert all(0 <= inclusion <= 1 for *_, inclusion in drawn)
+
+
 def test_segmentations_of_rows(spark):
     texts = ["Hello  wörld\nfoo ☃ 漢", "", None, "a", " lead", "x" * 300, "  tab\t"]
     df = SG.sampled_segmentations(documents(spark, texts), samples=3)

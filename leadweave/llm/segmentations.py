@@ -41,14 +41,13 @@ from .common import U64, mix, table
 
 SAMPLES = 2
 SPACE = "▁"
-#: Text of one round of array work; its lattices take about 200 bytes a letter of each distinct word.
-BATCH_CHARS = 4_000_000
-NONE = -(1 << 31)
+#: Text of one round of array work, and letters of distinct words whose lattices (about 80 bytes a letter) a worker keeps
+#: for the next rounds.
+BATCH_CHARS, KEPT_LETTERS = 1_000_000, 3_000_000
 #: Draws of a word that must differ, after which its other segmentations are walked.
 MOST_DRAWS = 84
 #: A difference of weights smaller than this share of them is summed up instead, as digits cancel.
 CANCELS = 1e-8
-ALMOST_ONE = np.float32(1 - 2.0**-24)
 
 
 def vocabulary_path() -> str:
@@ -62,91 +61,192 @@ def single(x: float) -> float:
     return float(np.float32(x))
 
 
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.empty(1024, dtype=kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            wider = np.empty(self.n + len(values) + len(self.data) // 2, dtype=self.data.dtype)
+            wider[: self.n] = self.data[: self.n]
+            self.data = wider
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Numbers(dict):
+    """Numbers words as they are met; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Lattices:
-    """The lattices of many words: for each end in a word, the chance and log weight of a last piece of 1, 2, ... letters.
+    """The lattices of many words, added to as words are met.
 
-    Reach is the log weight of all ways to an end; ``chances`` are cumulative, so that one uniform number picks a piece.
+    For each end in a word, the pieces that may come last up to there, likeliest first, with the chance of each and of
+    those before it, so that one uniform number picks a piece. The segmentation that takes the likeliest piece at every
+    step is kept whole with its chance: one uniform number tells whether a word is that one, else where it first differs.
     """
 
-    def __init__(self, words: list[str], vocabulary: "Segmenter"):
-        size = vocabulary.longest
-        self.lengths = np.array([len(w) for w in words], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+    def __init__(self, vocabulary: "Segmenter"):
+        self.vocabulary, self.numbers = vocabulary, Numbers()
+        #: For each word: first letter, letters, log weight of all its segmentations, whether it has but one.
+        self.starts, self.lengths, self.totals, self.single = Column(np.int64), Column(np.int64), Column(np.float64), Column(bool)
+        #: For each letter, its first edge and how many; for each edge, piece, letters, log weight, chance up to it.
+        self.first, self.degree = Column(np.int32), Column(np.int8)
+        self.ids, self.sizes, self.logs, self.chances = Column(np.int32), Column(np.int8), Column(np.float32), Column(np.float32)
+        #: For each word, the likeliest steps' segmentation: where its ids are in ``pool``, how many, log weight, chance.
+        self.pool, self.top_first, self.top_count, self.top_log, self.top_chance = Column(np.int32), Column(np.int64), Column(np.int64), Column(np.float64), Column(np.float64)
+        self.remains: dict[tuple[int, bytes], float] = {}  # log weight of what a word has besides a heavy segmentation
+
+    def number(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.numbers.new:
+            self._add(self.numbers.new)
+            self.numbers.new = []
+        return out
+
+    def _add(self, words: list[str]) -> None:
+        own = self.vocabulary
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         n = len(code)
-        place = np.arange(n) - np.repeat(self.starts, self.lengths) + 1
-        self.logs = np.full((n, size), -np.inf, dtype=np.float32)
-        self.ids = np.full((n, size), NONE, dtype=np.int32)
-        prefix, inverses = vocabulary.prefix(code)
-        ends = np.arange(n)
-        for d in range(1, size + 1):
+        word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(n) - starts[word] + 1
+        prefix, inverses = own.prefix(code)
+        parts, ends = [], np.arange(n)
+        for d in range(1, own.longest + 1):
             at = ends = ends[place[ends] >= d]
             if not len(at):
                 break
             keys = (prefix[at + 1] - prefix[at + 1 - d]) * inverses[at + 1 - d]
-            if d in vocabulary.endings:  # ends of longer pieces only from here on
-                ends = at[vocabulary.may_end(d, keys)]
-            ids, logs = vocabulary.find(keys)
-            there = ids >= 0
-            self.ids[at[there], d - 1], self.logs[at[there], d - 1] = ids[there], logs[there]
-        odd = np.flatnonzero(self.ids[:, 0] == NONE)  # spelled in bytes: the letter itself, below zero
-        self.ids[odd, 0] = -1 - code[odd]
-        self.logs[odd, 0] = vocabulary.byte_log * (1 + (code[odd] >= 0x80) + (code[odd] >= 0x800) + (code[odd] >= 0x10000))
-        reach = np.zeros(n)
-        self.chances = np.ones((n, size), dtype=np.float32)
-        longest_first = np.argsort(-self.lengths, kind="stable")
-        firsts, lengths = self.starts[longest_first], self.lengths[longest_first]
-        for p in range(1, int(self.lengths.max(initial=0)) + 1):
-            at = firsts[: np.searchsorted(-lengths, -p, side="right")] + p - 1
-            width = min(p, size)
-            if p > 4:  # no wider than the longest piece that ends here
-                used = self.ids[at, 4:width].max(axis=0) != NONE
-                width = 4 + int(np.flatnonzero(used)[-1]) + 1 if used.any() else 4
-            ways = self.logs[at, :width].astype(np.float64)
-            for d in range(1, width + 1):
-                if d < p:
-                    ways[:, d - 1] += reach[at - d]
-            top = ways.max(axis=1, keepdims=True)
-            sums = np.cumsum(np.exp(ways - top), axis=1)
-            reach[at] = top[:, 0] + np.log(sums[:, -1])
-            self.chances[at, :width] = sums / sums[:, -1:]
-        self.totals = reach[self.starts + self.lengths - 1]
-        self.single = np.maximum.reduceat(np.isfinite(self.logs).sum(axis=1), self.starts) <= 1 if n else np.zeros(0, bool)
-
-    def draw(self, words: np.ndarray, noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each word with its chance, last piece first. noise(which, step): a uniform number for each.
-
-        -> all ids in order, how many each word has, log weights.
-        """
-        place, log = self.lengths[words].copy(), np.zeros(len(words))
+            if d in own.endings:  # ends of longer pieces only from here on
+                ends = at[own.may_end(d, keys)]
+            ids, logs = own.find(keys)
+            if d == 1:  # spelled in bytes: the letter itself, below zero
+                odd = code[ids < 0]
+                logs[ids < 0] = own.byte_log * (1 + (odd >= 0x80) + (odd >= 0x800) + (odd >= 0x10000))
+                ids[ids < 0] = -1 - odd
+                parts.append((at, np.full(len(at), d, np.int8), ids.astype(np.int32), logs))
+            else:
+                there = ids >= 0
+                parts.append((at[there], np.full(np.count_nonzero(there), d, np.int8), ids[there].astype(np.int32), logs[there]))
+        end, size, ids, logs = (np.concatenate(c) for c in zip(*parts, strict=True))
+        # edges by place in the word, then letter
+        by_place = np.argsort(place, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[by_place] = np.arange(n)
+        order = np.argsort(rank[end], kind="stable")
+        end, size, ids, logs = end[order], size[order], ids[order], logs[order]
+        degree = np.bincount(rank[end], minlength=n)
+        first = np.cumsum(degree) - degree
+        slot = np.arange(n) + word + 1  # each word has one more place, before its first letter, of log weight 0
+        reach = np.zeros(n + len(words))
+        source, chance = slot[end] - size, np.empty(len(end))
+        places = np.searchsorted(place[by_place], np.arange(1, int(lengths.max()) + 2))
+        for la, lb in zip(places, places[1:], strict=False):
+            a, b = first[la], first[lb - 1] + degree[lb - 1]
+            ways, seg, times = logs[a:b] + reach[source[a:b]], first[la:lb] - a, degree[la:lb]
+            top = np.maximum.reduceat(ways, seg)
+            ways = np.exp(ways - np.repeat(top, times))
+            sums = np.add.reduceat(ways, seg)
+            reach[slot[by_place[la:lb]]] = top + np.log(sums)
+            chance[a:b] = ways / np.repeat(sums, times)
+        order = np.argsort(np.repeat(np.arange(n), degree) - 0.9999 * chance, kind="stable")
+        size, ids, logs, chance = size[order], ids[order], logs[order], chance[order]
+        sums = np.concatenate([[0.0], np.cumsum(chance)])
+        upto = sums[1:] - np.repeat(sums[first], degree)
+        upto[first + degree - 1] = 2.0  # the last one takes what is left
+        base, letters, edges = self.starts.n, self.first.n, self.ids.n
+        at_letter = np.empty(n, dtype=np.int64)
+        at_letter[by_place] = first + edges
+        self.first.extend(at_letter)
+        at_letter[by_place] = degree
+        self.degree.extend(at_letter)
+        for column, values in ((self.ids, ids), (self.sizes, size), (self.logs, logs), (self.chances, upto), (self.starts, starts + letters), (self.lengths, lengths)):
+            column.extend(values)
+        self.totals.extend(reach[slot[starts + lengths - 1]])
+        self.single.extend(np.maximum.reduceat(at_letter, starts) <= 1)
+        self._tops(np.arange(base, base + len(words)))
+
+    def _tops(self, words: np.ndarray) -> None:
+        place, starts = self.lengths.data[words].copy(), self.starts.data[words]
+        chance, log, counts = np.ones(len(words)), np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
         alive, taken = np.arange(len(words)), []
-        counts = np.zeros(len(words), dtype=np.int64)
         while len(alive):
-            end = self.starts[words[alive]] + place[alive] - 1
-            below = np.minimum(noise(alive, len(taken)).astype(np.float32), ALMOST_ONE)
-            pick = np.count_nonzero(self.chances[end] < below[:, None], axis=1)
-            taken.append((alive, self.ids[end, pick]))
-            log[alive] += self.logs[end, pick]  # the weights are these single-precision numbers
-            place[alive] -= pick + 1
+            edge = self.first.data[starts[alive] + place[alive] - 1]
+            taken.append((alive, self.ids.data[edge]))
+            chance[alive] *= np.minimum(self.chances.data[edge], np.float32(1))
+            log[alive] += self.logs.data[edge]
             counts[alive] += 1
+            place[alive] -= self.sizes.data[edge]
             alive = alive[place[alive] > 0]
-        ends = np.cumsum(counts)
-        ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
-        for step, (which, own) in enumerate(taken):
-            ids[ends[which] - 1 - step] = own
-        return ids, counts, log
+        self.top_first.extend(self.pool.n + np.cumsum(counts) - counts)
+        self.pool.extend(in_order(taken, counts))
+        self.top_count.extend(counts)
+        self.top_log.extend(log)
+        self.top_chance.extend(chance)
+
+    def draw(self, words: np.ndarray, noise, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A segmentation of each word with its chance. noise(which, step): a uniform number for each.
 
+        -> where its ids are (from ``base``: in the array given back, else in ``pool``), how many, log weights, that array.
+        """
+        luck = noise(np.arange(len(words)), 0)
+        first, count, log = self.top_first.data[words], self.top_count.data[words], self.top_log.data[words]
+        other = np.flatnonzero(luck >= self.top_chance.data[words])
+        luck, starts, place = luck[other], self.starts.data[words[other]], self.lengths.data[words[other]].copy()
+        likeliest, chance = np.ones(len(other), dtype=bool), np.ones(len(other))
+        sums, counts = np.zeros(len(other)), np.zeros(len(other), dtype=np.int64)
+        alive, taken = np.arange(len(other)), []
+        while len(alive):
+            edge = self.first.data[starts[alive] + place[alive] - 1].astype(np.int64)
+            below = noise(other[alive], len(taken) + 1)
+            upto = np.minimum(self.chances.data[edge], np.float32(1)).astype(np.float64)
+            chance[alive] *= upto
+            still = likeliest[alive]
+            stays = still & (luck[alive] < chance[alive])
+            below = np.where(stays, -1.0, np.where(still, upto + below * (1 - upto), below))  # the first that differs is none of the likeliest
+            likeliest[alive] = stays
+            going = np.flatnonzero(below >= self.chances.data[edge])
+            while len(going):
+                edge[going] += 1
+                going = going[below[going] >= self.chances.data[edge[going]]]
+            taken.append((alive, self.ids.data[edge]))
+            sums[alive] += self.logs.data[edge]  # the weights are these single-precision numbers
+            counts[alive] += 1
+            place[alive] -= self.sizes.data[edge]
+            alive = alive[place[alive] > 0]
+        first[other], count[other], log[other] = base + np.cumsum(counts) - counts, counts, sums
+        return first, count, log, in_order(taken, counts)
+
+    def edges(self, word: int) -> list[list[tuple[int, float, int]]]:
+        """For each end in a word, the pieces that may come last: letters, log weight, id."""
+        first, length = int(self.starts.data[word]), int(self.lengths.data[word])
+        out = []
+        for letter in range(first, first + length):
+            a = int(self.first.data[letter])
+            b = a + int(self.degree.data[letter])
+            out.append(list(zip(self.sizes.data[a:b].tolist(), self.logs.data[a:b].tolist(), self.ids.data[a:b].tolist(), strict=True)))
+        return out
 
     def others(self, word: int, barred) -> Iterator[tuple[float, np.ndarray]]:
         """The segmentations of a word that are not barred, heaviest first: log weight, ids in order."""
-        first, length = int(self.starts[word]), int(self.lengths[word])
-        logs, ids = self.logs[first : first + length].astype(np.float64), self.ids[first : first + length]
-        heaviest = np.full(length + 1, -np.inf)
-        heaviest[0] = 0.0
-        for p in range(1, length + 1):
-            width = min(p, logs.shape[1])
-            heaviest[p] = (logs[p - 1, :width] + heaviest[p - 1 - np.arange(width)]).max()
-        heap, n = [(-heaviest[length], 0, length, 0.0, ())], 1
+        edges = self.edges(word)
+        heaviest = [0.0]
+        for p, ways in enumerate(edges, 1):
+            heaviest.append(max(log + heaviest[p - d] for d, log, _ in ways))
+        heap, n = [(-heaviest[-1], 0, len(edges), 0.0, ())], 1
         while heap:
             _, _, p, log, tail = heapq.heappop(heap)
             if not p:
@@ -154,17 +254,16 @@ class Lattices:
                 if own.tobytes() not in barred:
                     yield log, own
                 continue
-            for d in range(min(p, logs.shape[1])):
-                way = logs[p - 1, d] + log
-                if np.isfinite(way + heaviest[p - 1 - d]):
-                    heapq.heappush(heap, (-(way + heaviest[p - 1 - d]), n, p - 1 - d, way, (int(ids[p - 1, d]), *tail)))
-                    n += 1
+            for d, own_log, i in edges[p - 1]:
+                heapq.heappush(heap, (-(log + own_log + heaviest[p - d]), n, p - d, log + own_log, (i, *tail)))
+                n += 1
 
     def left(self, word: int, barred: dict[bytes, float]) -> float:
         """Log weight of what is not barred; -inf if nothing is."""
-        share = 1.0 - sum(math.exp(v - self.totals[word]) for v in barred.values())
+        whole = float(self.totals.data[word])
+        share = 1.0 - sum(math.exp(v - whole) for v in barred.values())
         if share > CANCELS:
-            return self.totals[word] + math.log(share)
+            return whole + math.log(share)
         total, most, ways = 0.0, None, self.ways(word)
         for log, _ in self.others(word, barred):
             most = log if most is None else most
@@ -183,15 +282,22 @@ class Lattices:
         return log, own
 
     def ways(self, word: int) -> float:
-        """How many segmentations a word has."""
-        first, length = int(self.starts[word]), int(self.lengths[word])
-        there = np.isfinite(self.logs[first : first + length])
+        """How many segmentations a word has; infinite for very many."""
         out = [1.0]
-        for p in range(1, length + 1):
-            out.append(sum(out[p - 1 - d] for d in np.flatnonzero(there[p - 1, : min(p, there.shape[1])])))
+        for p, ways in enumerate(self.edges(word), 1):
+            out.append(sum(out[p - d] for d, _, _ in ways))
         return out[-1]
 
 
+def in_order(taken: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> np.ndarray:
+    """The ids of all words in order, from those taken at each step, last piece first."""
+    ends = np.cumsum(counts)
+    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
+    for step, (which, own) in enumerate(taken):
+        out[ends[which] - 1 - step] = own
+    return out
+
+
 class Segmenter:
     """A vocabulary with log probabilities, and sampling with it."""
 
@@ -217,9 +323,17 @@ class Segmenter:
         self.longest = max(map(len, self.pieces))
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         lines = any("\n" in p for p in self.pieces)
-        self.units = re.compile("(?s).+" if crossing or lines else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
+        self.whole = crossing or lines
+        self.units = re.compile("(?s).+" if self.whole else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
         self.powers = self.inverses = np.ones(1, dtype=U64)
         self._index()
+        self.lattices = Lattices(self)
+
+    def words(self, text: str) -> list[str]:
+        """The parts of a text that no piece crosses."""
+        if self.whole or "  " in text or SPACE in text or text[0] == " ":
+            return self.units(SPACE + text.replace(" ", SPACE))
+        return list(filter(None, (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")))
 
     def _index(self) -> None:
         """An open hash table of the pieces' hashes, never full."""
@@ -298,21 +412,21 @@ class Segmenter:
                 out[i].append((np.zeros(0, np.int64), 0.0, 0.0, 1.0))
         if not full or not k:
             return out
+        if self.lattices.first.n > KEPT_LETTERS:
+            self.lattices = Lattices(self)
+        lattices = self.lattices
         words, counts = [], []
         for i in full:
-            own = self.units(SPACE + texts[i].replace(" ", SPACE))
+            own = self.words(texts[i])
             words += own
             counts.append(len(own))
-        distinct = list(dict.fromkeys(words))
-        numbers = dict(zip(distinct, range(len(distinct)), strict=True))
-        lattices = Lattices(distinct, self)
-        word = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+        word = lattices.number(words)
         edges = np.concatenate([[0], np.cumsum(counts)])
         doc = np.repeat(np.arange(len(full)), counts)
         index = np.arange(len(word))
         place = index - edges[:-1][doc]
         seed = mix(np.array([seeds[i] for i in full], dtype=U64))
-        total = lattices.totals[word]
+        total = lattices.totals.data[word]
         sums = np.concatenate([[0.0], np.cumsum(total)])
         after, whole = sums[edges[1:]][doc] - sums[1:], sums[edges[1:]] - sums[edges[:-1]]
 
@@ -325,7 +439,7 @@ class Segmenter:
             """At ``mass``, no larger than ``bound``."""
             return mass - np.log(-np.log(uniform(docs, places, kind)) + np.exp(mass - bound))
 
-        pool = np.zeros(0, dtype=np.int32)
+        pool = lattices.pool.data[: lattices.pool.n]
         leaves: list[dict[str, np.ndarray]] = []  # for each word of the batch: where its ids are, how many, log weight
         agenda: list[np.ndarray] = []  # the sets of segmentations that differ from a leaf first at each word
         narrowed: list[list[tuple]] = [[] for _ in full]  # value, leaf, word, what that word may no longer be
@@ -336,7 +450,7 @@ class Segmenter:
         origin = np.full(len(full), -1)
         barred: list[dict[bytes, float]] = [{} for _ in full]
 
-        remains: dict[tuple[int, bytes], float] = {}  # log weight of what a word has besides a heavy segmentation
+        remains = lattices.remains
 
         def ids_of(leaf: dict[str, np.ndarray], at: int) -> np.ndarray:
             first = leaf["first"][at]
@@ -352,15 +466,16 @@ class Segmenter:
                 for name in leaf:
                     leaf[name][kept] = old[name][kept]
             free = np.flatnonzero(later)
-            ids, counts_, logs = lattices.draw(word[free], lambda which, step: uniform(doc[free[which]], place[free[which]], kind + 2 + (step << 20)))
-            leaf["first"][free], leaf["count"][free], leaf["log"][free] = len(pool) + np.cumsum(counts_) - counts_, counts_, logs
+            *drawn, ids = lattices.draw(word[free], lambda which, step: uniform(doc[free[which]], place[free[which]], kind + 2 + (step << 20)), len(pool))
+            leaf["first"][free], leaf["count"][free], leaf["log"][free] = drawn
             grown = [pool, ids]
             at_end = len(pool) + len(ids)
             waiting, tried, many = np.flatnonzero(live & (fixed >= 0)), 0, 4
             while len(waiting) and tried < MOST_DRAWS:  # words that must differ: several draws at once until one is not barred
                 rows = np.repeat(waiting, many)
-                own, each, logs = lattices.draw(word[fixed[rows]], lambda which, step: uniform(rows[which], place[fixed[rows[which]]], kind + 3 + (step << 20) + ((tried + which % many) << 32)))
-                pieces = np.split(own, np.cumsum(each)[:-1])
+                starts, each, logs, own = lattices.draw(word[fixed[rows]], lambda which, step: uniform(rows[which], place[fixed[rows[which]]], kind + 3 + (step << 20) + ((tried + which % many) << 32)), lattices.pool.n)
+                own = np.concatenate([lattices.pool.data[: lattices.pool.n], own])
+                pieces = [own[a : a + n] for a, n in zip(starts.tolist(), each.tolist(), strict=True)]
                 left_over = []
                 for n, j in enumerate(waiting.tolist()):
                     hit = next((m for m in range(n * many, (n + 1) * many) if pieces[m].tobytes() not in barred[j]), -1)
@@ -374,7 +489,7 @@ class Segmenter:
                 waiting, tried, many = np.array(left_over, dtype=np.int64), tried + many, min(4 * many, 1024)
             for j in waiting.tolist():
                 at = fixed[j]
-                log, own = lattices.another(word[at], barred[j], float(uniform(np.array([j]), np.array([place[at]]), kind + 6)[0]))
+                log, own = lattices.another(int(word[at]), barred[j], float(uniform(np.array([j]), np.array([place[at]]), kind + 6)[0]))
                 leaf["first"][at], leaf["count"][at], leaf["log"][at] = at_end, len(own), log
                 grown.append(own)
                 at_end += len(own)
@@ -390,11 +505,11 @@ class Segmenter:
             share = -np.expm1(np.minimum(leaf["log"] - total, 0.0))
             rest = total + np.log(np.maximum(share, 1e-300))
             values = np.full(len(word), -np.inf)
-            at = np.flatnonzero(later & ~lattices.single[word])
+            at = np.flatnonzero(later & ~lattices.single.data[word])
             for i in at[share[at] <= CANCELS].tolist():
                 own = ids_of(leaf, i).tobytes()
                 if (int(word[i]), own) not in remains:
-                    remains[int(word[i]), own] = lattices.left(word[i], {own: float(leaf["log"][i])})
+                    remains[int(word[i]), own] = lattices.left(int(word[i]), {own: float(leaf["log"][i])})
                 rest[i] = remains[int(word[i]), own]
             at = at[rest[at] > -np.inf]
             values[at] = gumbel(before[at] + rest[at] + after[at], best[doc[at]], doc[at], place[at], kind + 4)
@@ -403,7 +518,7 @@ class Segmenter:
             for j in np.flatnonzero(live & (fixed >= 0)):
                 at = int(fixed[j])
                 now = barred[j] | {ids_of(leaf, at).tobytes(): float(leaf["log"][at])}
-                left = lattices.left(word[at], now)
+                left = lattices.left(int(word[at]), now)
                 if left > -math.inf:
                     mass = before[at] + left + after[at]
                     narrowed[j].append((float(gumbel(mass, best[j], np.array([j]), np.array([place[at]]), kind + 5)[0]), turn, at, now))
@@ -474,7 +589,8 @@ def sampled_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
                 arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
                 if with_ids:
-                    arrays.insert(2, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    arrays.insert(2, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0)]).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     shape = f"id {kind}, rank int, " + "ids array<int>, " * with_ids + "n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean"
@@ -492,4 +608,4 @@ def decoded(df: DataFrame, ids_col: str = "ids", path: str | None = None):
 
 
 def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+    return sampled_segmentations(table(spark, sf_dir, "documents"))

@@ -429,6 +429,23 @@ def test_near_certain_words_give_all_segmentations():
         assert all(0 <= inclusion <= 1 for *_, inclusion in drawn)
 
 
+def test_words_that_no_piece_crosses():
+    own = SG.segmenter(None)
+    for text in ["a", " a", "a b", "a  b", "a\nb", "a \n b\n", "\n\n a", "▁a b", "x\n\n\ny z "]:
+        assert own.words(text) == own.units("▁" + text.replace(" ", "▁")) and "".join(own.words(text)) == "▁" + text.replace(" ", "▁")
+
+
+def test_kept_lattices_change_nothing(monkeypatch):
+    texts = [t + " of a\nx  y" for t in make_texts(60, 31)]
+    own = SG.Segmenter(SG.vocabulary_path())
+    whole = own.sample(texts, 3, list(range(60)))
+    monkeypatch.setattr(SG, "KEPT_LETTERS", 100)  # all anew for each text
+    for i, drawn in enumerate(whole):
+        [alone] = own.sample(texts[i : i + 1], 3, [i])
+        assert [d[0].tolist() for d in alone] == [d[0].tolist() for d in drawn]
+        assert [d[1:] for d in alone] == [pytest.approx(d[1:], rel=1e-9) for d in drawn]
+
+
 def test_segmentations_of_rows(spark):
     texts = ["Hello  wörld\nfoo ☃ 漢", "", None, "a", " lead", "x" * 300, "  tab\t"]
     df = SG.sampled_segmentations(documents(spark, texts), samples=3)

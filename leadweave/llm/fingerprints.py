@@ -24,7 +24,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import U64, Words, byte_chunks, mix, odd_constants, shingles, table
 
@@ -111,31 +110,36 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (block, extra, id, text), dealt and sorted so that each row's follower by id comes right after it.
 
-    The ids are cut at approximate quantiles, a few numbers on the driver. Each block of ids goes to one partition, and
-    the first row of a block also to the end of the block before it (extra = 1); that of the first closes the last. The
-    texts are shuffled once.
+    The ids are cut at approximate quantiles, a few numbers on the driver. Each block of ids is a partition of its own, and
+    the rows of its least id go also to the end of the block before it (extra = 1), those of the least of all to the end
+    of the last block. The least ids are counted, not taken from the quantiles, which are inexact beyond 2^53. The texts
+    are shuffled once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts + 1000).alias("cuts"), F.min("id").alias("least"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).first()
-    least = None if cuts["nulls"] else cuts["least"]
-    edges = np.array(sorted({c for c in cuts["cuts"] or [] if least is None or c > least}), dtype=np.int64)
+    cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts + 1000).alias("cuts")).first()["cuts"]
+    edges = np.array(sorted(set(cuts or [])), dtype=np.int64)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def places(ids: pd.Series) -> pd.Series:
+    @F.pandas_udf("int")
+    def block_of(ids: pd.Series) -> pd.Series:
         null = ids.isna().to_numpy()
         known = ids.fillna(0).astype("int64").to_numpy()
-        block = np.where(null, 0, np.searchsorted(edges, known, side="right"))
-        opens = (block > 0) & ~null
-        if len(edges):
-            opens &= edges[np.maximum(block, 1) - 1] == known
-        first = null if least is None else (known == least) & ~null
-        return pd.Series([[int(b)] + ([-int(b)] if o else []) + ([-len(edges) - 1] if f else []) for b, o, f in zip(block, opens, first, strict=True)])
-
-    dealt = rows.withColumn("place", F.explode(places("id")))
-    dealt = dealt.select(F.when(F.col("place") >= 0, F.col("place")).otherwise(-F.col("place") - 1).alias("block"), (F.col("place") < 0).cast("int").alias("extra"), "id", "text")
-    return dealt.repartition(parts, "block").sortWithinPartitions("block", "extra", F.col("id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+        return pd.Series(np.where(null, 0, np.searchsorted(edges, known, side="right")).astype(np.int32))
+
+    rows = rows.withColumn("block", block_of("id"))
+    # nulls come first: where there are any, they are the least
+    leasts = rows.groupBy("block").agg(F.min("id").alias("least"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).orderBy("block").collect()
+    before = [leasts[i - 1]["block"] for i in range(len(leasts))]
+    opens = F.lit(None).cast("int")
+    if leasts:
+        known = spark.createDataFrame([(r["block"], None if r["nulls"] else r["least"], b) for r, b in zip(leasts, before, strict=True)], "block int, least long, before int")
+        rows = rows.join(F.broadcast(known), "block")
+        opens = F.when(F.col("id").eqNullSafe(F.col("least")), F.col("before"))
+    one = F.struct(F.col("block").alias("block"), F.lit(0).alias("extra"))
+    dealt = rows.select("id", "text", F.explode(F.when(opens.isNotNull(), F.array(one, F.struct(opens.alias("block"), F.lit(1).alias("extra")))).otherwise(F.array(one))).alias("place"))
+    dealt = dealt.select("place.block", "place.extra", "id", "text")
+    return dealt.repartitionById(parts, F.col("block")).sortWithinPartitions("block", "extra", F.col("id").asc_nulls_first(), F.coalesce("text", F.lit("")))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, width: int = SHINGLE_WORDS) -> DataFrame:

@@ -83,6 +83,25 @@ def test_edited_fingerprints(spark):
     assert all(len(v) == 1 for v in prints.values())
 
 
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_every_row_has_its_follower(spark, partitions):
+    texts = [f"text {i} " * 3 for i in range(203)]
+    for ids in ([2**60 + i for i in range(203)], [2**53 - 100 + i for i in range(203)], [3 * i - 300 for i in range(203)], [i // 4 for i in range(203)], [7] * 203, [None] * 3 + list(range(200))):
+        rows = sorted(zip([i if i is not None else -(10**9) for i in ids], texts))
+        wanted = collections.Counter()
+        for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+            half = len(t) // 2
+            wanted[None if i == -(10**9) else i, hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()] += 1
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        kept = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in FP.edited_fingerprints(df).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", kept)
+        assert got == wanted
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

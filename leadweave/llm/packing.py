@@ -1,10 +1,14 @@
 """Packing documents into token sequences: hierarchical best-fit on what is left over.
 
 Each input partition tokenizes its documents, cuts those longer than a sequence and packs the pieces best-fit, largest
-first. Bins that are nearly full are final. The others travel on as single items: groups of partitions are merged, their
-underfull bins packed best-fit again, nearly full ones are emitted, and so on up a tree until one node is left, which
-emits all it holds. Only piece descriptions travel, never texts or ids. A node hands up at most ``carry`` bins, its
-emptiest; fuller ones are emitted as they are, so that a merge holds at most ``fan * carry`` bins whatever the input's size.
+first. Bins that are full but for ``slack`` tokens are final. Groups of partitions are merged: what their underfull bins hold
+is packed best-fit again, nearly full bins are emitted, the others travel on as single items, and so on up a tree until one
+node is left, which emits all it holds. (A partition's underfull bins are merged piece by piece: glued together, a few
+documents leave gaps that no other bin fits.)
+
+Items of one size are alike, so a merge needs no items but how many of each size its children have: a table no longer
+than the children times the capacity, whatever the input's size. It packs the counts and says where the n-th item of each
+size of each child goes; joins up the tree then take each piece to its sequence and place. Texts and ids never travel.
 
 Cases: null and empty texts are the end mark alone. Repeated rows are packed once each. A null id is carried as null.
 Whole texts are tokenized, however long. Other columns are ignored. An empty table gives no rows.
@@ -30,8 +34,10 @@ END_ID = 0
 #: Words whose ids a worker remembers (about 100 bytes each); more are encoded anew each time.
 REMEMBERED = 250_000
 
-_PIECES = [("node", pa.int64()), ("bin", pa.int64()), ("full", pa.bool_()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]
-_DDL = "node long, bin long, full boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
+_PIECES = [("node", pa.int64()), ("bin", pa.int64()), ("full", pa.bool_()), ("size", pa.int32()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]
+_DDL = "node long, bin long, full boolean, size int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
+_PLACES = [("parent", pa.int64()), ("child", pa.int64()), ("size", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("shift", pa.int64()), ("offset", pa.int64()), ("full", pa.bool_()), ("filled", pa.int32())]
+_PLACES_DDL = "parent long, child long, size int, lo long, hi long, shift long, offset long, full boolean, filled int"
 
 
 def tokenizer_path() -> str:
@@ -150,16 +156,76 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(filled, dtype=np.int64)
 
 
-def _settled(sizes: np.ndarray, capacity: int, slack: int, carry: int, last: bool) -> np.ndarray:
-    """Which bins are final: nearly full ones, and all but the emptiest ``carry`` others."""
-    full = sizes >= capacity - slack
-    rest = np.flatnonzero(~full)
-    if len(rest) > carry:
-        full[rest[np.argsort(sizes[rest], kind="stable")[carry:]]] = True
-    return full | last
-
+def fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """best_fit for counts[size] alike items of each size. -> groups of alike bins: how many, size, slots.
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, slack: int = 16, fan: int = 16, carry: int = 20_000) -> DataFrame:
+    A slot (size, first, offset) says that the i-th bin of the group has item first + i of that size at that offset.
+    """
+    groups: list[list] = []
+    room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    open_rooms = 0
+
+    def keep(many: int, filled: int, slots: list) -> None:
+        nonlocal open_rooms
+        r = capacity - filled
+        if not room[r]:
+            open_rooms |= 1 << r
+        room[r].append(len(groups))
+        groups.append([many, filled, slots])
+
+    for size in sorted(counts, reverse=True):
+        at, left = 0, counts[size]
+        while left:
+            above = open_rooms >> size
+            if above:
+                r = size + (above & -above).bit_length() - 1
+                g = room[r][-1]
+                many, filled, slots = groups[g]
+            else:
+                r, g, many, filled, slots = capacity, -1, left, 0, []
+            each = min(r // size, left)  # a bin takes items as long as it has room
+            used = min(many, left // each)
+            if g >= 0:
+                room[r].pop()
+                if not room[r]:
+                    open_rooms &= ~(1 << r)
+                groups[g][0] = 0
+                if used < many:
+                    keep(many - used, filled, [(s, first + used, offset) for s, first, offset in slots])
+            keep(used, filled + each * size, slots + [(size, at + j * used, filled + j * size) for j in range(each)])
+            at, left = at + each * used, left - each * used
+    return [(many, filled, slots) for many, filled, slots in groups if many]
+
+
+def merged(rows: pa.Table, capacity: int, least: int) -> pa.Table:
+    """From (parent, child, size, n), where the children's items go: items lo to hi of a child's size become, moved by
+    ``shift``, the numbers of final bins of the parent, or of its bins of size ``filled``; bins of size ``least`` are final."""
+    children, sizes, n = (rows.column(c).to_numpy() for c in ("child", "size", "n"))
+    order = np.lexsort((children, sizes))
+    children, sizes, n = children[order], sizes[order], n[order]
+    held = {int(s): int(n[sizes == s].sum()) for s in np.unique(sizes)}
+    ends = np.cumsum(n)
+    firsts = {s: int(ends[a - 1]) if (a := int(np.searchsorted(sizes, s))) else 0 for s in held}
+    numbers: dict[int, int] = {}  # bins so far: final ones (-1), or by size
+    out: list[tuple] = []
+    for many, filled, slots in fit_counts(held, capacity):
+        kind = -1 if filled >= least else filled
+        base = numbers.get(kind, 0)
+        numbers[kind] = base + many
+        for size, first, offset in slots:
+            a = firsts[size] + first
+            b = a + many
+            i = int(np.searchsorted(ends, a, side="right"))
+            while i < len(ends) and ends[i] - n[i] < b:
+                begin = int(ends[i] - n[i])  # of this child
+                out.append((int(children[i]), size, max(a, begin) - begin, min(b, int(ends[i])) - begin, base + begin - a, offset, kind == -1, filled))
+                i += 1
+    parent = rows.column("parent")[0].as_py()
+    columns = list(zip(*((parent, *r) for r in out), strict=True))
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, _PLACES, strict=True)], names=[c for c, _ in _PLACES])
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, slack: int = 1, fan: int = 64) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document."""
 
     def leaf(batches):
@@ -178,42 +244,45 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             column.append(value)
         if not out[0]:
             return
-        bins, offsets, sizes = best_fit(np.array(out[3], dtype=np.int64), capacity)
-        final = _settled(sizes, capacity, slack, carry, False)
+        bins, offsets, filled = best_fit(np.array(out[3], dtype=np.int64), capacity)
+        sizes, full = np.array(out[3], dtype=np.int64), (filled >= capacity - slack)[bins]
+        order = np.lexsort((sizes, full))
+        kind = sizes[order] + full[order] * (capacity + 1)
+        number = np.empty(len(bins), dtype=np.int64)  # a piece's among those of its size
+        number[order] = np.arange(len(bins)) - np.searchsorted(kind, kind)
         node = TaskContext.get().partitionId()
-        columns = [np.full(len(bins), node), bins, final[bins], out[0], out[1], out[2], out[3], out[4], offsets]
+        columns = [np.full(len(bins), node), bins, full, sizes, number, out[0], out[1], out[2], out[3], out[4], offsets]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PIECES, strict=True)], names=[n for n, _ in _PIECES])
 
-    def merge(last: bool):
-        def run(rows: pa.Table) -> pa.Table:
-            items, item = np.unique(rows.column("bin").to_numpy(), return_inverse=True)
-            sizes = np.bincount(item, weights=rows.column("length").to_numpy(), minlength=len(items)).astype(np.int64)
-            bins, offsets, filled = best_fit(sizes, capacity)
-            final = _settled(filled, capacity, slack, carry, last)
-            for name, column in (("bin", bins[item]), ("full", final[bins[item]]), ("offset", rows.column("offset").to_numpy() + offsets[item])):
-                rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(column))
-            return rows
-
-        return run
+    def merge(least: int):
+        return lambda counted: merged(counted, capacity, least)
 
-    def numbered(level: int, rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(level << 26) + F.col("node")) .alias("at"), "bin", "offset")
+    def sequence(level: int, node: str, number: str):
+        return (F.lit(level << 26) + F.col(node)) * F.lit(1 << 32) + F.col(number)
 
     rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leaf, _DDL))
     nodes = (rows.agg(F.max("node")).first()[0] or 0) + 1
-    done, level = [numbered(0, rows.filter("full"))], 0
-    while True:
+    places, level = [], 0
+    counts = rows.filter("NOT full").groupBy("node", "size").agg((F.max("rank") + 1).alias("n"))
+    while not places or nodes > 1:
         level, nodes = level + 1, -(-nodes // fan)
-        # A bin's number is unique in its node only: the child's place is put before it.
-        held = rows.filter("NOT full").select(F.floor(F.col("node") / fan).cast("long").alias("node"), (F.pmod("node", F.lit(fan)) * F.lit(1 << 40) + F.col("bin")).alias("bin"), *[n for n, _ in _PIECES[2:]])
-        rows = cut_lineage(held.groupBy("node").applyInArrow(merge(nodes == 1), _DDL))
-        done.append(numbered(level, rows.filter("full")))
-        if nodes == 1:
-            break
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
-    return every.select(F.col("doc_id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("at") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+        least = 0 if nodes == 1 else capacity - slack
+        told = counts.select(F.floor(F.col("node") / fan).cast("long").alias("parent"), F.col("node").alias("child"), "size", "n")
+        places.append(cut_lineage(told.groupBy("parent").applyInArrow(merge(least), _PLACES_DDL)))
+        counts = places[-1].filter("NOT full").groupBy(F.col("parent").alias("node"), F.col("filled").alias("size")).agg(F.max(F.col("hi") + F.col("shift")).alias("n"))
+    # each piece of a leaf's underfull bins, up the tree
+    names = [F.col("doc_id").alias(id_col), "piece", "start", "length", "ids_crc32"]
+    every = rows.filter("full").select(*names, sequence(0, "node", "bin").alias("sequence_id"), "offset")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    held = rows.filter("NOT full").select(*kept, F.col("node").alias("child"), "size", "rank", F.lit(0).cast("long").alias("before"))
+    for level, place in enumerate(places, 1):
+        met = held.join(place, ["child", "size"]).filter("rank >= lo AND rank < hi")
+        met = met.select(*kept, "parent", "full", F.col("filled").alias("size"), (F.col("rank") + F.col("shift")).alias("rank"), (F.col("before") + F.col("offset")).alias("before"))
+        if level < len(places):
+            met = cut_lineage(met)
+        every = every.unionByName(met.filter("full").select(*names, sequence(level, "parent", "rank").alias("sequence_id"), F.col("before").alias("offset")))
+        held = met.filter("NOT full").select(*kept, F.col("parent").alias("child"), "size", "rank", "before")
+    return every
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

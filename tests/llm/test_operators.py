@@ -128,13 +128,39 @@ def test_packing_round_trip(spark):
     assert len(bins) <= math.ceil(sum(total.values()) / 256) * 1.1 + 1
 
 
-def test_packing_merges_up_the_tree(spark):
-    docs = documents(spark, make_texts(200, words=(3, 30))).repartition(40)
-    rows = PA.pack_documents(docs, capacity=512, fan=3, carry=2).collect()
-    used = collections.Counter()
+def test_fitting_counts_equals_fitting_items():
+    rng = random.Random(13)
+    for _ in range(40):
+        capacity = rng.choice([7, 64, 500])
+        sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 300))] + [1] * rng.randrange(30)
+        _, _, filled = PA.best_fit(np.array(sizes), capacity)
+        groups = PA.fit_counts(collections.Counter(sizes), capacity)
+        assert sorted(f for many, f, _ in groups for _ in range(many)) == sorted(filled.tolist())
+        used = collections.Counter()
+        for many, filled_, slots in groups:
+            for i in range(many):
+                at = 0
+                for size, first, offset in slots:
+                    assert offset == at
+                    at += size
+                    used[size, first + i] += 1
+                assert at == filled_ <= capacity
+        assert used == {(s, i): 1 for s, n in collections.Counter(sizes).items() for i in range(n)}
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_packing_merges_up_the_tree(spark, partitions):
+    docs = documents(spark, [*make_texts(200, words=(3, 30)), "", None]).repartition(partitions)
+    assert PA.pack_documents(docs, capacity=512).select("sequence_id").distinct().count() <= PA.pack_documents(docs.coalesce(1), capacity=512).select("sequence_id").distinct().count() + 1
+    rows = PA.pack_documents(docs, capacity=512, fan=3).collect()
+    used = collections.defaultdict(list)
     for r in rows:
-        used[r["sequence_id"]] += r["length"]
-    assert max(used.values()) <= 512 and {r["doc_id"] for r in rows} == set(range(200))
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in used.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 512
+    assert sorted(r["doc_id"] for r in rows) == list(range(202))
+    assert len(used) <= 1.1 * math.ceil(sum(r["length"] for r in rows) / 512) + 1
 
 
 def test_license_spans_and_brute_force(spark):

@@ -282,6 +282,31 @@ def test_neighbours_recall_and_order(spark):
     assert few.count() == 12
 
 
+@pytest.mark.parametrize("looks", [1, 400, 10**6])
+def test_neighbours_in_buckets(spark, monkeypatch, looks):
+    """Split shelves, a very common vector, and queries that find too few change no result that is found."""
+    monkeypatch.setattr(NB, "SHELF_ROWS", 30)
+    monkeypatch.setattr(NB, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(NB, "BUCKET_ROWS", 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, size=(600, 6)).astype(np.float64)
+    x[100:350] = x[100]
+    x[~x.any(axis=1)] = 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in NB.nearest(df, F.col("vec_id") % 20 == 0, 5, looks=looks).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 600, 20):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = [(int(v), float(score[v])) for v in np.lexsort((np.arange(600), -score))[:5]]
+        hits += len(set(got[q]) & set(best))
+        assert len(got[q]) == 5 and all(s == score[v] for v, s in got[q]) and got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
+        assert looks < 10**6 or got[q] == best
+    assert hits >= 0 if looks == 1 else hits / 150 >= 0.5
+
+
 def test_lm_scores(spark):
     texts = make_texts(150, 9) + ["", None, "A\tb a B"]
     train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]

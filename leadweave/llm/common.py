@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lineage import cut_lineage
 
-__all__ = ["U64", "Words", "byte_chunks", "cut_lineage", "mix", "odd_constants", "shingles", "table"]
+__all__ = ["U64", "Words", "byte_chunks", "cut_lineage", "mix", "odd_constants", "runs", "shingles", "table"]
 
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
@@ -124,3 +124,22 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.nda
             step = np.where(left > j, step, U64(0))
         total = total * base + step
     return mix(total), starts
+
+
+def runs(batches, names: list[str]):
+    """Batches sorted by the columns, regrouped: a table for each run of rows equal in them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b == a:
+                continue
+            if held and tuple(keys[:, a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[:, a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

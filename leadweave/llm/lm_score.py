@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, byte_chunks, cut_lineage, mix, table
+from .common import U64, Words, byte_chunks, cut_lineage, mix, runs, table
 from .language import fold_of
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -247,25 +247,6 @@ def build_filter(segments: DataFrame, order: int, slice_bits: int) -> Filter:
     return Filter(slice_bits, {(r["n"], r["slice"]): bytes(r["body"]) for r in segments.toLocalIterator()}, order)
 
 
-def _runs(batches, names: list[str]):
-    """Batches sorted by the columns, regrouped: a table for each run of rows equal in them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b == a:
-                continue
-            if held and tuple(keys[:, a]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = tuple(keys[:, a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _run_grams(texts: pa.Array, words: Words, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """tokens, starts and n-grams of a run of texts."""
     tokens, starts, grams = [], [np.zeros(1, dtype=np.int64)], [[] for _ in range(order)]
@@ -280,11 +261,11 @@ def _run_grams(texts: pa.Array, words: Words, order: int) -> tuple[np.ndarray, n
 def sharded(rows: DataFrame, segments: DataFrame, order: int, slice_bits: int, code, kinds: str) -> DataFrame:
     """``code`` over runs of documents, given the levels that their n-grams have in segments that are not broadcast."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // RUN_BYTES + 1)))
+    dealt = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // RUN_BYTES + 1)))
 
     def ask(batches):
         words = Words(separators=SPACES)
-        for table in _runs(batches, ["run"]):
+        for table in runs(batches, ["run"]):
             run = table.column("run")[0].as_py()
             _, _, grams = _run_grams(table.column("text").combine_chunks(), words, order)
             for n, hashes in enumerate(grams, 1):
@@ -312,7 +293,7 @@ def sharded(rows: DataFrame, segments: DataFrame, order: int, slice_bits: int, c
 
     def meet(batches):
         words = Words(separators=SPACES)
-        for table in _runs(batches, ["run"]):
+        for table in runs(batches, ["run"]):
             asked = table.filter(pa.compute.greater(table.column("n"), 0))
             docs = table.filter(pa.compute.equal(table.column("n"), 0))
             tokens, starts, grams = _run_grams(docs.column("text").combine_chunks(), words, order)
@@ -330,9 +311,9 @@ def sharded(rows: DataFrame, segments: DataFrame, order: int, slice_bits: int, c
             yield code(docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), [(tokens, starts, found)])
 
     shape = "run long, n int, slice int, body binary"
-    probes = runs.select("run", "text").repartition("run").sortWithinPartitions("run").mapInArrow(ask, shape)
+    probes = dealt.select("run", "text").repartition("run").sortWithinPartitions("run").mapInArrow(ask, shape)
     met = segments.select(F.lit(-1).cast("long").alias("run"), "n", "slice", "body").unionByName(probes).repartition("n", "slice").sortWithinPartitions("n", "slice", "run").mapInArrow(answer, shape)
-    docs = runs.select("run", F.lit(0).alias("n"), F.lit(0).alias("slice"), "doc_id", "held_out", "text")
+    docs = dealt.select("run", F.lit(0).alias("n"), F.lit(0).alias("slice"), "doc_id", "held_out", "text")
     both = met.unionByName(docs, allowMissingColumns=True).repartition("run").sortWithinPartitions("run", "n", "slice")
     return both.mapInArrow(meet, kinds)
 

@@ -2,14 +2,16 @@
 
 1. Each text becomes the set of hashes of its five-word runs and a MinHash signature; texts with the same set are one node,
    whatever their number.
-2. Signature bands put nodes into buckets; each node of a bucket is tied to the bucket's least node, never to all others.
-   The connected components of these ties hold all candidate pairs: two sets of similarity 0.8 share no band with a
-   chance of about 3 in a million.
-3. Inside a component, signatures are compared a few values at a time. A pair is dropped as soon as the posterior chance
-   that its similarity reaches the threshold, given the matches so far and a uniform prior, falls below a tolerance. The
-   exact similarity of the others decides. Components larger than a block are cut into blocks and each pair of blocks is
-   a task of its own, so that neither a bucket nor a component has to fit into one task; pairs are counted, never emitted.
-4. The links found tie nodes to classes; a class's id is its least document id.
+2. Signature bands put nodes into buckets; of buckets with the same nodes one is kept. Two sets of similarity 0.8 share no
+   band with a chance of about 3 in a million.
+3. The signatures of a bucket's pairs, a byte a value, are compared a few values at a time. A pair is dropped as soon as the
+   posterior chance that its similarity reaches the threshold, given the matches so far and a uniform prior, falls below a
+   tolerance. The pairs that are left tie nodes together; a bucket emits ties, no more than its nodes, and never its pairs. A
+   large bucket first ties all it can to its least node; only nodes that this leaves meet the others, block by block.
+4. Texts are fetched for tied nodes only. Inside a connected component whole signatures drop pairs once more and the exact
+   similarity of the others decides. Components beyond a number of nodes or bytes are cut into blocks, and each pair of
+   blocks is compared on its own, so that neither a bucket nor a component has to fit into one task.
+5. The links found tie nodes to classes; a class's id is its least document id.
 
 Cases: null and empty texts are copies of one another. A text of fewer than five words is one run of all its words; one
 without any word is compared by its bytes. Repeated rows are copies. Rows with a null id take part, but no class is named
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import components
-from .common import U64, Words, byte_chunks, cut_lineage, mix, odd_constants, shingles, table
+from .common import U64, Words, byte_chunks, cut_lineage, mix, odd_constants, runs, shingles, table
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 42, 6
 #: Signature values compared between two prunings, and the posterior chance below which a pair is dropped.
 STEP, TOLERANCE = 28, 1e-6
-BLOCK = 512
+#: Nodes and bytes of text of one block of a component, nodes of one block of a bucket, pairs compared at once.
+BLOCK, BLOCK_BYTES, BUCKET, PAIRS = 512, 8 << 20, 2048, 1 << 20
 
 
 def shingle_sets(texts: pa.Array, words: Words, width: int = WIDTH):
@@ -77,21 +80,28 @@ def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     return compared
 
 
-def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, values: int = BANDS * BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i from left, j from right; i < j where both are the same) whose sets are similar enough."""
-    multipliers = odd_constants(values, 2)
-    signs = np.array([signature(s, multipliers) for s in sets])
-    i, j = np.meshgrid(left, right, indexing="ij")
-    keep = (i < j) if left is right else np.ones(i.shape, dtype=bool)
-    sizes = np.array([len(s) for s in sets])
-    keep &= np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9  # else not similar enough for certain
+def pruned(i: np.ndarray, j: np.ndarray, signs: np.ndarray, sizes: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may be similar enough: by the sets' sizes for certain, by their signatures but for the tolerance."""
+    keep = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
     i, j = i[keep], j[keep]
+    values = signs.shape[1]
     matches = np.zeros(len(i), dtype=np.int64)
     for at in range(0, values, STEP):
         parts = [(signs[i[a : a + 65536], at : at + STEP] == signs[j[a : a + 65536], at : at + STEP]).sum(axis=1) for a in range(0, len(i), 65536)]
         matches += np.concatenate(parts) if parts else 0
         alive = matches >= least_matches(min(at + STEP, values), threshold, tolerance)
         i, j, matches = i[alive], j[alive], matches[alive]
+    return i, j
+
+
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, values: int = BANDS * BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i from left, j from right; i < j where both are the same) whose sets are similar enough."""
+    multipliers = odd_constants(values, 2)
+    signs = np.array([signature(s, multipliers) for s in sets])
+    i, j = np.meshgrid(left, right, indexing="ij")
+    keep = (i < j) if left is right else np.ones(i.shape, dtype=bool)
+    sizes = np.array([len(s) for s in sets])
+    i, j = pruned(i[keep], j[keep], signs, sizes, threshold, tolerance)
     if not len(i):
         return i, j
     if len(i) <= 4 * len(sets):
@@ -132,6 +142,116 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _signs(column) -> np.ndarray:
+    """A row of bytes for each signature."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _met(rows: np.ndarray, others: np.ndarray, signs: np.ndarray, sizes: np.ndarray, threshold: float, tolerance: float):
+    """Pairs of a row and another, some at a time, pruned."""
+    step = max(1, PAIRS // max(1, len(others)))
+    for a in range(0, len(rows), step):
+        some = rows[a : a + step]
+        yield pruned(np.repeat(some, len(others)), np.tile(others, len(some)), signs, sizes, threshold, tolerance)
+
+
+def bucket_labels(starts: np.ndarray, signs: np.ndarray, sizes: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
+    """For the rows of several buckets (``starts``, and the end), the least row that each is tied to."""
+    n, found = np.diff(starts), []
+    for m in np.unique(n[n <= 32]):  # all pairs, of all buckets of one size together
+        i, j = np.triu_indices(m, 1)
+        firsts = starts[:-1][n == m]
+        step = max(1, PAIRS // max(1, len(i)))
+        for a in range(0, len(firsts), step):
+            some = firsts[a : a + step, None]
+            found.append(pruned((some + i).ravel(), (some + j).ravel(), signs, sizes, threshold, tolerance))
+    for k in np.flatnonzero(n > 32):
+        rows = np.arange(starts[k], starts[k + 1])
+        near = pruned(np.full(len(rows), rows[0]), rows, signs, sizes, threshold, tolerance)
+        found.append(near)
+        found += _met(np.setdiff1d(rows, near[1]), rows, signs, sizes, threshold, tolerance)
+    return least_labels(starts[-1], *(np.concatenate(c) for c in zip(*found, strict=True))) if found else np.arange(starts[-1])
+
+
+def candidate_ties(nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """From (key, size, sig, bands) of distinct nodes, (u, v): ties whose connected components hold all pairs that may be similar enough."""
+    banded = nodes.select("key", F.explode("bands").alias("bucket"))
+    listed = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head"), F.bit_xor(F.xxhash64("key")).alias("which")).filter("n > 1")
+    buckets = listed.groupBy("n", "head", "which").agg(F.min("bucket").alias("bucket")).select("bucket", "head", "n")
+    members = banded.join(buckets, "bucket").join(nodes.select("key", "size", "sig"), "key").select("bucket", "head", "n", "key", "size", "sig")
+    members = cut_lineage(members)
+
+    def whole(batches):
+        """Buckets of one task each, several at a time."""
+        held: list[pa.Table] = []
+
+        def flush():
+            rows = pa.concat_tables(held).combine_chunks()
+            bucket, keys = rows.column("bucket").to_numpy(), rows.column("key").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            label = bucket_labels(starts, _signs(rows.column("sig")), rows.column("size").to_numpy(), threshold, tolerance)
+            tied = label != np.arange(len(label))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[tied]), pa.array(keys[label[tied]])], names=["u", "v"])
+
+        waiting = 0
+        for run in runs(batches, ["bucket"]):
+            held.append(run)
+            waiting += run.num_rows
+            if waiting >= 2 * BUCKET:
+                waiting = 0
+                yield flush()
+        if held:
+            yield flush()
+
+    shape = "u long, v long"
+    small = members.filter(F.col("n") <= BUCKET).select("bucket", "key", "size", "sig")
+    ties = small.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(whole, shape)
+    large = members.filter(F.col("n") > BUCKET)
+    if large.isEmpty():
+        return ties
+
+    def to_head(batches):
+        for batch in batches:
+            n = batch.num_rows
+            signs = np.concatenate([_signs(batch.column("sig")), _signs(batch.column("head_sig"))]) if n else np.zeros((0, 1), np.uint8)
+            sizes = np.concatenate([batch.column("size").to_numpy(), batch.column("head_size").to_numpy()])
+            near = np.zeros(n, dtype=bool)
+            near[pruned(np.arange(n), np.arange(n) + n, signs, sizes, threshold, tolerance)[0]] = True
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near)], names=[*names, "near"])
+
+    names = ["bucket", "head", "n", "key", "size", "sig"]
+    heads = large.filter("key = head").select("bucket", F.col("size").alias("head_size"), F.col("sig").alias("head_sig"))
+    large = cut_lineage(large.join(heads, "bucket").mapInArrow(to_head, "bucket long, head long, n long, key long, size long, sig binary, near boolean"))
+    ties = ties.unionByName(large.filter("near AND key <> head").select(F.col("key").alias("u"), F.col("head").alias("v")))
+    # what is not near the head meets all of its bucket
+    rest = large.filter("NOT near")
+    cuts = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("rows"), F.ceil(F.first("n") / BUCKET).alias("all"))
+
+    def part(c: str):
+        return F.pmod(F.xxhash64("key"), F.col(c))
+
+    def every(c: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - F.lit(1).cast("long")))
+
+    left = rest.join(cuts, "bucket").select("bucket", part("rows").alias("a"), every("all").alias("b"), "key", "size", "sig")
+    right = large.join(cuts, "bucket").select(F.col("bucket").alias("bucket"), every("rows").alias("a"), part("all").alias("b"), *[F.col(c).alias(c) for c in ("key", "size", "sig")])
+
+    def across(one: pa.Table, two: pa.Table) -> pa.Table:
+        n = one.num_rows
+        if not n or not two.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["u", "v"])
+        keys, sizes = (np.concatenate([t.column(c).to_numpy() for t in (one, two)]) for c in ("key", "size"))
+        signs = np.concatenate([_signs(one.column("sig")), _signs(two.column("sig"))])
+        found = list(_met(np.arange(n), np.arange(n, len(keys)), signs, sizes, threshold, tolerance))
+        label = least_labels(len(keys), *(np.concatenate(c) for c in zip(*found, strict=True)))
+        tied = label != np.arange(len(label))
+        return pa.table([pa.array(keys[tied]), pa.array(keys[label[tied]])], names=["u", "v"])
+
+    return ties.unionByName(left.groupBy("bucket", "a", "b").cogroup(right.groupBy("bucket", "a", "b")).applyInArrow(across, shape))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, tolerance: float = TOLERANCE) -> DataFrame:
     """(id, class_id, n_links) for each row: links lead to all rows whose text is similar enough, copies included."""
     texts = docs.select(F.col(text_col).alias("text"))
@@ -140,28 +260,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words, multipliers = Words(), odd_constants(BANDS * BAND_ROWS, 2)
         salt = mix(np.arange(BANDS, dtype=U64))
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, sizes, signs = [], [], [], []
             for terms in shingle_sets(batch.column(1), words, width):
                 keys.append(set_key(terms))
-                total = salt.copy()
-                for value in signature(terms, multipliers).reshape(BANDS, BAND_ROWS).T:
+                sizes.append(len(terms))
+                total, least = salt.copy(), signature(terms, multipliers)
+                for value in least.reshape(BANDS, BAND_ROWS).T:
                     total = mix(total ^ value)
                 bands.append(total.view(np.int64))
+                signs.append((mix(least) >> U64(56)).astype(np.uint8).tobytes())
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)], names=["doc_id", "key", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists], names=["doc_id", "key", "bytes", "size", "sig", "bands"])
 
-    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, "doc_id long, key long, bands array<long>"))
-    nodes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    banded = rows.dropDuplicates(["key"]).select("key", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "head")
-    ties = banded.join(heads, "bucket").filter("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
+    rows = cut_lineage(read.mapInArrow(sign, "doc_id long, key long, bytes long, size long, sig binary, bands array<long>"))
+    nodes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"))
+    ties = candidate_ties(rows.select("key", "size", "sig", "bands").dropDuplicates(["key"]), threshold, tolerance)
     found = cut_lineage(components(ties))
 
     # How each component is cut, and the copies of each node.
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    placed = found.withColumnRenamed("node", "key").join(sizes, "root").join(nodes.select("key", "copies"), "key")
-    placed = cut_lineage(placed.select("key", "root", "copies", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    known = found.withColumnRenamed("node", "key").join(nodes.select("key", "copies", "bytes"), "key")
+    sizes = known.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = cut_lineage(known.join(sizes, "root").select("key", "root", "copies", F.greatest("blocks", F.lit(1)).alias("blocks")))
 
     def keyed(batches):
         """Each distinct set's text, once a partition."""
@@ -180,29 +301,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = texts.mapInArrow(keyed, "key long, text string").join(placed, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pieces = pieces.select("*", other.alias("peer")).select("*", F.least("own", "peer").alias("a"), F.greatest("own", "peer").alias("b"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(spread))).otherwise(F.xxhash64("root", "a", "b"))
-    pieces = pieces.select(task.alias("task"), "root", "a", "b", "own", "key", "copies", "text")
+    pieces = pieces.select("root", "a", "b", "own", "key", "copies", "text")
 
-    def compare(batch: pa.Table) -> pa.Table:
+    def compare(batches):
+        """One pair of blocks at a time."""
         words = Words()
-        column = {n: batch.column(n).to_numpy() for n in ("root", "a", "b", "own", "key", "copies")}
-        out: list[tuple] = []
-        group = np.unique(np.stack([column["root"], column["a"], column["b"]]), axis=1, return_inverse=True)[1].ravel()
-        order = np.argsort(group, kind="stable")
-        for rows_of in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            rows_of = rows_of[np.unique(column["key"][rows_of], return_index=True)[1]]  # ascending keys, each once
-            sets = list(shingle_sets(batch.column("text").take(pa.array(rows_of)), words, width))
-            own, a, b = column["own"][rows_of], column["a"][rows_of[0]], column["b"][rows_of[0]]
+        for rows_of in runs(batches, ["root", "a", "b"]):
+            rows_of = rows_of.combine_chunks()
+            column = {n: rows_of.column(n).to_numpy() for n in ("a", "b", "own", "key", "copies")}
+            once = np.unique(column["key"], return_index=True)[1]  # ascending keys, each once
+            sets = list(shingle_sets(rows_of.column("text").take(pa.array(once)), words, width))
+            own, a, b = column["own"][once], column["a"][0], column["b"][0]
             left = np.flatnonzero(own == a)
             right = left if a == b else np.flatnonzero(own == b)
             i, j = similar_pairs(sets, left, right, threshold, tolerance)
-            copies = column["copies"][rows_of]
-            links = np.bincount(i, weights=copies[j], minlength=len(rows_of)) + np.bincount(j, weights=copies[i], minlength=len(rows_of))
-            keys = column["key"][rows_of]
-            out.append((keys, keys[least_labels(len(keys), i, j)], links.astype(np.int64)))
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["key", "label", "links"])
+            copies, keys = column["copies"][once], column["key"][once]
+            links = np.bincount(i, weights=copies[j], minlength=len(once)) + np.bincount(j, weights=copies[i], minlength=len(once))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[least_labels(len(keys), i, j)]), pa.array(links.astype(np.int64))], names=["key", "label", "links"])
 
-    compared = cut_lineage(pieces.groupBy("task").applyInArrow(compare, "key long, label long, links long"))
+    dealt = pieces.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "key")
+    compared = cut_lineage(dealt.mapInArrow(compare, "key long, label long, links long"))
     classes = components(compared.select(F.col("key").alias("u"), F.col("label").alias("v")))
     links = compared.groupBy("key").agg(F.sum("links").alias("links"))
     named = nodes.join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

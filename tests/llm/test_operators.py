@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from leadweave.llm import packing as PA
 from leadweave.llm import segmentations as SG
 from leadweave.llm import toxicity as TX
 from leadweave.llm import url_filter as UF
-from leadweave.llm.common import Words
+from leadweave.llm.common import Words, mix, odd_constants
 
 SYLLABLES = "an er in on the re ti es st nd".split()
 
@@ -240,14 +241,30 @@ def test_near_duplicates(spark, monkeypatch):
     texts = make_texts(80, 5) + near + [base] * 10 + ["", None, "!!", "??", "one two", "One  two!"]
     wanted = brute_links(texts)
     docs = documents(spark, texts)
-    for block in (512, 8):  # one task, and blocks of a large component
+    for block, bucket, size in ((512, 2048, 8 << 20), (8, 5, 8 << 20), (512, 3, 300)):  # one task, and blocks of large buckets and components
         monkeypatch.setattr(ND, "BLOCK", block)
+        monkeypatch.setattr(ND, "BUCKET", bucket)
+        monkeypatch.setattr(ND, "BLOCK_BYTES", size)
         rows = {r["doc_id"]: r for r in ND.near_duplicates(docs).collect()}
         assert [rows[i]["class_id"] for i in range(len(texts))] == wanted[0]
         assert [rows[i]["n_links"] for i in range(len(texts))] == wanted[1]
     assert sorted(r["doc_id"] for r in ND.one_of_each(docs).collect()) == sorted(set(wanted[0]))
 
 
+def test_chains_of_less_similar_texts_are_not_tied(spark):
+    """Neighbours in the chain share half of their words' runs and meet in buckets, but no text is fetched for them."""
+    words = [f"w{i}" for i in range(4000)]
+    sets = list(ND.shingle_sets(pa.array([" ".join(words[20 * i : 20 * i + 64]) for i in range(150)]), Words()))
+    constants = odd_constants(ND.BANDS * ND.BAND_ROWS, 2)
+    rows = []
+    for k, terms in enumerate(sets):
+        least = ND.signature(terms, constants)
+        rows.append((k, len(terms), bytes((mix(least) >> np.uint64(56)).astype(np.uint8)), [hash((b, *v)) for b, v in enumerate(least.reshape(ND.BANDS, ND.BAND_ROWS).tolist())]))
+    nodes = spark.createDataFrame(rows, "key long, size long, sig binary, bands array<long>")
+    shared = nodes.select("key", F.explode("bands").alias("b")).groupBy("b").count().filter("count > 1").count()
+    assert shared > 50 and ND.candidate_ties(nodes).count() == 0
+
+
 def test_least_matches_is_the_posterior():
     m = ND.least_matches(28, 0.8, 1e-3)
     xs = (np.arange(200_000) + 0.5) / 200_000

@@ -3,7 +3,9 @@
 Rules name a host (with all its subdomains) and a path prefix; the longest that fits decides. A url that no rule decides
 gets its host's verdict. Trust starts at hosts with allowed pages and follows links (personalised PageRank); distrust
 starts at hosts with blocked pages and follows links backwards, from the linked host to the linking one. A host with more
-distrust than trust is blocked; one that neither reaches is allowed.
+distrust than trust is blocked; one that neither reaches is allowed. Both walks go on until a round of steps moves less than
+``TOLERANCE`` of all and reaches no new host. What arrives at a host without links to follow goes back to the seeds, which
+is the same as scaling what the hosts have to a sum of 1.
 
 DataFrame operations only. Links are counted per pair of hosts before any shuffle, so a host with many pages is many
 partial counts; the pages' own join with the host table shuffles urls, never html, and leaves skew to adaptive execution.
@@ -29,7 +31,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 10
+#: Rounds between two checkpoints, and the share of all trust or distrust that may still be on its way.
+ROUNDS, TOLERANCE = 5, 1e-6
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -62,23 +65,28 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.filter("src <> dst AND src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """seeds (host, trust, distrust), edges (src, dst, n) -> (host, trust, distrust) after some rounds of both walks."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """seeds (host, trust, distrust), edges (src, dst, n) -> (host, trust, distrust) after both walks."""
     edges = cut_lineage(edges)
     start = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")])
     if edges.isEmpty():
-        return start  # nowhere to walk
+        return seeds.select("host", "trust", "distrust")  # nowhere to walk
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back"))
     steps = cut_lineage(shares.selectExpr("src AS at", "dst AS to", "forth", "0D AS back").unionByName(shares.selectExpr("dst AS at", "src AS to", "0D AS forth", "back")).groupBy("at", "to").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back")))
     start = rank = cut_lineage(start)
-    for i in range(rounds):
-        moved = steps.join(rank.withColumnRenamed("host", "at"), "at").select(F.col("to").alias("host"), (F.col("trust") * F.col("forth") * damping).alias("trust"), (F.col("distrust") * F.col("back") * damping).alias("distrust"))
-        rank = start.unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 5 == 4:
-            rank = cut_lineage(rank)
-    return rank
+    sums = [F.sum("trust"), F.sum("distrust"), F.count(F.when(F.col("trust") > 0, 1)), F.count(F.when(F.col("distrust") > 0, 1))]
+    before = start.agg(*sums).first()
+    while True:
+        for _ in range(ROUNDS):
+            moved = steps.join(rank.withColumnRenamed("host", "at"), "at").select(F.col("to").alias("host"), (F.col("trust") * F.col("forth") * damping).alias("trust"), (F.col("distrust") * F.col("back") * damping).alias("distrust"))
+            rank = start.unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        rank = cut_lineage(rank)
+        now = rank.agg(*sums).first()  # sums only grow
+        if all(now[i] - before[i] <= tolerance for i in (0, 1)) and now[2:] == before[2:]:
+            return rank.select("host", *[(F.col(c) / F.lit(now[i] or 1.0)).alias(c) for i, c in enumerate(("trust", "distrust"))])
+        before = now
 
 
 def host_scores(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -95,23 +103,16 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     scores = host_scores(pages, rules)
     out = parsed_pages(pages, rules).join(scores, "host", "left")
     method = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def _oracle() -> str:
-    walks = ",\n".join(
-        f"""r{i} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-  SELECT host, trust, distrust FROM r0
-  UNION ALL SELECT e.dst, r.trust * e.n / o.n * {DAMPING}, 0 FROM e JOIN o ON o.src = e.src JOIN r{i - 1} r ON r.host = e.src
-  UNION ALL SELECT e.src, 0, r.distrust * e.n / d.n * {DAMPING} FROM e JOIN d ON d.dst = e.dst JOIN r{i - 1} r ON r.host = e.dst) GROUP BY host)"""
-        for i in range(1, ROUNDS + 1)
-    )
     return f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html,
     CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*', 0) ELSE '' END AS raw_host,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -130,9 +131,15 @@ l AS (SELECT page_id, host AS src, unnest(list_distinct(list_transform(regexp_ex
 e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY src, dst),
 o AS (SELECT src, sum(n) AS n FROM e GROUP BY src),
 d AS (SELECT dst, sum(n) AS n FROM e GROUP BY dst),
-{walks}
-SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN r{ROUNDS}.distrust > r{ROUNDS}.trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN r{ROUNDS} ON r{ROUNDS}.host = v.host"""
+t AS (SELECT e.src AS here, e.dst AS dest, e.n / o.n AS forth, CAST(0 AS DOUBLE) AS back FROM e JOIN o ON o.src = e.src
+  UNION ALL SELECT e.dst, e.src, CAST(0 AS DOUBLE), e.n / d.n FROM e JOIN d ON d.dst = e.dst),
+m AS (SELECT here, dest, sum(forth) AS forth, sum(back) AS back FROM t GROUP BY here, dest),
+w(i, host, trust, distrust) AS (SELECT 0, host, CAST(trust AS DOUBLE), CAST(distrust AS DOUBLE) FROM r0
+  UNION ALL SELECT w.i + 1, m.dest, sum(w.trust * m.forth) * {DAMPING}, sum(w.distrust * m.back) * {DAMPING} FROM w JOIN m ON m.here = w.host WHERE w.i < 120 GROUP BY w.i, m.dest),
+r AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM w GROUP BY host),
+k AS (SELECT greatest(sum(trust), 1e-300) AS trust, greatest(sum(distrust), 1e-300) AS distrust FROM r)
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN r.distrust / k.distrust > r.trust / k.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN r ON r.host = v.host CROSS JOIN k"""
 
 
 ORACLE = _oracle()

@@ -4,7 +4,9 @@ Every run of ``gram`` words of a template is hashed; of each ``window`` neighbou
 an inverted index hash -> (template, place). All runs of a text are looked up in it, whole batches at a time, so that any
 passage that shares gram + window - 1 words with a template is met. The places met give diagonals; neighbouring ones
 make one candidate, and a local alignment of words in a band around it (match 1, mismatch and gap -1) gives the words that
-match, in order, and where the passage starts and ends.
+match, in order, and where the passage starts and ends. Alignments of one template that follow one another in the text and
+in the template, with less than the template's length between them, are chained into one passage, so that a long insertion
+or a missing paragraph does not cut it in two.
 
 The index is as large as the templates, which the caller gives on the driver and which may hold ``MAX_TEMPLATE_WORDS`` words.
 
@@ -14,6 +16,8 @@ passage that fits several templates is reported for each. Other columns are igno
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +28,17 @@ from .common import Words, byte_chunks, shingles, table
 GRAM, WINDOW = 3, 3
 MIN_COVERAGE = 0.6
 MAX_TEMPLATE_WORDS = 5_000_000
-#: Notices as their licenses give them.
+#: Licenses and notices, whole, and short lines that name a license.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "mit-line": "Released under the MIT License.",
-    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "all-rights-reserved": "All rights reserved.",
 }
 
@@ -93,28 +98,57 @@ class Index:
     def band(self, k: int) -> int:
         return min(8, max(1, len(self.tokens[k]) // 4))
 
-    def align(self, k: int, diagonal: int, text: np.ndarray) -> tuple[int, int, int]:
-        """Best local alignment of template k in the band: words matched, first and last + 1 word of the text."""
+    def align(self, k: int, diagonal: int, text: np.ndarray) -> tuple[int, int, int, int, int]:
+        """Best local alignment of template k in the band: words matched, first and last + 1 word of the text, and of the template."""
         template, band = self.tokens[k].tolist(), self.band(k)
-        best = (0, 0, 0, 0)
-        row: dict[int, tuple[int, int, int]] = {}  # text place -> (score, matches, start)
+        best = (0, 0, 0, 0, 0, 0)
+        row: dict[int, tuple[int, int, int, int]] = {}  # text place -> (score, matches, start in text, in template)
         for t, word in enumerate(template):
-            new: dict[int, tuple[int, int, int]] = {}
+            new: dict[int, tuple[int, int, int, int]] = {}
             lo, hi = max(0, t + diagonal - band), min(len(text), t + diagonal + band + 1)
             for p in range(lo, hi):
-                score, matched, start = row.get(p - 1, (0, 0, p))
+                score, matched, *start = row.get(p - 1, (0, 0, p, t))
                 same = int(text[p]) == word
-                cell = (score + 1, matched + 1, start) if same else (score - 1, matched, start)
+                cell = (score + 1, matched + 1, *start) if same else (score - 1, matched, *start)
                 for other in (row.get(p), new.get(p - 1)):
                     if other and other[0] - 1 > cell[0]:
                         cell = (other[0] - 1, *other[1:])
                 if cell[0] > 0:
                     new[p] = cell
                     if same and (cell[0], cell[1]) > best[:2]:
-                        best = (cell[0], cell[1], cell[2], p + 1)
+                        best = (cell[0], cell[1], cell[2], p + 1, cell[3], t + 1)
             row = new
         return best[1:]
 
+    def passages(self, runs: np.ndarray, text: np.ndarray, min_coverage: float) -> list[tuple[int, int, int, int]]:
+        """(first word, last + 1, template, words matched) of each passage, in order; of those of a template that overlap, the best."""
+        aligned: dict[int, list[tuple]] = {}
+        for k, diagonal, _, _ in self.candidates(runs):
+            matched, a, b, ta, tb = self.align(k, diagonal, text)
+            if matched:
+                aligned.setdefault(k, []).append((a, b, ta, tb, matched))
+        out = []
+        for k, parts in aligned.items():
+            length, parts = len(self.tokens[k]), sorted(set(parts))
+            chains: list[tuple] = []  # the best that ends with each part
+            for i, (a, b, ta, tb, matched) in enumerate(parts):
+                before = (a, 0)
+                for j in range(i - 1, -1, -1):
+                    if parts[j][0] < a - 2 * length:
+                        break
+                    if parts[j][1] <= a and parts[j][3] <= ta and a - parts[j][1] < length:
+                        before = max(before, (chains[j][0], chains[j][4]), key=lambda c: c[1])
+                chains.append((before[0], b, ta, tb, before[1] + matched))
+            kept: list[tuple[int, int]] = []  # passages so far, disjoint
+            for a, b, _, _, matched in sorted(chains, key=lambda c: (-c[4], c[0])):
+                if matched < min_coverage * length:
+                    break
+                at = bisect.bisect_left(kept, (a, a))
+                if not (at and kept[at - 1][1] > a) and not (at < len(kept) and kept[at][0] < b):
+                    kept.insert(at, (a, b))
+                    out.append((a, b, k, matched))
+        return sorted(out)
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = MIN_COVERAGE, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(id, license, coverage, matched_words, start, end) of each passage; start and end count code points. In place, without a shuffle."""
@@ -131,16 +165,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 met = np.isin(runs, index.keys)
                 for j in np.unique(np.searchsorted(starts, np.flatnonzero(met), side="right") - 1):
                     own = tokens[before[j] : before[j + 1]]
-                    found: dict[tuple[int, int, int], int] = {}
-                    for k, diagonal, _, _ in index.candidates(runs[starts[j] : starts[j + 1]]):
-                        matched, a, b = index.align(k, diagonal, own)
-                        if matched >= min_coverage * len(index.tokens[k]):
-                            found[k, a, b] = max(matched, found.get((k, a, b), 0))
+                    found = index.passages(runs[starts[j] : starts[j + 1]], own, min_coverage)
                     if found:
                         points = np.concatenate([[0], np.cumsum((data[offsets[j] : offsets[j + 1]] & 0xC0) != 0x80)])
-                    for (k, a, b), matched in sorted(found.items()):
-                        if any(q == k and x < b and a < y and (n, -x) > (matched, -a) for (q, x, y), n in found.items()):
-                            continue  # a better alignment of the same passage
+                    for a, b, k, matched in found:
                         span = (first[before[j] + a] - offsets[j], last[before[j] + b - 1] - offsets[j])
                         out.append((row + int(j), index.names[k], matched / len(index.tokens[k]), matched, int(points[span[0]]), int(points[span[1]])))
             columns = list(zip(*out, strict=True)) or [()] * 6

@@ -177,6 +177,54 @@ def test_license_spans_and_brute_force(spark):
     assert {r["doc_id"] for r in rows} == {0, 1, 2, 4}
 
 
+def test_licenses_are_told_apart_whole():
+    index = LI.Index(LI.TEMPLATES)
+
+    def found(text):
+        tokens, _, _, before = index._hashed(text)
+        runs, _ = LI.shingles(tokens, before, LI.GRAM)
+        return {index.names[k]: n / len(index.tokens[k]) for _, _, k, n in index.passages(runs, tokens, LI.MIN_COVERAGE)}
+
+    two, three = found("x " + LI.TEMPLATES["bsd-2-clause"] + " y"), found(LI.TEMPLATES["bsd-3-clause"])
+    assert two["bsd-2-clause"] == 1.0 > two["bsd-3-clause"] and three["bsd-3-clause"] == 1.0 > 0.9 < three["bsd-2-clause"]
+    words = LI.TEMPLATES["mit"].split(" ")
+    assert found(" ".join(words[:80] + ["inserted"] * 30 + words[80:]))["mit"] > 0.97  # wider than the band
+    assert found(" ".join(words[:60])) == {}
+
+
+def test_alignment_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        template = [rng.randrange(30) for _ in range(24)]
+        text = [rng.randrange(30) for _ in range(rng.randrange(5))] + template[:]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = [rng.randrange(30)] * rng.randrange(2)
+        index = LI.Index({})
+        index.tokens = [np.array(template)]
+        matched, a, b, ta, tb = index.align(0, len(text) - len(template), np.array(text))
+        best, row = 0, [0] * (len(text) + 1)
+        for x in template:
+            new = [0]
+            for j, y in enumerate(text, 1):
+                new.append(max(0, row[j - 1] + (1 if x == y else -1), row[j] - 1, new[-1] - 1))
+            row, best = new, max(best, *new)
+        # the score of what was found is the best there is: matches less all other columns of the best alignment of its parts
+        part = [0 - i for i in range(b - a + 1)]
+        for i, x in enumerate(template[ta:tb], 1):
+            new = [-i]
+            for j, y in enumerate(text[a:b], 1):
+                new.append(max(part[j - 1] + (1 if x == y else -1), part[j] - 1, new[-1] - 1))
+            part = new
+        assert part[-1] == best and matched <= min(b - a, tb - ta)
+
+
+def test_many_passages_in_one_text(spark):
+    line = LI.TEMPLATES["mit-line"]
+    rows = LI.scan(documents(spark, [" ".join([line, "and then some other words of no weight at all."] * 3000)])).collect()
+    assert len([r for r in rows if r["license"] == "mit-line" and r["coverage"] == 1.0]) == 3000
+
+
 def test_winnowing_keeps_one_of_each_window():
     hashes = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     kept = set(LI.winnow(hashes, 4).tolist())
@@ -217,6 +265,18 @@ def test_language_by_brute_force(spark):
         counts[lang] = sorted(c.values(), reverse=True)[:50]
         assert len(profiles[lang]) == len(counts[lang])
     rows = {r["doc_id"]: r for r in LA.identify(docs, profiles, length=50).collect()}
+    ranked = {}  # ties by the n-gram's number
+    for lang in kinds:
+        c = collections.Counter(g for t, own in zip(texts, langs) if own == lang and t for g in LA.grams([t])[0].tolist())
+        ranked[lang] = [g for g, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:50]]
+    assert profiles == ranked
+    for i, t in enumerate(texts):
+        c = collections.Counter(LA.grams([t or ""])[0].tolist())
+        own = [g for g, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:50]]
+        if own:
+            far = {lang: sum(abs(n - ranked[lang].index(g)) if g in ranked[lang] else 50 for n, g in enumerate(own)) for lang in kinds}
+            first, second = sorted(far.values())[:2]
+            assert far[rows[i]["lang_pred"]] == first and rows[i]["score"] == pytest.approx(1 - first / second)
     assert [rows[i]["lang_pred"] for i in range(90)] == langs[:90]
     assert [rows[i]["lang_pred"] for i in (90, 91, 92, 93)] == ["und", "und", "und", "aa"]
     assert all(0 <= r["score"] <= 1 for r in rows.values())

@@ -5,7 +5,7 @@ clean texts lack. A term is tested by its own texts alone, however few of all to
 toxic that chance (the binomial tail's Chernoff bound, over all words tried) hardly explains it. All its terms form one trie. The words of a text run through the product of that trie and the terms' Levenshtein automata, made deterministic as states
 are met, so that misspelled terms are found without trying each term. Each find weighs as much as its term, or its term at
 that distance, has proved in the labelled texts; the words and signs around it raise that weight (address) or lower it
-(quotation, report). A text's score is the chance that any of its finds is abuse, each taken to be independent.
+(quotation, report) by fixed factors. A text's score is the chance that any of its finds is abuse, each taken to be independent.
 
 Learning uses at most ``fit_rows`` labelled rows (those with the smallest hash of the id), of equal texts one. Scoring
 covers all rows and whole texts.
@@ -215,6 +215,7 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 def learn_weights(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, dict[int, float]]:
     """From (text, toxic): the terms, and what a find at each distance weighs."""
+    rows = cut_lineage(rows)  # the documents are read once for it
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return {}

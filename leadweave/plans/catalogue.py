@@ -713,3 +713,60 @@ def masked_headers(spark, d):
     name, value = F.when(even, "Authorization").otherwise("X-Name"), F.when(even, F.concat(F.lit("Bearer "), "n_name")).otherwise(F.col("n_name"))
     return table(spark, d, "nation").select("n_nationkey", S.mask_secret(name, value).alias("value"))
 
+
+# --- a whole run ---------------------------------------------------------------------------------------------------
+
+
+def site_pages(spark, d) -> DataFrame:
+    """Three recorded pages for each of the driver's pages, whose contents follow from its number."""
+    n = F.col("page_id").cast("string")
+    five = F.lpad(n, 5, "0")
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("Company "), n).alias("company_name"), F.concat(F.lit("https://h"), n, F.lit(".example/")).alias("site"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("place"))
+
+    def only(m: int, r: int, text):
+        return F.when(F.col("page_id") % m == r, text).otherwise("")
+
+    first = F.concat(F.lit("Welcome\n"), only(2, 0, F.concat(F.lit("sales"), n, F.lit("@one.example\n"))), F.lit("Call +91 98765"), five, only(3, 0, F.concat(F.lit(" or 91234"), five)), F.lit("\n"))
+    second = F.concat(F.lit("Plot "), n, F.lit(", SIDCO Estate, Chennai, Tamil Nadu 600001\nwrite to info"), n, F.lit("@two.example\nAsha Rao (Managing Director)\n"), only(5, 1, F.concat(F.lit("call 70000"), five)))
+    third = F.concat(F.lit("CIN: U12345TN2001PTC"), F.lpad(n, 6, "0"), F.lit("\nmobile 80000"), five, F.lit("\nGSTIN 33ABCDE1234F1Z7"))
+    text = F.when(F.col("place") == 0, first).when(F.col("place") == 1, second).otherwise(third)
+    jsonld = F.concat(F.lit('<script type="application/ld+json">{"@type": "LocalBusiness", "name": "Works '), n, F.lit('"}</script>'))
+    heading = F.concat(F.lit("<h1>Heading "), n, F.lit("</h1>"))
+    html = F.when(F.col("place") == 0, F.concat(only(4, 0, jsonld), only(4, 1, heading))).otherwise("<p>x</p>")
+    return rows.select("page_id", "company_name", "place", F.when(F.col("place") == 0, F.col("site")).otherwise(F.concat("site", F.lit("p"), F.col("place").cast("string"))).alias("url"), html.alias("html"), text.alias("text"))
+
+
+_SITE = """n AS (SELECT page_id, CAST(page_id AS VARCHAR) AS t, lpad(CAST(page_id AS VARCHAR), 5, '0') AS z FROM pages),
+site AS (SELECT page_id, 'Company ' || t AS company_name, CASE WHEN page_id % 2 = 0 THEN 'sales' || t || '@one.example' ELSE 'info' || t || '@two.example' END AS email,
+  'Plot ' || t || ', SIDCO Estate, Chennai, Tamil Nadu 600001' AS address, 'Asha Rao' AS contact_person, 'Managing Director' AS designation,
+  page_id % 3 = 0 OR page_id % 5 = 1 AS done, '+91 98765' || z AS p1, CASE WHEN page_id % 3 = 0 THEN '91234' || z WHEN page_id % 5 = 1 THEN '70000' || z ELSE '80000' || z END AS p2,
+  CASE page_id % 4 WHEN 0 THEN 'Works ' || t WHEN 1 THEN 'Heading ' || t END AS official_name, 'https://h' || t || '.example/' AS url, 'U12345TN2001PTC' || lpad(t, 6, '0') AS own_cin FROM n)"""
+
+
+@query("site_visits", f"WITH {_SITE} SELECT company_name, email, address, contact_person, designation, CASE WHEN NOT done THEN '33ABCDE1234F1Z7' END AS gst, CASE WHEN NOT done THEN own_cin END AS cin, p1 || '|' || p2 AS phones, official_name, url FROM site")
+def site_visits(spark, d):
+    from ..operators.site import site_table
+
+    return site_table(site_pages(spark, d)).withColumn("phones", F.array_join("phones", "|")).drop("linkedin_url")
+
+
+@query("lead_workflow", f"""WITH {_SITE}
+SELECT coalesce(official_name, company_name) AS "Company Name", CASE WHEN NOT done THEN '33ABCDE1234F1Z7' WHEN page_id = 21 THEN '29ABCDE1234F1ZW' ELSE '' END AS "GST",
+ CASE WHEN done AND page_id = 21 THEN 'Above 500 Cr' ELSE '' END AS "Turn Over", '' AS "Region", 'Chennai' AS "City", 'Pump supplier' AS "Industry Type", 'Asha Rao' AS "Contact Person", 'Managing Director' AS "Designation",
+ p1 AS "Mobile Number", p2 AS "Alternate Mobile Number", email AS "Email ID", '' AS "LinkedIN Id", url AS "Website URL",
+ array_to_string(list_filter([CASE WHEN done AND page_id = 21 THEN NULL ELSE 'unverified: turnover unavailable' END, 'unverified: employee count unavailable'], lambda x: x IS NOT NULL), '; ') AS "Remarks", '' AS "Followup"
+FROM site WHERE done""")
+def lead_workflow(spark, d):
+    """Search, visit, enrich, validate and export; of companies that share a GSTIN only the first stays, so those that show theirs are known ones."""
+    from ..operators.site import site_table
+    from .understanding import Context, run_workflow
+    from .workflow import STEPS
+
+    pages = site_pages(spark, d)
+    found = pages.filter("place = 0").select(F.col("page_id").alias("rank"), "company_name", F.col("url").alias("website"), F.lit("Pump supplier").alias("industry"), F.lit(0).alias("industry_ord"))
+    names = found.filter("rank = 21").select(F.col("company_name").alias("name"), F.lit("29ABCDE1234F1ZW").alias("gst"))
+    slabs = spark.createDataFrame([("29ABCDE1234F1ZW", "Above 500 Cr")], "gst string, slab string")
+    known = spark.createDataFrame([("gst:33ABCDE1234F1Z7",)], "key string")
+    tables = {"found": found, "site": site_table(pages), "gst_by_name": names, "slab_by_gst": slabs, "known_keys": known}
+    context = Context({"max_results": 10**9, "location": "Chennai", "industry": "Pump"}, tables)
+    return export.export_rows(run_workflow(found, context, STEPS))

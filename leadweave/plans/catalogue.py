@@ -770,3 +770,81 @@ def lead_workflow(spark, d):
     tables = {"found": found, "site": site_table(pages), "gst_by_name": names, "slab_by_gst": slabs, "known_keys": known}
     context = Context({"max_results": 10**9, "location": "Chennai", "industry": "Pump"}, tables)
     return export.export_rows(run_workflow(found, context, STEPS))
+
+
+# --- recorded result pages and files -------------------------------------------------------------------------------
+
+
+def result_pages(spark, d, html) -> DataFrame:
+    """(query, place, html): a recorded result page for each part."""
+    return table(spark, d, "part").select((F.col("p_partkey") % 7).alias("query"), F.col("p_partkey").alias("place"), html.alias("html"))
+
+
+def _key(before: str, after: str = ""):
+    return F.concat(F.lit(before), F.col("p_partkey").cast("string"), F.lit(after))
+
+
+@query("web_results", "SELECT p_partkey % 7 AS query, 'Works ' || p_partkey || ' & Co' AS company_name, 'https://w' || p_partkey || '.example/' AS website, p_partkey * 1000000 AS rank FROM part WHERE p_partkey % 3 > 0")
+def web_results(spark, d):
+    from ..sources.providers import web_search
+
+    title = F.when(F.col("p_partkey") % 3 > 0, _key("<h3>Works ", " &amp; Co</h3>")).otherwise("")
+    return web_search(result_pages(spark, d, F.concat(F.lit('<div class="g"><a href="/x">no title</a></div><p><div class="a g"><div>'), title, _key('<a href="https://w', '.example/">go</a></div></div>'))))
+
+
+@query("map_results", "SELECT p_partkey % 7 AS query, 'Shop ' || p_partkey AS company_name, 'https://m' || p_partkey || '.example/' AS website, '0422 ' || p_partkey AS phone, 'Pump supplier' AS industry, p_partkey || ' Main St' AS address, p_partkey * 1000000 AS rank FROM part")
+def map_results(spark, d):
+    from ..sources.providers import map_listing
+
+    card = F.concat(F.lit('<div class="Nv2PK"><a class="hfpxzc" href="/maps/x"></a>'), _key('<div class="qBF1Pd">Shop ', "</div>"), F.lit('<div class="W4Efsd">4.5</div>'), _key('<div class="W4Efsd">Pump supplier ·  · ', ' Main St</div><div class="W4Efsd">Open · Closes 6 pm</div>'), _key('<span class="UsdlK"> 0422 ', "</span>"))
+    link = _key('<a href="https://m', '.example/">site</a>')
+    return map_listing(result_pages(spark, d, F.concat(card, F.lit('<a href="/maps/dir">way</a></div>'), card, link, F.lit("</div>"))))
+
+
+@query("directory_results", "SELECT p_partkey % 7 AS query, name AS company_name, '/p/' || p_partkey AS website, CASE WHEN o = 0 THEN 'Salem' END AS city, o AS provider_ord FROM (SELECT p_partkey, 'Firm ' || p_partkey AS name, 0 AS o FROM part UNION ALL SELECT p_partkey, 'Other ' || p_partkey, 1 FROM part)")
+def directory_results(spark, d):
+    from ..sources.providers import composite_directory, directory_listing
+
+    def listing(name, kind, city):
+        card = F.concat(F.lit(f'<li class="{kind}">'), _key('<a href="/p/', f'">{name} '), F.col("p_partkey").cast("string"), F.lit(f"</a>{city}</li>"))
+        return directory_listing(result_pages(spark, d, F.concat(card, card)), kind)
+
+    both = composite_directory(listing("Firm", "card", '<span class="city">Salem</span>'), listing("Other", "row", ""))
+    return both.select("query", "company_name", "website", "city", "provider_ord")
+
+
+@query("query_encoded", "SELECT p_partkey, p_brand || ' companies in Tamil Nadu' AS place, url_encode(p_brand || ' & ' || p_type) AS encoded FROM part")
+def query_encoded(spark, d):
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", F.concat("p_brand", F.lit(" companies in Tamil Nadu")).alias("place"), F.replace(F.url_encode(F.concat("p_brand", F.lit(" & "), "p_type")), F.lit("+"), F.lit("%20")).alias("encoded"))
+
+
+@query("phones_in_order", "SELECT page_id, '90000' || z || '|' || CASE WHEN page_id % 2 = 0 THEN '80000' || z || '|70000' || z ELSE '70000' || z || '|80000' || z END AS phones FROM (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 5, '0') AS z FROM pages)")
+def phones_in_order(spark, d):
+    z = F.lpad(F.col("page_id").cast("string"), 5, "0")
+    one, two = F.concat(F.lit("80000"), z), F.concat(F.lit("70000"), z)
+    text = F.concat_ws(" or ", F.when(F.col("page_id") % 2 == 0, one).otherwise(two), F.when(F.col("page_id") % 2 == 0, two).otherwise(one), F.concat(F.lit("90000"), z), one)
+    html = F.concat(F.lit('<a href="tel:90000'), z, F.lit('">call</a>'))
+    return table(spark, d, "pages").select("page_id", F.array_join(X.phones(text, html), "|").alias("phones"))
+
+
+@query("rows_without_keys", f"WITH {_C} SELECT seq FROM c WHERE seq % 4 > 0")
+def rows_without_keys(spark, d):
+    blank = {c: F.when(F.col("seq") % 4 > 0, F.col(c)) for c in ("company_name", "website", "phone", "gst")}
+    rows = with_company_fields(companies(spark, d)).withColumns(blank)
+    return rows.filter(F.size(V.company_keys()) > 0).select("seq")
+
+
+@query("baseline_files", "SELECT 'Firm ' || s_suppkey AS company_name, '9' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS phone, CASE WHEN s_suppkey % 2 = 0 THEN 'www.s' || s_suppkey || '.example' END AS website FROM supplier")
+def baseline_files(spark, d):
+    """Two folders of files with different headers, written where the cluster's checkpoints go, read back as one baseline."""
+    import uuid
+
+    from ..operators.lineage import shared_folder
+    from ..sources.files import baseline
+
+    folder, key = f"{shared_folder(spark)}/baseline-{uuid.uuid4()}", F.col("s_suppkey").cast("string")
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Firm "), key).alias("name"), F.concat(F.lit("9"), F.lpad(key, 9, "0")).alias("phone"), F.concat(F.lit("www.s"), key, F.lit(".example")).alias("web"))
+    rows.filter("s_suppkey % 2 = 0").select(F.col("name").alias("Company Name"), F.col("phone").alias("Contact Number"), F.col("web").alias("Website")).write.csv(f"{folder}/a", header=True)
+    rows.filter("s_suppkey % 2 = 1").select(F.col("phone").alias("Phone"), F.col("name").alias("company_name")).write.csv(f"{folder}/b/c", header=True)
+    return baseline(spark, folder).select("company_name", "phone", "website")

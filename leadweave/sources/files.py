@@ -38,14 +38,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     Spark's reader takes UTF-8 and Latin-1; a file in cp1252 is parsed whole where it is scheduled.
     """
     tell = F.udf(lambda b: csv_encoding(bytes(b)), "string")
-    encoding = spark.read.format("binaryFile").load(path).select(tell("content").alias("e")).first()["e"]
-    if encoding == "cp1252":
-        return _parsed_files(spark, path, lambda content: list(csv.reader(io.StringIO(content.decode("cp1252"), newline=""))))
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
+    encodings = [r["e"] for r in spark.read.format("binaryFile").load(path).select(tell("content").alias("e")).distinct().limit(2).collect()]
+    if encodings not in (["utf-8"], ["ISO-8859-1"]):  # cp1252, or files that differ
+        return _parsed_files(spark, path, csv_rows)
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encodings[0])
     return normalise_headers(df.toDF(*[c.removeprefix("\ufeff") for c in df.columns]))
 
 
-def _parsed_files(spark: SparkSession, path: str, rows_of) -> DataFrame:
+def csv_rows(content: bytes) -> list[list[str]]:
+    """The rows of a CSV file in whatever encoding decodes it."""
+    return list(csv.reader(io.StringIO(content.decode(csv_encoding(content)).removeprefix("\ufeff"), newline="")))
+
+
+def _parsed_files(spark: SparkSession, path: str, rows_of, kind: str = "*") -> DataFrame:
     """Company fields from files that ``rows_of`` turns into rows of text, the first the headers."""
     fields = list(HEADER_ALIASES)
 
@@ -61,7 +66,8 @@ def _parsed_files(spark: SparkSession, path: str, rows_of) -> DataFrame:
                     out.append([next((values[a] for a in HEADER_ALIASES[f] if values.get(a)), "" if f == "company_name" else None) for f in fields])
             yield pd.DataFrame(out, columns=fields)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, ", ".join(f"{f} string" for f in fields))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", kind).load(path)
+    return files.select("content").mapInPandas(parse, ", ".join(f"{f} string" for f in fields))
 
 
 def xlsx_rows(content: bytes) -> list[list[str]]:
@@ -105,12 +111,7 @@ def catalogue(spark: SparkSession, folder: str, recursive: bool = False) -> Data
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
     """Company fields of all CSV files below a folder, then all workbooks."""
-    files = [r["path"] for r in catalogue(spark, folder, recursive=True).select("path").toLocalIterator()]
-    parts = [read_csv(spark, p) for p in files if p.lower().endswith(".csv")]
-    books = [p for p in files if p.lower().endswith(".xlsx")]
-    parts += [read_xlsx(spark, p) for p in books]
-    empty = spark.createDataFrame([], ", ".join(f"{f} string" for f in HEADER_ALIASES))
-    return reduce(lambda a, b: a.unionByName(b), parts, empty)
+    return _parsed_files(spark, folder, csv_rows, "*.[cC][sS][vV]").unionByName(_parsed_files(spark, folder, xlsx_rows, "*.[xX][lL][sS][xX]"))
 
 
 def is_plain_file_name(name: str) -> bool:

@@ -32,7 +32,7 @@ from .common import cut_lineage, table
 TABLES = 8
 #: Rows of a bucket, rows a query looks at (those met in several tables counted each time), rows and queries of one task.
 BUCKET_ROWS, LOOKS = 24, 16_000
-SHELF_ROWS, BLOCK_QUERIES = 4096, 8192
+SHELF_ROWS, BLOCK_QUERIES = 65_536, 8192
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -231,7 +231,7 @@ def nearest(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col:
     def one_of(c: str, n):
         return F.pmod(F.xxhash64(c), n)
 
-    cuts = cut_lineage(parts_of(dealt.select("shelf"), 4 * SHELF_ROWS, "rs").join(parts_of(looked.select("shelf"), BLOCK_QUERIES, "qs"), "shelf"))
+    cuts = cut_lineage(parts_of(dealt.select("shelf"), 2 * SHELF_ROWS, "rs").join(parts_of(looked.select("shelf"), BLOCK_QUERIES, "qs"), "shelf"))
     left = dealt.join(cuts, "shelf").select("shelf", one_of("vec_id", F.col("rs")).alias("r"), every(F.col("qs")).alias("b"), "code", "vec_id", "v")
     right = looked.join(cuts, "shelf").select("shelf", every(F.col("rs")).alias("r"), one_of("node", F.col("qs")).alias("b"), "codes", "node", "v")
     found = left.groupBy("shelf", "r", "b").cogroup(right.groupBy("shelf", "r", "b")).applyInArrow(search, kind)
@@ -245,7 +245,7 @@ def nearest(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col:
     short = cut_lineage(asked.join(enough, "node", "left_anti").select("node", "v"))
     n_short = short.count()
     if n_short:
-        shards, blocks = -(-total // SHELF_ROWS), -(-n_short // BLOCK_QUERIES)
+        shards, blocks = -(-16 * total // SHELF_ROWS), -(-n_short // BLOCK_QUERIES)
         shards, blocks = F.lit(shards).cast("long"), F.lit(blocks).cast("long")
         left = held.select(one_of("vec_id", shards).alias("r"), every(blocks).alias("b"), "vec_id", "v")
         right = short.select(every(shards).alias("r"), one_of("node", blocks).alias("b"), "node", "v")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lineage import cut_lineage
 
-__all__ = ["U64", "Words", "byte_chunks", "cut_lineage", "mix", "odd_constants", "runs", "shingles", "table"]
+__all__ = ["U64", "Words", "byte_chunks", "cut_lineage", "give_back", "kept", "mix", "odd_constants", "runs", "shingles", "table"]
 
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
@@ -21,6 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict = {}
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def kept(kind: str, key, make):
+    """A costly object of a worker process, which has one at a time: that of the operator that ran last."""
+    if (kind, key) not in _kept:
+        _kept.clear()
+        gc.collect()
+        give_back()
+        _kept[kind, key] = make()
+    return _kept[kind, key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x + U64(0x9E3779B97F4A7C15)

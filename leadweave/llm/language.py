@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 PROFILE = 400
 CHUNK_CHARS = 1 << 18
@@ -155,16 +155,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     return docs.withColumn(spare, predict.asNondeterministic()(F.col(text_col))).select(*kept, F.col(f"{spare}.lang_pred"), F.col(f"{spare}.score"))
 
 
-_models: dict[int, Profiles] = {}
-
-
 def _model(profiles: dict[str, list[int]], length: int) -> Profiles:
     """Built once for each batch's closure at most."""
     key = hash((length, tuple((k, tuple(v)) for k, v in sorted(profiles.items()))))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Profiles(profiles, length)
-    return _models[key]
+    return kept("language", key, lambda: Profiles(profiles, length))
 
 
 def fold_of(id_col: str, folds: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import components
-from .common import U64, Words, byte_chunks, cut_lineage, mix, odd_constants, runs, shingles, table
+from .common import U64, Words, byte_chunks, cut_lineage, give_back, mix, odd_constants, runs, shingles, table
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 42, 6
@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists], names=["doc_id", "key", "bytes", "size", "sig", "bands"])
+        give_back()
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     rows = cut_lineage(read.mapInArrow(sign, "doc_id long, key long, bytes long, size long, sig binary, bands array<long>"))
@@ -318,6 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             copies, keys = column["copies"][once], column["key"][once]
             links = np.bincount(i, weights=copies[j], minlength=len(once)) + np.bincount(j, weights=copies[i], minlength=len(once))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[least_labels(len(keys), i, j)]), pa.array(links.astype(np.int64))], names=["key", "label", "links"])
+        give_back()
 
     dealt = pieces.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "key")
     compared = cut_lineage(dealt.mapInArrow(compare, "key long, label long, links long"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, give_back, kept, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -117,17 +117,12 @@ class _Layered(dict):
         return self.then[key]
 
 
-_encoders: dict[str, IdBytes] = {}
-
-
 def encoder(path: str) -> IdBytes:
     """One for each worker process."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = IdBytes(path)
-    return _encoders[path]
+    return kept("packing", path, lambda: IdBytes(path))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,6 +248,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         node = TaskContext.get().partitionId()
         columns = [np.full(len(bins), node), bins, full, sizes, number, out[0], out[1], out[2], out[3], out[4], offsets]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PIECES, strict=True)], names=[n for n, _ in _PIECES])
+        give_back()
 
     def merge(least: int):
         return lambda counted: merged(counted, capacity, least)

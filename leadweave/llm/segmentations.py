@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, table
+from .common import U64, kept, mix, table
 
 SAMPLES = 2
 SPACE = "▁"
@@ -547,14 +547,9 @@ class Segmenter:
         return out
 
 
-_segmenters: dict[str, Segmenter] = {}
-
-
 def segmenter(path: str | None) -> Segmenter:
     path = path or vocabulary_path()
-    if path not in _segmenters:
-        _segmenters[path] = Segmenter(path)
-    return _segmenters[path]
+    return kept("segmentations", path, lambda: Segmenter(path))
 
 
 def seed_of(key) -> int:

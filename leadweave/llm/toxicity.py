@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, kept, table
 from .language import fold_of
 
 FIT_ROWS = 40_000
@@ -53,7 +53,7 @@ def allowed_edits(term: str) -> int:
 class TermAutomaton:
     """Trie x Levenshtein automata, determinised lazily. A state is the set of (trie node, edits) reached."""
 
-    def __init__(self, allowed: dict[str, int], most_states: int = 100_000):
+    def __init__(self, allowed: dict[str, int], most_states: int = 60_000):
         """allowed: the most edits of each term; one that ends in * is found as the beginning of words, without edits."""
         self.terms, self.most_states = sorted(allowed), most_states
         self.allowed = [allowed[t] for t in self.terms]
@@ -84,7 +84,7 @@ class TermAutomaton:
 
     def _reset(self) -> None:
         self.ids: dict[frozenset, int] = {}
-        self.states: list[dict[int, int]] = []
+        self.states: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.found: list[list[tuple[int, int]]] = []
         self.start = self._state({0: 0} if self.terms else {})
@@ -105,14 +105,14 @@ class TermAutomaton:
         key = frozenset(nodes.items())
         if key not in self.ids:
             self.ids[key] = len(self.states)
-            self.states.append(nodes)
+            self.states.append(key)
             self.next.append({})
             self.found.append([(e, k) for n, e in nodes.items() if (k := self.term_at[n]) >= 0 and e <= self.allowed[k]])
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
         after: dict[int, int] = {}
-        for node, e in self.states[state].items():
+        for node, e in self.states[state]:
             if node in self.after_stem:
                 after[node] = 0
                 continue
@@ -157,7 +157,7 @@ class Scorer:
         if found:
             weight, edits, term = max(found)
             out = (term, -edits, weight)
-        if len(self.seen) < 150_000:
+        if len(self.seen) < 100_000:
             self.seen[word] = out
         return out
 
@@ -254,15 +254,8 @@ def learn_weights(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, dict
     return weights
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(weights: dict[str, dict[int, float]]) -> Scorer:
-    key = hash(str(sorted(weights.items())))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(weights)
-    return _scorers[key]
+    return kept("toxicity", hash(str(sorted(weights.items()))), lambda: Scorer(weights))
 
 
 def score_texts(docs: DataFrame, weights: dict[str, dict[int, float]], text_col: str = "text", finds: bool = False) -> DataFrame:

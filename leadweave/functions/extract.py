@@ -19,11 +19,11 @@ ADDRESS_WORDS = ("road", "street", "nagar", "estate", "industrial", "layout", "f
 CONTACT_LINK_WORDS = ("contact", "about", "team", "management", "leadership", "legal", "privacy", "terms", "gst", "company-info")
 FIRST_LINK_WORDS = ("gst", "legal", "contact")
 NOT_IN_NAMES = (
-    "pvt ltd limited private industries enterprises company corporation llp inc solutions technologies email phone contact "
-    "address products services engineers engineering about us home careers our more read learn view get india manufacturing "
-    "coimbatore who are automation valves butterfly online retail channel customer centric approach major market bengaluru "
-    "karnataka tamil nadu"
-).split()
+    "pvt", "ltd", "limited", "private", "industries", "enterprises", "company", "corporation", "llp", "inc", "solutions", "technologies",
+    "email", "phone", "contact", "address", "products", "services", "engineers", "engineering", "about", "us", "home", "careers", "our",
+    "more", "read", "learn", "view", "get", "india", "manufacturing", "coimbatore", "who", "are", "automation", "valves", "butterfly",
+    "online", "retail", "channel", "customer", "centric", "approach", "major", "market", "bengaluru", "karnataka", "tamil", "nadu",
+)
 HOURS_WORDS = ("open", "closed", "closes", "opens")
 DOT = " · "
 
@@ -146,8 +146,25 @@ def links(html: Column | str) -> Column:
     return F.transform(raw, lambda a: F.struct(F.regexp_extract(a, r"""(?is)href\s*=\s*["']([^"']*)["']""", 1).alias("href"), collapse(F.regexp_replace(F.regexp_replace(a, r"(?s)<[^>]*>", ""), "&amp;", "&")).alias("label")))
 
 
+def without_dots(path: Column) -> Column:
+    """A rooted path whose "." and ".." steps are taken; what would climb above the root stays there. Query and fragment are kept."""
+    tail = F.regexp_extract(path, r"([?#].*)$", 1)
+
+    def walked(steps: Column) -> Column:
+        none = F.array().cast("array<string>")
+
+        def step(done: Column, s: Column) -> Column:
+            up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+            return F.when(s == ".", done).when(s == "..", up).otherwise(F.concat(done, F.array(s)))
+
+        folder = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), none, step), folder), "/"))
+
+    return F.when(path.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), F.concat(let(F.split(F.regexp_replace(path, r"[?#].*$", ""), "/"), walked), tail)).otherwise(path)
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """href against base, for absolute, scheme-relative, rooted and plain relative hrefs."""
+    """href against base, for absolute, scheme-relative, rooted and plain relative hrefs; the latter two without dot steps."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*((?:/[^?#]*)?)", 1)
@@ -156,10 +173,10 @@ def absolute_url(base: Column, href: Column) -> Column:
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, without_dots(href)))
         .when(href.startswith("?") | href.startswith("#"), F.concat(page, href))
         .when(href == "", base)
-        .otherwise(F.concat(root, folder, href))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, href))))
     )
 
 

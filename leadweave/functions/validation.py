@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BROAD_INDUSTRY, MIN_EMPLOYEES, MIN_TURNOVER_CR
 from .targeting import first_number, match_industry, turnover_range
-from .text import digits, first_truthy, host, is_falsy, strip, word_signs
+from .text import digits, first_truthy, host, is_falsy, let, strip, word_signs
 
 KEY_FIELDS = ("gst", "website", "email", "phone", "phone_alt", "company_name")
 
@@ -34,27 +34,32 @@ def company_keys(fields: dict[str, Column] | None = None) -> Column:
 
 def validation_notes(requested_industry: str | None = None) -> Column:
     """What speaks against a company, in the order industry, turnover, employees."""
-    matched = match_industry("industry")
-    wanted = match_industry(F.lit(requested_industry))
-    industry = (
-        F.when(is_falsy("industry"), "unverified: industry not supplied")
-        .when(matched.isNull(), "unverified: declared industry could not be matched to a target segment")
-        .when(wanted.isNotNull() & (wanted != BROAD_INDUSTRY) & (matched != wanted), F.concat(F.lit("rejected: declared industry '"), matched, F.lit("' does not match requested '"), wanted, F.lit("'")))
-    )
-    slab = turnover_range("turnover")
-    turnover = (
-        F.when(is_falsy("turnover"), "unverified: turnover unavailable")
-        .when(slab["min_cr"].isNull(), "unverified: turnover could not be parsed")
-        .when(slab["max_cr"] < MIN_TURNOVER_CR, f"rejected: turnover below {MIN_TURNOVER_CR} Cr")
-        .when(slab["min_cr"] < MIN_TURNOVER_CR, F.concat(F.lit("unverified: turnover slab '"), F.col("turnover"), F.lit(f"' straddles {MIN_TURNOVER_CR} Cr threshold - needs manual review")))
-    )
-    staff = first_number("employee_count")
-    employees = (
-        F.when(is_falsy("employee_count"), "unverified: employee count unavailable")
-        .when(staff.isNull(), "unverified: employee count could not be parsed")
-        .when(staff < MIN_EMPLOYEES, f"rejected: employee count below {MIN_EMPLOYEES}")
-    )
-    return F.filter(F.array(industry, turnover, employees), lambda n: n.isNotNull())
+    def industry(read: Column) -> Column:
+        matched, wanted = read["matched"], read["wanted"]
+        return (
+            F.when(is_falsy("industry"), "unverified: industry not supplied")
+            .when(matched.isNull(), "unverified: declared industry could not be matched to a target segment")
+            .when(wanted.isNotNull() & (wanted != BROAD_INDUSTRY) & (matched != wanted), F.concat(F.lit("rejected: declared industry '"), matched, F.lit("' does not match requested '"), wanted, F.lit("'")))
+        )
+
+    def turnover(slab: Column) -> Column:
+        return (
+            F.when(is_falsy("turnover"), "unverified: turnover unavailable")
+            .when(slab["min_cr"].isNull(), "unverified: turnover could not be parsed")
+            .when(slab["max_cr"] < MIN_TURNOVER_CR, f"rejected: turnover below {MIN_TURNOVER_CR} Cr")
+            .when(slab["min_cr"] < MIN_TURNOVER_CR, F.concat(F.lit("unverified: turnover slab '"), F.col("turnover"), F.lit(f"' straddles {MIN_TURNOVER_CR} Cr threshold - needs manual review")))
+        )
+
+    def employees(staff: Column) -> Column:
+        return (
+            F.when(is_falsy("employee_count"), "unverified: employee count unavailable")
+            .when(staff.isNull(), "unverified: employee count could not be parsed")
+            .when(staff < MIN_EMPLOYEES, f"rejected: employee count below {MIN_EMPLOYEES}")
+        )
+
+    both = F.struct(match_industry("industry").alias("matched"), match_industry(F.lit(requested_industry)).alias("wanted"))
+    every = F.array(let(both, industry), let(turnover_range("turnover"), turnover), let(first_number("employee_count"), employees))
+    return F.filter(every, lambda n: n.isNotNull())
 
 
 def is_rejected(notes: Column) -> Column:
@@ -62,7 +67,7 @@ def is_rejected(notes: Column) -> Column:
 
 
 def validation_status(notes: Column) -> Column:
-    return F.when(is_rejected(notes), "rejected").when(F.size(notes) == 0, "validated").otherwise("unverified")
+    return let(notes, lambda n: F.when(is_rejected(n), "rejected").when(F.size(n) == 0, "validated").otherwise("unverified"))
 
 
 def validated(df, requested_industry: str | None = None):

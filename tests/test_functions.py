@@ -104,6 +104,23 @@ def test_validation_rules(spark):
     assert [n.split(":")[0] for n in rows[0][1]] == ["rejected"] * 3 and len(rows[2][1]) == 3
 
 
+@pytest.mark.parametrize(
+    ("href", "wanted"),
+    [
+        ("../team", "https://a.example/x/team"),
+        ("./team?q=../z", "https://a.example/x/y/team?q=../z"),
+        ("../../../..", "https://a.example/"),
+        ("/m/./n/../o", "https://a.example/m/o"),
+        ("p/..", "https://a.example/x/y/"),
+        (".hidden", "https://a.example/x/y/.hidden"),
+        ("//b.example/c", "https://b.example/c"),
+        ("?q=1", "https://a.example/x/y/z?q=1"),
+    ],
+)
+def test_absolute_url(spark, href, wanted):
+    assert value(spark, X.absolute_url(F.lit("https://a.example/x/y/z?k=v"), F.lit(href))) == wanted
+
+
 def test_category_split(spark):
     got = value(spark, X.category_and_address(F.array(F.lit("Open · Closes 8 pm"), F.lit("Pump supplier ·  · 42 Main St"))))
     assert tuple(got) == ("Pump supplier", "42 Main St")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lineage import cut_lineage
 
-__all__ = ["U64", "Words", "byte_chunks", "cut_lineage", "give_back", "kept", "mix", "odd_constants", "runs", "shingles", "table"]
+__all__ = ["U64", "Words", "byte_chunks", "crc32_sql", "crc_table_sql", "cut_lineage", "give_back", "kept", "mix", "odd_constants", "runs", "shingles", "table"]
 
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
@@ -167,3 +167,16 @@ def runs(batches, names: list[str]):
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def crc_table_sql() -> str:
+    """DuckDB SQL for one row with the 256 steps of crc32 as ``steps``, made from its polynomial."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || list_transform(range(8), lambda k: CAST(0 AS BIGINT)), lambda c, k: {step}) AS v FROM range(256) r(i))"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, where crc_table_sql()'s row is at hand."""
+    code = f"hex(encode({text}))"
+    parts = f"list_transform(range(length({code}) // 2), lambda i: CAST('0x' || substr({code}, CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {parts}, lambda c, b: xor(c // 256, steps[CAST(xor(c, b) % 256 + 1 AS INT)])), 4294967295)"

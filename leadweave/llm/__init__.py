@@ -1,4 +1,4 @@
-"""Training-data operators: ten document, vector, page and tokenizer jobs.
+"""Training-data operators: document, vector, page, conversation and tokenizer jobs.
 
 Nothing outside this folder imports it; deleting it leaves the library whole.
 """

@@ -12,6 +12,7 @@ from .near_duplicates import ORACLE as NEAR_DUPLICATES_ORACLE
 from .near_duplicates import op5_near_duplicates
 from .neighbours import op6_neighbours
 from .packing import op2_packing
+from .quality import op11_quality
 from .segmentations import op10_segmentations
 from .spelling import ORACLE as SPELLING_ORACLE
 from .spelling import op12_spelling
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_segmentations": op10_segmentations,
+    "op11_quality": op11_quality,
     "op12_spelling": op12_spelling,
     "op13_conversations": op13_conversations,
 }

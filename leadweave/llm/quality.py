@@ -21,6 +21,7 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,25 +89,33 @@ def inside(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return total[ends] - total[starts]
 
 
+@functools.cache
+def index_halves() -> np.ndarray:
+    """For each 16 bits, a +1 or -1 in four groups of places: three bits say where, one which."""
+    bits = np.arange(1 << 16)
+    out = np.zeros((len(bits), GROUPS // 2, WIDE), dtype=np.int8)
+    for g in range(GROUPS // 2):
+        out[bits, g, (bits >> (4 * g + 1)) & (WIDE - 1)] = np.where((bits >> (4 * g)) & 1, 1, -1)
+    return out.reshape(len(bits), -1)
+
+
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """A +1 or -1 in each group of places, from four bits of the hash."""
-    out = np.zeros((len(hashes), DIMS), dtype=np.int8)
-    row = np.arange(len(hashes))
-    for g in range(GROUPS):
-        bits = (hashes >> U64(4 * g)) & U64(15)
-        out[row, g * WIDE + (bits >> U64(1)).astype(np.int64)] = np.where(bits & U64(1), 1, -1)
-    return out
+    """A +1 or -1 in each group of places, from the hash's lower 32 bits."""
+    low, high = (hashes & U64(0xFFFF)).astype(np.int64), ((hashes >> U64(16)) & U64(0xFFFF)).astype(np.int64)
+    return np.hstack([index_halves()[low], index_halves()[high]])
 
 
 def around(vectors: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The sum of the vectors of up to WINDOW tokens to each side, of the same text."""
-    out = np.zeros(vectors.shape, dtype=np.int16)
+    """The sum of the vectors of up to WINDOW tokens to each side, of the same text; a byte holds it."""
+    n = len(owner)
+    at = np.arange(n) + WINDOW * (1 + np.cumsum(np.append(False, owner[1:] != owner[:-1])[:n]))  # texts set apart by empty rows
+    padded = np.zeros((int(at[-1]) + WINDOW + 1 if n else 0, DIMS), dtype=np.int8)
+    padded[at] = vectors
+    total = np.zeros_like(padded)
     for step in range(1, WINDOW + 1):
-        if len(owner) > step:
-            same = (owner[step:] == owner[:-step])[:, None]
-            out[step:] += vectors[:-step] * same
-            out[:-step] += vectors[step:] * same
-    return out
+        total[step:] += padded[:-step]
+        total[:-step] += padded[step:]
+    return total[at]
 
 
 def blocks(texts: pa.Array, tokens: Tokens):
@@ -167,7 +176,7 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text"
                     order = np.argsort(slot, kind="stable")
                     slot = slot[order]
                     first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-                    total[slot[first]] += np.add.reduceat(sums[order].astype(np.int32), first)
+                    total[slot[first]] += np.add.reduceat(np.ascontiguousarray(sums[order].T).astype(np.int32), first, axis=1).T
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[used, i]) for i in range(DIMS)]], names=["slot", *places])
 
@@ -195,18 +204,20 @@ def pooled(texts: pa.Array, vocabulary: np.ndarray, vectors: np.ndarray) -> np.n
         index_sum = np.zeros((n, DIMS))
         for hashes, forms, owner, keep in parts:
             index = index_vectors(hashes)
-            near = unit(around(index, owner)[keep].astype(np.float32))
+            near = around(index, owner)[keep].astype(np.float32)
             index, owner = index[keep], owner[keep]
             own = small[slots(hashes[keep], forms[keep], vocabulary)]
+            length = np.maximum(np.sqrt(np.einsum("ij,ij->i", near, near)), 1e-12)
+            repeats = np.einsum("ij,ij->i", index.astype(np.float32), near) / length / np.sqrt(GROUPS)
+            usual = np.einsum("ij,ij->i", own, near) / length
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            who = owner[first]
-            here = out[row + who]
-            here[:, :DIMS] += np.add.reduceat(own, first, dtype=np.float64)
-            here[:, DIMS] += np.add.reduceat((index * near).sum(axis=1) / np.sqrt(GROUPS), first, dtype=np.float64)
-            here[:, DIMS + 1] += np.add.reduceat((own * near).sum(axis=1), first, dtype=np.float64)
-            out[row + who] = here
-            index_sum[who] += np.add.reduceat(index.astype(np.int32), first)
-            count[who] += np.diff(np.append(first, len(owner)))
+            for lo, hi in zip(first, np.append(first[1:], len(owner)), strict=True):
+                mine, who = out[row + owner[lo]], owner[lo]
+                mine[:DIMS] += own[lo:hi].sum(axis=0, dtype=np.float64)
+                mine[DIMS] += repeats[lo:hi].sum(dtype=np.float64)
+                mine[DIMS + 1] += usual[lo:hi].sum(dtype=np.float64)
+                index_sum[who] += index[lo:hi].sum(axis=0, dtype=np.int32)
+                count[who] += hi - lo
         mine = out[row : row + n]
         mine[:, : DIMS + 2] /= np.maximum(count, 1)[:, None]
         mine[:, DIMS + 2] = np.log1p((index_sum**2).sum(axis=1) / GROUPS) - np.log1p(count)

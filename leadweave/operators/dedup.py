@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .greedy import greedy_distinct
 from .lineage import cut_lineage
 
+__all__ = ["batches", "best_by_name", "components", "first_by", "first_by_name", "first_by_name_and_website", "greedy_distinct", "numbered"]
+
 
 def _field(c: str) -> Column:
     return F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
@@ -38,54 +40,6 @@ def best_by_name(df: DataFrame, name: str = "company_name", website: str = "webs
     return best.select([F.col("_first").alias(c) if c == seq else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def greedy_distinct(df: DataFrame, keys: str = "keys", seq: str = "seq", rounds: int = 6) -> DataFrame:
-    """Rows in order of ``seq`` that share no key with a row kept before; a row that is dropped blocks nothing.
-
-    Each round keeps the rows that come first in all of their keys and drops the rows that share a key with them; both
-    are grouped minima and joins by key. Long chains settle few rows a round, so after some rounds what is left, in
-    which rows of different connected parts cannot affect one another, is settled part by part in order.
-    """
-    left = cut_lineage(df.select(F.col(seq).alias("seq"), F.explode(keys).alias("key")).distinct())
-    kept: list[DataFrame] = []
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        least = left.groupBy("key").agg(F.min("seq").alias("least"))
-        firsts = left.join(least, "key").groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("least")).alias("first")).filter("first").select("seq")
-        firsts = cut_lineage(firsts)
-        kept.append(firsts)
-        taken = left.join(firsts, "seq", "left_semi").select("key").distinct()
-        gone = left.join(taken, "key", "left_semi").select("seq").distinct()
-        left = cut_lineage(left.join(gone, "seq", "left_anti"))
-    if not left.isEmpty():
-        kept.append(_in_order(left))
-    if not kept:
-        return df.limit(0)
-    chosen = kept[0]
-    for part in kept[1:]:
-        chosen = chosen.unionByName(part)
-    return df.join(chosen.withColumnRenamed("seq", seq), seq, "left_semi")
-
-
-def _in_order(left: DataFrame) -> DataFrame:
-    """The sequential rule, in each connected part on its own."""
-    least = left.groupBy("key").agg(F.min("seq").alias("least"))
-    parts = components(left.join(least, "key").select(F.col("seq").alias("u"), F.col("least").alias("v")))
-    placed = left.join(parts.withColumnRenamed("node", "seq"), "seq", "left").select("seq", "key", F.coalesce("root", "seq").alias("root"))
-    rows = placed.groupBy("root", "seq").agg(F.collect_list("key").alias("keys"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        out = []
-        for row in pdf.sort_values("seq").itertuples():
-            if seen.isdisjoint(row.keys):
-                seen.update(row.keys)
-                out.append(row.seq)
-        return pd.DataFrame({"seq": out}, dtype="int64")
-
-    return rows.groupBy("root").applyInPandas(settle, "seq long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of long nodes -> (node, root): root is the least node of the connected component.
 

@@ -146,6 +146,32 @@ def dedup_greedy_keys(spark, d):
     return dedup.greedy_distinct(rows).select("seq")
 
 
+_CHAIN = """WITH RECURSIVE o AS (SELECT o_orderkey AS seq, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+walk(n, kept, last) AS (SELECT CAST(0 AS BIGINT), false, [false, false] UNION ALL
+  SELECT n + 1, ok, [ok, last[1]] FROM (SELECT n, last, NOT last[1] AND NOT ({also} AND last[2]) AS ok FROM walk WHERE n < (SELECT count(*) FROM orders)))
+SELECT o.seq FROM o JOIN walk USING (n) WHERE kept"""
+
+
+def _links(spark, d):
+    """Each order shares a key with the one before and one with the one after."""
+    rows = dedup.numbered(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seq="n")
+    return rows.select(F.col("o_orderkey").alias("seq"), (F.col("n") + 1).alias("n"))
+
+
+@query("dedup_chain", _CHAIN.format(also="false"))
+def dedup_chain(spark, d):
+    rows = _links(spark, d)
+    return dedup.greedy_distinct(rows.select("seq", F.array(F.concat(F.lit("a"), "n"), F.concat(F.lit("a"), F.col("n") + 1)).alias("keys"))).select("seq")
+
+
+@query("dedup_braid", _CHAIN.format(also="(n + 1) % 7 = 6"))
+def dedup_braid(spark, d):
+    """Every seventh order also shares a key with the last but one, so that chains end in rows with two forerunners."""
+    rows, n = _links(spark, d), F.col("n")
+    braid = F.when(n % 7 == 4, F.concat(F.lit("b"), n)).when(n % 7 == 6, F.concat(F.lit("b"), n - 2))
+    return dedup.greedy_distinct(rows.select("seq", F.array(F.concat(F.lit("a"), n), F.concat(F.lit("a"), n + 1), braid).alias("keys"))).select("seq")
+
+
 @query("company_keys_exploded", f"WITH {_C}, {_KEYS} SELECT seq, unnest(ks) AS key FROM t")
 def company_keys_exploded(spark, d):
     return with_company_fields(companies(spark, d)).select("seq", F.explode(V.company_keys()).alias("key"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadweave.operators import baseline, dedup, export, leads
+from leadweave.operators import greedy as greedy_module
 from leadweave.plans import understanding as U
 from leadweave.plans.validate import validate
 from leadweave.schema import EXPORT_COLUMNS
@@ -23,12 +24,27 @@ def greedy(rows):
     return kept
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_greedy_distinct(spark, rounds):
-    rng = random.Random(rounds)
+def key_rows(seed):
+    rng = random.Random(seed)
     rows = [(i, [f"k{rng.randrange(150)}" for _ in range(rng.randrange(4))]) for i in range(300)] + [(1000 + i, [f"c{i}", f"c{i + 1}"]) for i in range(40)]
+    rows += [(2000 + i, [f"d{i}", f"d{i + 1}"] + [f"e{i - i % 7}"] * (i % 7 in (3, 6))) for i in range(60)]
+    return rows + [(3000 + i, ["hot", f"h{i % 9}"]) for i in range(90)] + [(3100 + i, [f"h{i}", None]) for i in range(12)]
+
+
+@pytest.mark.parametrize(("rounds", "range_keys"), [(0, 10_000), (0, 200), (1, 150), (3, 80), (24, 10_000)], ids=["one range", "many ranges", "firsts first", "chains first", "all"])
+def test_greedy_distinct(spark, rounds, range_keys):
+    rows = key_rows(rounds + range_keys)
+    df = spark.createDataFrame(rows, "seq long, keys array<string>")
+    want = greedy([(s, [k for k in keys if k is not None]) for s, keys in rows])
+    assert sorted(r["seq"] for r in dedup.greedy_distinct(df, rounds=rounds, range_keys=range_keys).collect()) == want
+
+
+def test_chains_settle_without_a_sweep(spark, monkeypatch):
+    """3,000 links, with a branch at each hundredth: doubling reaches the end of it."""
+    rows = [(i, [f"c{i}", f"c{i + 1}"] + [f"b{i}"] * (i % 100 == 50)) for i in range(3000)] + [(5000 + i, [f"b{i}", f"x{i}"]) for i in range(50, 3000, 100)]
+    monkeypatch.setattr(greedy_module, "swept", None)
     df = spark.createDataFrame(rows, "seq long, keys array<string>")
-    assert sorted(r["seq"] for r in dedup.greedy_distinct(df, rounds=rounds).collect()) == greedy(rows)
+    assert sorted(r["seq"] for r in dedup.greedy_distinct(df).collect()) == greedy(rows)
 
 
 def test_greedy_blocking_and_baseline(spark):

@@ -16,14 +16,13 @@ Three ways, each for what the one before is slow at:
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut_lineage, shared_folder
+from .lineage import cut_lineage, fresh_folder
 
 #: Rounds of firsts or chains, the share of rows that a round must settle to be worth another of its kind, and the keys of a range.
 ROUNDS, WORTH, RANGE_KEYS = 24, 0.25, 250_000
@@ -127,7 +126,7 @@ def _kept_keys(pairs: list[tuple[int, str]]) -> pa.RecordBatch:
 def swept(left: DataFrame, ranges: int) -> DataFrame:
     """(seq) of the rows kept, range by range."""
     spark = left.sparkSession
-    home = f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+    home = fresh_folder(spark, "sweep")
     left.repartitionByRange(ranges, "seq").withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(f"{home}/rows")
     rows = spark.read.schema("seq long, key string, block int").parquet(f"{home}/rows")
     held = rows.select("key", "block").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own within the shared one; nothing is written yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

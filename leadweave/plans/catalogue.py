@@ -16,8 +16,9 @@ from ..functions import targeting as T
 from ..functions import text as S
 from ..functions import validation as V
 from ..operators import baseline, dedup, enrich, export, jobs, leads, search
+from ..operators.lineage import fresh_folder
 from ..schema import titles, with_company_fields
-from ..streaming.jobs import append_new, follow_jobs
+from ..streaming.jobs import append_new, current_jobs, exported, follow_jobs, until_idle
 from .understanding import parsed_answer, planned
 from .validate import validate
 
@@ -620,38 +621,39 @@ def jobs_dashboard(spark, d):
     return jobs.dashboard(jobs.with_lead_count(rows))
 
 
-def _stream_folder(spark, df, name):
-    """The rows as files in the shared folder, where a stream can read them."""
-    sc = spark.sparkContext
-    from ..operators.lineage import cut_lineage
-
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        cut_lineage(spark.range(1))
-    root = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{sc._jvm.java.util.UUID.randomUUID()}"
-    df.write.mode("overwrite").parquet(f"{root}/in")
-    return root
+def _parts(rows, root, name, start, parts=4):
+    """Writes the rows in parts, and starts the stream anew for each two of them: several batches, and a restart between."""
+    rows = rows.withColumn("_part", F.pmod(F.col(rows.columns[0]), F.lit(parts)))
+    for i in range(parts):
+        rows.filter(F.col("_part") == i).drop("_part").repartition(2).write.mode("append").parquet(f"{root}/{name}")
+        if i % 2:
+            stream = rows.sparkSession.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 2)
+            until_idle(start(stream.parquet(f"{root}/{name}")))
 
 
 @query("job_state_stream", f"WITH {_EVENTS}, {_LATEST} SELECT job_id, status, current_step, last_event FROM l")
 def job_state_stream(spark, d):
-    events = job_events(spark, d)
-    root = _stream_folder(spark, events.repartition(4), "events")
-    name = "jobs_" + root[-36:].replace("-", "_")
-    follow_jobs(spark.readStream.schema(events.schema).parquet(f"{root}/in"), name, f"{root}/state").awaitTermination()
-    return spark.table(name).select("job_id", "status", "current_step", "last_event")
+    root = fresh_folder(spark, "stream")
+    _parts(job_events(spark, d), root, "in", lambda s: follow_jobs(s, f"{root}/jobs", f"{root}/state"))
+    return current_jobs(spark, f"{root}/jobs").select("job_id", "status", "current_step", "last_event")
 
 
-@query("incremental_dedup_stream", "SELECT count(DISTINCT source || '/' || lang) AS n FROM documents")
+@query("incremental_dedup_stream", """WITH RECURSIVE o AS (SELECT doc_id, doc_id % 4 AS part, ['name:' || source || '/' || lang || n_chars % 9, 'site:' || n_chars % 700] AS keys, row_number() OVER (ORDER BY doc_id % 4, doc_id) AS n FROM documents),
+walk(n, part, ok, seen, taken) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, []::VARCHAR[], []::VARCHAR[] UNION ALL
+  SELECT s.n, s.part, s.free AND NOT list_has_any(s.keys, s.taken), CASE WHEN s.free THEN list_concat(s.seen, s.keys) ELSE s.seen END, CASE WHEN s.free AND NOT list_has_any(s.keys, s.taken) THEN list_concat(s.taken, s.keys) ELSE s.taken END
+  FROM (SELECT o.n, o.part, o.keys, w.taken, CASE WHEN o.part = w.part THEN w.seen ELSE [] END AS seen, o.part <> w.part OR NOT list_has_any(o.keys, w.seen) AS free FROM walk w JOIN o ON o.n = w.n + 1) s)
+SELECT o.part AS batch, o.doc_id FROM walk JOIN o USING (n) WHERE ok""")
 def incremental_dedup_stream(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("company_name"))
-    root = _stream_folder(spark, rows.repartition(2), "documents")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    """Batches of documents: of those that share a key the first in a batch, if no earlier batch exported one of its keys."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    root = fresh_folder(spark, "stream")
 
     def keyed(batch):
-        return batch.withColumn("seq", F.col("doc_id")).withColumn("keys", F.array(F.concat(F.lit("name:"), "company_name")))
+        name = F.concat(F.lit("name:"), "source", F.lit("/"), "lang", F.col("n_chars") % 9)
+        return batch.select("doc_id", F.col("doc_id").alias("seq"), F.array(name, F.concat(F.lit("site:"), F.col("n_chars") % 700)).alias("keys"))
 
-    append_new(stream, f"{root}/out", f"{root}/state", keyed).awaitTermination()
-    return spark.read.parquet(f"{root}/out").agg(F.count(F.lit(1)).alias("n"))
+    _parts(rows, root, "in", lambda s: append_new(s, f"{root}/out", f"{root}/state", keyed))
+    return exported(spark, f"{root}/out").select(F.pmod("doc_id", F.lit(4)).alias("batch"), "doc_id")
 
 
 # --- export and files ----------------------------------------------------------------------------------------------
@@ -679,7 +681,7 @@ def export_migration(spark, d):
 def file_catalogue(spark, d):
     from ..sources.files import catalogue
 
-    root = _stream_folder(spark, table(spark, d, "region"), "files")
+    root = fresh_folder(spark, "files")
     table(spark, d, "region").write.mode("overwrite").option("header", True).csv(f"{root}/csv")
     return catalogue(spark, f"{root}/csv").select("name", "size_bytes")
 

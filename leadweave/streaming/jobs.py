@@ -1,16 +1,22 @@
-"""The job log and the export as streams."""
+"""The job log and the export as streams. What must be remembered is keyed state: one entry a job, one entry a company key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ..operators.baseline import key_set, without_known
 from ..operators.dedup import greedy_distinct
 from ..operators.jobs import latest_states
+from ..operators.lineage import cut_lineage
+
+#: The state store that holds more keys than memory.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -18,39 +24,120 @@ def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def follow_jobs(events: DataFrame, name: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Latest states kept up to date in an in-memory table; without ``every``, what is there now and no more.
+def until_idle(query: StreamingQuery) -> None:
+    """Waits until all that has arrived is worked off, and stops the query; it goes on from its checkpoint when started again."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
-    State is one row a job, keyed, in the state store; nothing is kept of older events.
-    """
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return latest_states(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+def _started(spark: SparkSession, frame: DataFrame, mode: str, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    """A query takes the session's settings when it starts; the session gets its own back."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        writer = frame.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=every) if every else writer).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE[0])
+        else:
+            spark.conf.set(STORE[0], before)
 
 
-def append_new(companies: DataFrame, export: str, checkpoint: str, keyed: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Each batch: distinct companies that no earlier batch exported are appended; the export is the baseline of the next.
+def follow_jobs(events: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keeps the latest state of each job: state is one row a job, and each batch adds the jobs that it changed to the table.
 
-    ``keyed`` adds ``seq`` and ``keys``. A batch that is run again replaces its own folder.
+    A batch that is run again replaces its own folder. Without ``every``, batches follow one another at once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = greedy_distinct(keyed(batch))
-        earlier = _exported(spark, export)
-        if earlier is not None:
-            rows = without_known(rows, earlier.filter(F.col("batch") != number).select(F.explode("keys").alias("key")).distinct())
-        rows.write.mode("overwrite").parquet(f"{export}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return companies.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(events.sparkSession, latest_states(events), "update", step, checkpoint, every)
 
 
-def _exported(spark: SparkSession, export: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+def current_jobs(spark: SparkSession, table: str) -> DataFrame:
+    """One row a job: its last change."""
+    changes = spark.read.parquet(table)
+    row = F.struct(*[F.col(c) for c in changes.columns if c != "batch"])
+    return changes.groupBy("job_id").agg(F.max_by(row, "batch").alias("_last")).select("_last.*")
 
-    try:
-        return spark.read.parquet(export)
-    except AnalysisException:  # nothing exported yet
-        return None
+
+#: Groups in which rows without a question pass the stateful step, and keys of a partition that are told apart at once.
+LANES, TOLD = 1024, 200_000
+
+
+class TakenKeys(StatefulProcessor):
+    """State: whether an earlier batch has exported the key. A row that says so sets it; if any row asks, one row answers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", StructType([StructField("taken", BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
+        if key[0] != "key":
+            for row in rows:
+                yield Row(key=None, company=row["company"])
+            return
+        known = self.taken.exists()
+        asked = told = False
+        for row in rows:
+            asked, told = asked or row["kind"] == "asked", told or row["kind"] == "taken"
+        if told and not known:
+            self.taken.update((True,))
+        if asked and (known or told):
+            yield Row(key=key[1], company=None)
+
+    def close(self) -> None:
+        pass
+
+
+def _each_key_once(batches):
+    """The keys of a partition's rows, each once, so that a key of many rows is asked for a few times."""
+    met: set[str] = set()
+    for batch in batches:
+        new = set(pc.unique(pc.list_flatten(batch.column(0))).to_pylist()) - met - {None}
+        met = new if len(met) > TOLD else met | new
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["key"])
+
+
+def append_new(companies: DataFrame, export: str, checkpoint: str, keyed: Callable[[DataFrame], DataFrame], every: str | None = None) -> StreamingQuery:
+    """Each batch: distinct companies that no earlier batch exported are appended to ``{export}/rows``.
+
+    ``keyed`` adds ``seq``, unique in a batch, and ``keys``. A batch looks at its own keys only, each once a partition: it
+    meets its entry in the state store, which later batches fill from the keys that a batch exports to ``{export}/keys``. So a batch costs the same
+    however much has been exported. A batch that is run again replaces its own folders. Rows without keys are dropped.
+    """
+    spark = companies.sparkSession
+    rows = keyed(companies).withColumn("keys", F.array_distinct("keys"))
+    kind = rows.select(F.struct("*").alias("company")).schema["company"].dataType
+    spark.createDataFrame([], "key string").write.mode("append").parquet(f"{export}/keys/batch=-1")
+    taken = spark.readStream.schema("key string").parquet(f"{export}/keys/batch=*")
+    asked = rows.select("keys").mapInArrow(_each_key_once, "key string")
+    passing = F.concat(F.lit("lane"), F.pmod(F.xxhash64("seq"), F.lit(LANES)).cast("string"))
+    told = [frame.select(F.lit("key").alias("what"), "key", F.lit(name).alias("kind"), F.lit(None).cast(kind).alias("company")) for frame, name in ((asked, "asked"), (taken, "taken"))]
+    told.append(rows.select(F.lit("row").alias("what"), passing.alias("key"), F.lit("row").alias("kind"), F.struct("*").alias("company")))
+    shape = StructType([StructField("key", StringType()), StructField("company", kind)])
+    answers = told[0].unionByName(told[1]).unionByName(told[2]).groupBy("what", "key").transformWithState(TakenKeys(), shape, "Append", "None")
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch = cut_lineage(batch)
+        rows = batch.filter("company IS NOT NULL").select("company.*")
+        if rows.isEmpty():  # a batch that only told of keys
+            return
+        known = batch.filter("company IS NULL").select("key")
+        blocked = rows.select("seq", F.explode("keys").alias("key")).join(known, "key", "left_semi").select("seq").distinct()
+        new = cut_lineage(greedy_distinct(rows).join(blocked, "seq", "left_anti"))
+        new.write.mode("overwrite").parquet(f"{export}/rows/batch={number}")
+        new.select(F.explode("keys").alias("key")).filter("key IS NOT NULL").write.mode("overwrite").parquet(f"{export}/keys/batch={number}")
+
+    return _started(spark, answers, "append", step, checkpoint, every)
+
+
+def exported(spark: SparkSession, export: str) -> DataFrame:
+    """All companies exported so far, with their keys and batch."""
+    return spark.read.parquet(f"{export}/rows")
 
 
-__all__ = ["append_new", "follow_jobs", "key_set", "read_events"]
+__all__ = ["append_new", "current_jobs", "exported", "follow_jobs", "read_events", "until_idle"]

@@ -208,3 +208,34 @@ def test_settings_and_pace():
         now[0] += s
 
     assert list(throttled("abc", 0.5, sleep, lambda: now[0])) == ["a", "b", "c"] and waits == [0.5, 0.5]
+
+
+def test_export_stream_forgets_nothing_over_restarts(spark, tmp_path):
+    """Rows of several keys, some shared by most rows, in batches that a restart parts; keyed state against a loop."""
+    from leadweave.streaming.jobs import append_new, exported, until_idle
+
+    rng = random.Random(8)
+    batches = [[(b * 100 + i, [f"k{rng.randrange(60)}", "hot" if rng.random() < 0.3 else f"r{rng.randrange(90)}", None][: rng.randrange(4)]) for i in range(40)] for b in range(4)]
+    want, taken = [], set()
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, "seq long, keys array<string>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("seq long, keys array<string>").parquet(f"{tmp_path}/in")
+        until_idle(append_new(stream, f"{tmp_path}/out", f"{tmp_path}/state", lambda x: x))
+        first = greedy([(s, [k for k in keys if k]) for s, keys in rows])
+        new = [s for s in first if not taken & set(dict(rows)[s])]
+        taken |= {k for s in new for k in dict(rows)[s] if k}
+        want += new
+    assert sorted(r["seq"] for r in exported(spark, f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def test_followed_jobs_keep_the_last_state(spark, tmp_path):
+    from leadweave.schema import JOB_EVENT
+    from leadweave.streaming.jobs import current_jobs, follow_jobs, until_idle
+
+    batches = [[(1, "a", "t1", "queue", "queued", ""), (2, "b", "t2", "queue", "queued", "")], [(3, "a", "t3", "search", "running", "")], [(4, "a", "t4", "search", "failed", ""), (5, "a", "t5", "", "failed", "")]]
+    for rows in batches:
+        spark.createDataFrame(rows, JOB_EVENT).write.mode("append").parquet(f"{tmp_path}/in")
+        events = spark.readStream.schema(spark.createDataFrame([], JOB_EVENT).schema).parquet(f"{tmp_path}/in")
+        until_idle(follow_jobs(events, f"{tmp_path}/jobs", f"{tmp_path}/state"))
+    found = {r["job_id"]: (r["status"], r["created_at"], r["last_event"]) for r in current_jobs(spark, f"{tmp_path}/jobs").collect()}
+    assert found == {"a": ("failed", "t1", 5), "b": ("queued", "t2", 2)}

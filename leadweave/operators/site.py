@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import address_block, cin, email, gstin, gstin_of_site, links, official_name, phones, profile_url
+from ..functions.markup import visible_text_column
 from ..functions.payloads import best_jsonld_name_column, contact_near_title_column
 
 #: Pages read of a company: its own and two that it links to.
@@ -27,7 +28,13 @@ def named_page(html: Column | str) -> Column:
 
 
 def page_finds(pages: DataFrame) -> DataFrame:
-    """(company_name, place, url, official_name, finds): what each page holds. pdf_texts: texts of documents that it links to."""
+    """(company_name, place, url, official_name, finds): what each page holds.
+
+    ``text`` is what a page shows; where the column is missing, it is read from the markup. pdf_texts: texts of documents
+    that a page links to.
+    """
+    if "text" not in pages.columns:
+        pages = pages.withColumn("text", visible_text_column.asNondeterministic()(F.col("html")))  # once a page
     contact = contact_near_title_column(F.col("text"))
     rows = pages.withColumn("_contact", contact).withColumn("_name", F.when(F.col("place") == 0, named_page("html")))
     pdf = F.when(gstin("html").isNull(), gstin_of_site(F.lit(""), F.col("pdf_texts"))) if "pdf_texts" in pages.columns else F.lit(None)
@@ -39,13 +46,13 @@ def page_finds(pages: DataFrame) -> DataFrame:
         "linkedin_url": F.when(F.col("_contact.name").isNotNull(), profile_url(links("html")["href"])),
         "gst": F.coalesce(gstin("html"), gstin("text")),
         "pdf_gst": pdf.cast("string"),
-        "cin": cin("text"),
+        "cin": F.coalesce(cin("html"), cin("text")),
     }
     return rows.select("company_name", "place", "url", F.col("_name").alias("official_name"), F.struct(*[c.alias(n) for n, c in finds.items()], phones("text", "html").alias("phones")).alias("finds"))
 
 
 def site_table(pages: DataFrame) -> DataFrame:
-    """One row a company from pages (company_name, place, url, html, text[, pdf_texts]): place 0 is its site, 1 and 2 the pages read next.
+    """One row a company from pages (company_name, place, url, html[, text, pdf_texts]): place 0 is its site, 1 and 2 the pages read next.
 
     Later pages fill what is missing, a person and their title together, numbers while fewer than two are known; a page
     after one that completed address, email and two numbers is not looked at. Companies without a first page give no row.

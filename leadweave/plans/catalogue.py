@@ -15,6 +15,7 @@ from ..functions import payloads as P
 from ..functions import targeting as T
 from ..functions import text as S
 from ..functions import validation as V
+from ..functions.markup import visible_text_column
 from ..operators import baseline, dedup, enrich, export, jobs, leads, search
 from ..operators.lineage import fresh_folder
 from ..schema import titles, with_company_fields
@@ -677,6 +678,18 @@ def export_migration(spark, d):
     return now.agg(F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(len(now.columns)))
 
 
+@query("export_committed", f"""WITH {_C}, j AS (SELECT seq, company_name, website, CASE seq % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'two/b' ELSE 'c d' END AS job FROM c)
+SELECT job, company_name AS "Company Name", CASE WHEN job = 'one' THEN 'again' ELSE coalesce(website, '') END AS "Website URL" FROM j""")
+def export_committed(spark, d):
+    """Three jobs, one of which runs twice, and a write that breaks off before its commit."""
+    rows, path = companies(spark, d), fresh_folder(spark, "export")
+    for i, job in enumerate(("one", "two/b", "c d")):
+        export.append_export(rows.filter(F.col("seq") % 3 == i), path, job)
+    export.append_export(rows.filter("seq % 3 = 0").withColumn("website", F.lit("again")), path, "one")
+    export.export_rows(rows).write.parquet(f"{path}/rows/job=one/attempt=broken")
+    return export.read_export(spark, path).select("job", "Company Name", "Website URL")
+
+
 @query("file_catalogue")
 def file_catalogue(spark, d):
     from ..sources.files import catalogue
@@ -778,6 +791,38 @@ def site_visits(spark, d):
     return site_table(site_pages(spark, d)).withColumn("phones", F.array_join("phones", "|")).drop("linkedin_url")
 
 
+def marked_up(spark, d) -> DataFrame:
+    """site_pages() as markup alone: lines as paragraphs, list items or rows, among what a page doesn't show; some ends are missing, some too many."""
+    rows = site_pages(spark, d)
+    lines = F.split("text", "\n")
+
+    def each(before: str, after: str):
+        return F.array_join(F.transform(lines, lambda x: F.concat(F.lit(before), x, F.lit(after))), "")
+
+    kind = F.col("page_id") % 4
+    body = F.when(kind == 0, each("<p>", "")).when(kind == 1, F.concat(F.lit("<ul>"), each("<li><b>", "</i></b>"), F.lit("</ul></div>"))).when(kind == 2, F.concat(F.lit("<table>"), each("<tr><td>", "<td hidden>no@one.example"), F.lit("</table>"))).otherwise(each("", "</span><br>"))
+    unseen = F.lit("<head><title>call 99999 99999</title><style>p{}</style></head><script>var m = 'x@script.example', t = '</p>';</script><div style='display: none'>y@none.example 98888 88888<p>Ravi Iyer (CEO)</div>")
+    return rows.withColumn("html", F.concat(unseen, "html", body)).drop("text")
+
+
+@query("site_from_markup", f"WITH {_SITE} SELECT company_name, email, address, contact_person, designation, CASE WHEN NOT done THEN '33ABCDE1234F1Z7' END AS gst, CASE WHEN NOT done THEN own_cin END AS cin, p1 || '|' || p2 AS phones, official_name, url FROM site")
+def site_from_markup(spark, d):
+    from ..operators.site import site_table
+
+    return site_table(marked_up(spark, d)).withColumn("phones", F.array_join("phones", "|")).drop("linkedin_url")
+
+
+@query("page_text", r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[A-Za-z/][^<>]*$', '') AS h FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '[ \t\r\n\f]+', ' ', 'g'), '(?i)</?(p|li|ul|nav|div|article|h1|footer|body|html|br|head|meta)\b[^>]*>', chr(10), 'g'), '<[A-Za-z/][^>]*>', '', 'g') AS t FROM b),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM t),
+l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM e)
+SELECT page_id, len(lines) AS n_lines, array_to_string(lines, chr(10)) AS text FROM l""".replace("\\\\", "\\"))
+def page_text(spark, d):
+    """The lines that each page shows."""
+    lines = S.split_lines(visible_text_column(F.col("html")))
+    return table(spark, d, "pages").select("page_id", lines.alias("lines")).select("page_id", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
+
+
 @query("lead_workflow", f"""WITH {_SITE}
 SELECT coalesce(official_name, company_name) AS "Company Name", CASE WHEN NOT done THEN '33ABCDE1234F1Z7' WHEN page_id = 21 THEN '29ABCDE1234F1ZW' ELSE '' END AS "GST",
  CASE WHEN done AND page_id = 21 THEN 'Above 500 Cr' ELSE '' END AS "Turn Over", '' AS "Region", 'Chennai' AS "City", 'Pump supplier' AS "Industry Type", 'Asha Rao' AS "Contact Person", 'Managing Director' AS "Designation",
@@ -817,7 +862,7 @@ def web_results(spark, d):
     from ..sources.providers import web_search
 
     title = F.when(F.col("p_partkey") % 3 > 0, _key("<h3>Works ", " &amp; Co</h3>")).otherwise("")
-    return web_search(result_pages(spark, d, F.concat(F.lit('<div class="g"><a href="/x">no title</a></div><p><div class="a g"><div>'), title, _key('<a href="https://w', '.example/">go</a></div></div>'))))
+    return web_search(result_pages(spark, d, F.concat(F.lit('<div class="g"><a href="/x">no title</a></div><p><div class="a g"><div>'), title, F.lit("</p></br>"), _key('<a href="https://w', '.example/">go</a></div></div>'))))
 
 
 @query("map_results", "SELECT p_partkey % 7 AS query, 'Shop ' || p_partkey AS company_name, 'https://m' || p_partkey || '.example/' AS website, '0422 ' || p_partkey AS phone, 'Pump supplier' AS industry, p_partkey || ' Main St' AS address, p_partkey * 1000000 AS rank FROM part")

@@ -6,60 +6,21 @@ A provider turns recorded pages (query, place, html) into company rows with a ra
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.extract import category_and_address, website_of_listing
+from ..functions.markup import Element, cards
 from ..functions.text import query_string, strip
 from ..operators.dedup import best_by_name
 
 Provider = Callable[[DataFrame], DataFrame]
 
 
-class _Cards(HTMLParser):
-    """Text, links and classes of the elements inside each card of a result page."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self, is_card: Callable[[str, set[str]], bool]):
-        super().__init__(convert_charrefs=True)
-        self.is_card, self.open, self.cards = is_card, [], []
-
-    def handle_starttag(self, tag, attrs):
-        known = {k: v or "" for k, v in attrs}
-        kinds = set(known.get("class", "").split())
-        if self.is_card(tag, kinds) and not any(node["card"] for node in self.open):
-            self.cards.append([])
-            card = True
-        else:
-            card = False
-        node = {"tag": tag, "kinds": kinds, "href": known.get("href"), "label": known.get("aria-label"), "text": [], "card": card}
-        if self.cards and (card or any(n["card"] for n in self.open)):
-            self.cards[-1].append(node)
-        if tag not in self.VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag):
-        while self.open:
-            if self.open.pop()["tag"] == tag:
-                break
-
-    def handle_data(self, data):
-        for node in self.open:
-            node["text"].append(data)
-
-
-def _cards(html: str | None, is_card) -> list[list[dict]]:
-    parser = _Cards(is_card)
-    parser.feed(html or "")
-    return parser.cards
-
-
-def _text(node: dict | None) -> str | None:
-    return "".join(node["text"]).strip() or None if node else None
+def _text(element: Element | None) -> str | None:
+    return "".join(element.text).strip() or None if element else None
 
 
 def _parsed(pages: DataFrame, rows_of: Callable[[str | None], list[tuple]], schema: str) -> DataFrame:
@@ -82,10 +43,10 @@ def web_search(pages: DataFrame) -> DataFrame:
 
     def rows_of(html):
         out = []
-        for card in _cards(html, lambda tag, kinds: tag == "div" and "g" in kinds):
-            title, link = next((n for n in card if n["tag"] == "h3"), None), next((n for n in card if n["tag"] == "a" and n["href"]), None)
+        for card in cards(html, lambda tag, kinds: tag == "div" and "g" in kinds):
+            title, link = next((n for n in card if n.tag == "h3"), None), next((n for n in card if n.tag == "a" and n.attrs.get("href")), None)
             if _text(title) and link:
-                out.append((_text(title), link["href"]))
+                out.append((_text(title), link.attrs["href"]))
         return out
 
     return _parsed(pages, rows_of, "company_name string, website string").withColumn("rank", F.col("place") * 1_000_000 + F.col("at")).drop("place", "at")
@@ -96,14 +57,14 @@ def map_listing(pages: DataFrame) -> DataFrame:
 
     def rows_of(html):
         out = []
-        for card in _cards(html, lambda tag, kinds: tag == "div" and "Nv2PK" in kinds):
+        for card in cards(html, lambda tag, kinds: tag == "div" and "Nv2PK" in kinds):
             def first(kind, card=card):
-                return next((n for n in card if kind in n["kinds"]), None)
+                return next((n for n in card if kind in n.kinds), None)
 
-            website = next((n["href"] for n in card if n["tag"] == "a" and n["href"] and "hfpxzc" not in n["kinds"]), None)
+            website = next((n.attrs.get("href") for n in card if n.tag == "a" and n.attrs.get("href") and "hfpxzc" not in n.kinds), None)
             name = _text(first("qBF1Pd"))
             if name:
-                out.append((name, website, _text(first("UsdlK")), ["".join(n["text"]) for n in card if "W4Efsd" in n["kinds"]]))
+                out.append((name, website, _text(first("UsdlK")), ["".join(n.text) for n in card if "W4Efsd" in n.kinds]))
         return out
 
     rows = _parsed(pages, rows_of, "company_name string, href string, phone string, lines array<string>")
@@ -118,11 +79,11 @@ def directory_listing(pages: DataFrame, card_class: str = "card") -> DataFrame:
 
     def rows_of(html):
         out = []
-        for card in _cards(html, lambda tag, kinds: card_class in kinds):
-            link = next((n for n in card if n["tag"] == "a" and n["href"]), None)
-            city = next((n for n in card if "city" in n["kinds"]), None)
+        for card in cards(html, lambda tag, kinds: card_class in kinds):
+            link = next((n for n in card if n.tag == "a" and n.attrs.get("href")), None)
+            city = next((n for n in card if "city" in n.kinds), None)
             if link and _text(link):
-                out.append((_text(link), link["href"], _text(city)))
+                out.append((_text(link), link.attrs["href"], _text(city)))
         return out
 
     rows = _parsed(pages, rows_of, "company_name string, website string, city string").withColumn("rank", F.col("place") * 1_000_000 + F.col("at")).drop("place", "at")

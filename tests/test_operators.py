@@ -88,11 +88,23 @@ def test_pages_check_their_bounds(spark):
 
 def test_export_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("A", None, ["x", "y"])], "company_name string, gst string, remarks array<string>")
-    export.append_export(rows, f"{tmp_path}/e", "1")
-    export.append_export(rows, f"{tmp_path}/e", "2")
-    back = spark.read.parquet(f"{tmp_path}/e").drop("job")
-    assert back.columns == [h for h, _ in EXPORT_COLUMNS] and back.count() == 2
-    assert back.first()["Remarks"] == "x; y" and back.first()["GST"] == ""
+    path = f"{tmp_path}/e"
+    for job in ("1", "2", "1", "a/b c"):
+        export.append_export(rows, path, job)
+    back = export.read_export(spark, path)
+    once = rows.count()
+    assert {r["job"]: r["count"] for r in back.groupBy("job").count().collect()} == {"1": once, "2": once, "a/b c": once}
+    back = back.drop("job")
+    assert back.columns == [h for h, _ in EXPORT_COLUMNS] and back.first()["Remarks"] == "x; y" and back.first()["GST"] == ""
+    export.export_rows(rows).write.parquet(f"{path}/rows/job=2/attempt=broken")  # no commit: not there
+    assert export.read_export(spark, path).count() == 3 * once
+    late = (1 << 62, ["GST Confidence"]), ((1 << 62) + 1, ["Else"])
+    spark.createDataFrame([("old", "x", late[0][0], [*back.columns, *late[0][1]])], export.COMMITS).write.mode("append").parquet(f"{path}/commits")
+    back.withColumn("GST Confidence", F.lit("")).write.parquet(f"{path}/rows/job=old/attempt=x")
+    assert export.read_export(spark, path).count() == 6 * once
+    spark.createDataFrame([("old", "y", late[1][0], [*back.columns, *late[1][1]])], export.COMMITS).write.mode("append").parquet(f"{path}/commits")
+    with pytest.raises(ValueError, match="unexpected headers"):
+        export.read_export(spark, path)
     assert export.checked_export(back.withColumn("GST Sources", F.lit(""))).columns == back.columns
     with pytest.raises(ValueError):
         export.checked_export(back.drop("City"))

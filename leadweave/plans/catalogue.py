@@ -17,7 +17,9 @@ from ..functions import text as S
 from ..functions import validation as V
 from ..functions.markup import visible_text_column
 from ..operators import baseline, dedup, enrich, export, jobs, leads, search
+from ..operators.bands import first_band
 from ..operators.lineage import fresh_folder
+from ..operators.terms import first_card_of_companies, first_term
 from ..schema import titles, with_company_fields
 from ..streaming.jobs import append_new, current_jobs, exported, follow_jobs, until_idle
 from .understanding import parsed_answer, planned
@@ -845,6 +847,61 @@ def lead_workflow(spark, d):
     return export.export_rows(run_workflow(found, context, STEPS))
 
 
+# --- dimensions as tables ------------------------------------------------------------------------------------------
+
+_TERMS = """terms AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_size ELSE p_brand END AS term, p_brand || '/' || p_partkey AS label FROM part),
+texts AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'Send a ' || upper(p_name) || ' ' || (l_partkey % 60) WHEN 1 THEN 'of ' || p_brand || ', used' WHEN 2 THEN p_name || ' ' || p_size || ' ' || p_brand || 'x' ELSE 're' || p_name END AS text FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def _terms(spark, d):
+    part, even = table(spark, d, "part"), F.col("p_partkey") % 2 == 0
+    terms = part.select(F.col("p_partkey").alias("ord"), F.when(even, F.concat("p_name", F.lit(" "), "p_size")).otherwise(F.col("p_brand")).alias("term"), F.concat("p_brand", F.lit("/"), "p_partkey").alias("label"))
+    n = F.col("l_partkey")
+    text = F.when(n % 4 == 0, F.concat(F.lit("Send a "), F.upper("p_name"), F.lit(" "), n % 60)).when(n % 4 == 1, F.concat(F.lit("of "), "p_brand", F.lit(", used"))).when(n % 4 == 2, F.concat("p_name", F.lit(" "), "p_size", F.lit(" "), "p_brand", F.lit("x"))).otherwise(F.concat(F.lit("re"), "p_name"))
+    return terms, table(spark, d, "lineitem").join(part, F.col("p_partkey") == n).select("l_orderkey", "l_linenumber", text.alias("text"))
+
+
+@query("terms_as_words", f"""WITH {_TERMS}, low AS (SELECT lower(term) AS term, min(ord) AS ord FROM terms GROUP BY 1), kinds AS (SELECT DISTINCT lower(text) AS text FROM texts),
+best AS (SELECT k.text, min(l.ord) AS ord FROM kinds k JOIN low l ON contains(' ' || regexp_replace(k.text, '[^a-z0-9#]', ' ', 'g') || ' ', ' ' || l.term || ' ') GROUP BY k.text)
+SELECT l_orderkey, l_linenumber, label FROM texts LEFT JOIN best ON best.text = lower(texts.text) LEFT JOIN terms USING (ord)""")
+def terms_as_words(spark, d):
+    """Titles of a table in texts, as whole words; the first of those that stand in a text."""
+    terms, texts = _terms(spark, d)
+    return first_term(texts, terms, "text", ["label"]).select("l_orderkey", "l_linenumber", "label")
+
+
+@query("terms_anywhere", f"""WITH {_TERMS}, low AS (SELECT lower(term) AS term, min(ord) AS ord FROM terms GROUP BY 1), kinds AS (SELECT DISTINCT lower(text) AS text FROM texts),
+best AS (SELECT k.text, min(l.ord) AS ord FROM kinds k JOIN low l ON contains(k.text, l.term) GROUP BY k.text)
+SELECT l_orderkey, l_linenumber, label FROM texts LEFT JOIN best ON best.text = lower(texts.text) LEFT JOIN terms USING (ord)""")
+def terms_anywhere(spark, d):
+    """Industries of a table in texts, wherever they stand."""
+    terms, texts = _terms(spark, d)
+    return first_term(texts, terms, "text", ["label"], whole_words=False).select("l_orderkey", "l_linenumber", "label")
+
+
+@query("cards_by_terms", """WITH t AS (SELECT DISTINCT p_partkey, unnest(list_filter(regexp_split_to_array(lower(p_name || ' Pvt ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_size END), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('private', 'limited', 'ltd', 'pvt', 'llp'))) AS term FROM part),
+cards AS (SELECT doc_id AS rank, lower(substr(text, 1, 300)) || ' small' || doc_id % 90 || ' promo' || doc_id % 31 AS text FROM documents),
+k AS (SELECT DISTINCT term FROM t), b AS (SELECT k.term, min(rank) AS rank FROM k JOIN cards ON cards.text LIKE '%' || k.term || '%' GROUP BY k.term)
+SELECT p_partkey, min(rank) AS rank FROM t JOIN b USING (term) GROUP BY p_partkey""")
+def cards_by_terms(spark, d):
+    """The first card that holds one of a company's words; cards name no company."""
+    size = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey")).otherwise(F.col("p_size"))
+    names = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" Pvt "), "p_type", size).alias("company_name"))
+    cards = table(spark, d, "documents").select(F.col("doc_id").alias("rank"), F.concat(F.substring("text", 1, 300), F.lit(" small"), F.col("doc_id") % 90, F.lit(" promo"), F.col("doc_id") % 31).alias("text"))
+    return first_card_of_companies(names, cards).join(names, F.col("name") == F.col("company_name")).select("p_partkey", "card.rank")
+
+
+@query("bands_from_table", """WITH b AS (SELECT p_partkey AS ord, 'band ' || p_partkey AS band, CASE WHEN p_partkey % 11 > 0 THEN p_size * 200 + p_partkey END AS low, CASE WHEN p_partkey % 7 > 0 THEN p_size * 200 + p_partkey * 3 - 50 END AS high FROM part WHERE p_partkey % 77 > 0),
+v AS (SELECT DISTINCT CAST(o_totalprice AS INT) // 10 AS x FROM orders)
+SELECT o_orderkey, 'band ' || m.ord AS band FROM orders LEFT JOIN (SELECT x, min(ord) AS ord FROM v JOIN b ON (low IS NULL OR x >= low) AND (high IS NULL OR x < high) GROUP BY x) m ON m.x = CAST(o_totalprice AS INT) // 10""")
+def bands_from_table(spark, d):
+    """Overlapping bands of a table, some open on one side; the first that holds a value."""
+    n, base = F.col("p_partkey"), F.col("p_size") * 200
+    bands = table(spark, d, "part").filter(n % 77 > 0).select(n.alias("ord"), F.concat(F.lit("band "), n).alias("band"), F.when(n % 11 > 0, base + n).alias("low"), F.when(n % 7 > 0, base + n * 3 - 50).alias("high"))
+    values = table(spark, d, "orders").select("o_orderkey", F.floor(F.rint("o_totalprice") / 10).alias("x"))
+    return first_band(values, bands, "x").select("o_orderkey", "band")
+
+
 # --- recorded result pages and files -------------------------------------------------------------------------------
 
 

@@ -243,3 +243,21 @@ def size_text(size: Column | str) -> Column:
 def time_text(iso: Column | str) -> Column:
     """An ISO time as day, month, year and minute."""
     return F.date_format(F.to_timestamp(col(iso)), "d MMM yyyy, HH:mm")
+
+
+#: The fields of a director in registry documents.
+_DIRECTOR = "array<struct<" + ",".join(f"{n}:string" for n in "directorName name fullName FirstName MiddleName LastName designation role MCAUserRole".split()) + ">>"
+
+
+def first_director(c: Column | str) -> Column:
+    """struct(name, designation) of the first director who has a name, from a JSON list."""
+    def texts(x: Column, *keys: str) -> Column:
+        return F.filter(F.array(*[F.nullif(strip(x[k]), F.lit("")) for k in keys]), lambda t: t.isNotNull())
+
+    def named(x: Column) -> Column:
+        parts = F.nullif(F.array_join(texts(x, "FirstName", "MiddleName", "LastName"), " "), F.lit(""))
+        name = F.coalesce(F.try_element_at(texts(x, "directorName", "name", "fullName"), F.lit(1)), parts)
+        role = F.coalesce(F.try_element_at(texts(x, "designation", "role", "MCAUserRole"), F.lit(1)), F.lit("Director"))
+        return F.struct(name.alias("name"), role.alias("designation"))
+
+    return F.try_element_at(F.filter(F.transform(F.from_json(col(c), _DIRECTOR), named), lambda x: x["name"].isNotNull()), F.lit(1))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import JOB_EVENT
+from .lineage import folder_exists, remove
 
 FINAL = ("completed", "failed")
 
@@ -23,6 +25,62 @@ def log_event(spark: SparkSession, path: str, number: int, job_id: str, step: st
     spark.createDataFrame([row], JOB_EVENT).write.mode("append").parquet(path)
 
 
+#: One row for each folding of a log: its number, and the names of the event files that are in it.
+FOLDS = "fold long, files array<string>"
+
+
+def _folds(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.schema(FOLDS).parquet(f"{path}.folds") if folder_exists(spark, f"{path}.folds") else None
+
+
+def _last_fold(folds: DataFrame | None) -> tuple[int | None, DataFrame | None]:
+    """Its number, and the names of the files in it."""
+    last = folds.agg(F.max("fold")).first()[0] if folds is not None else None
+    return last, None if last is None else folds.filter(F.col("fold") == last).select(F.explode("files").alias("_file"))
+
+
+def _all_events(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
+    """What the last fold holds, and the listed files that it does not stand for."""
+    fold, files = _last_fold(_folds(spark, path))
+    if fold is None:
+        return listed
+    since = listed.withColumn("_file", F.col("_metadata.file_name")).join(files, "_file", "left_anti").drop("_file")
+    return spark.read.schema(JOB_EVENT).parquet(f"{path}.folded/fold={fold}").unionByName(since)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All events: those folded so far from their one table, and those in files that have come since. Each counts once."""
+    return _all_events(spark, path, spark.read.schema(JOB_EVENT).parquet(path))
+
+
+def fold_log(spark: SparkSession, path: str) -> int:
+    """Writes all events to few files, and then says which event files these stand for; -> the fold's number.
+
+    Until that one row is written, readers see the files as before; after it they see the fold and later files. One fold
+    runs at a time; events may come meanwhile.
+    """
+    fold, _ = _last_fold(_folds(spark, path))
+    number = 0 if fold is None else fold + 1
+    listed = spark.read.schema(JOB_EVENT).parquet(path)  # lists the files once
+    events = _all_events(spark, path, listed)
+    events.repartition("job_id").sortWithinPartitions("job_id", "id").write.mode("overwrite").parquet(f"{path}.folded/fold={number}")
+    names = sorted(unquote(f.rsplit("/", 1)[-1]) for f in listed.inputFiles())
+    spark.createDataFrame([(number, names)], FOLDS).coalesce(1).write.mode("append").parquet(f"{path}.folds")
+    return number
+
+
+def drop_folded(spark: SparkSession, path: str) -> int:
+    """Deletes the event files that the last fold stands for, and earlier folds; to be run when no reader is at work. -> files deleted."""
+    fold, files = _last_fold(_folds(spark, path))
+    if fold is None:
+        return 0
+    names = {r["_file"] for r in files.collect()}
+    there = [f for f in spark.read.schema(JOB_EVENT).parquet(path).inputFiles() if unquote(f.rsplit("/", 1)[-1]) in names]
+    for target in [*there, *(f"{path}.folded/fold={n}" for n in range(fold))]:
+        remove(spark, target)
+    return len(there)
+
+
 def state_of_event(status: str = "status") -> Column:
     """An event's effect on its job: progress of any kind means running."""
     s = F.col(status)

@@ -28,3 +28,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own within the shared one; nothing is written yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has the path."""
+    fs, at = file_system(spark, path)
+    return bool(fs.exists(at))
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path in its form."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of Spark's file system, if it is there."""
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)

@@ -16,9 +16,9 @@ from ..functions import targeting as T
 from ..functions import text as S
 from ..functions import validation as V
 from ..functions.markup import visible_text_column
-from ..operators import baseline, dedup, enrich, export, jobs, leads, search
+from ..operators import baseline, dedup, enrich, export, jobs, leads, lookups, search
 from ..operators.bands import first_band
-from ..operators.lineage import fresh_folder
+from ..operators.lineage import file_system, fresh_folder
 from ..operators.terms import first_card_of_companies, first_term
 from ..schema import titles, with_company_fields
 from ..streaming.jobs import append_new, current_jobs, exported, follow_jobs, until_idle
@@ -486,22 +486,7 @@ def next_data_json(spark, d):
 @query("director_first_text", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Asha Rao' WHEN event_id % 3 = 1 THEN 'Ravi K Iyer' END AS name, CASE WHEN event_id % 3 = 0 THEN 'CFO' WHEN event_id % 3 = 1 THEN 'Director' END AS designation FROM events")
 def director_first_text(spark, d):
     doc = F.when(F.col("event_id") % 3 == 0, '[{"name":" "},{"name":" Asha Rao ","role":"CFO"}]').when(F.col("event_id") % 3 == 1, '[{"FirstName":"Ravi","MiddleName":"K","LastName":"Iyer "}]').otherwise("[]")
-    return table(spark, d, "events").select("event_id", enrich_director(doc).alias("r")).select("event_id", "r.*")
-
-
-def enrich_director(c):
-    """struct(name, designation) of the first director who has a name, from a JSON list."""
-    shape = "array<struct<directorName:string,name:string,fullName:string,FirstName:string,MiddleName:string,LastName:string,designation:string,role:string,MCAUserRole:string>>"
-
-    def first_text(x, *keys):
-        return F.coalesce(*[F.nullif(S.strip(x[k]), F.lit("")) for k in keys])
-
-    def named(x):
-        joined = F.array_join(F.filter(F.array(*[F.nullif(S.strip(x[k]), F.lit("")) for k in ("FirstName", "MiddleName", "LastName")]), lambda p: p.isNotNull()), " ")
-        return F.struct(F.coalesce(first_text(x, "directorName", "name", "fullName"), F.nullif(joined, F.lit(""))).alias("name"), F.coalesce(first_text(x, "designation", "role", "MCAUserRole"), F.lit("Director")).alias("designation"))
-
-    found = F.filter(F.transform(F.from_json(c, shape), named), lambda x: x["name"].isNotNull())
-    return F.try_element_at(found, F.lit(1))
+    return table(spark, d, "events").select("event_id", X.first_director(doc).alias("r")).select("event_id", "r.*")
 
 
 @query("query_string", "SELECT c_custkey, concat_ws(' ', CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, nullif(n_name, 'NATION_1'), 'CEO') AS query FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -558,6 +543,45 @@ def enrich_merge(spark, d):
     return out.select("seq", "gst", "email", "address", "phone", "phone_alt", "turnover", "city", "state", "region")
 
 
+def _registered(spark, d):
+    """Companies with a CIN for each fifth, and recorded registry documents for each tenth."""
+    seq = F.col("seq")
+    rows = with_company_fields(companies(spark, d)).withColumn("cin", F.when(seq % 5 == 0, F.concat(F.lit("u"), F.lpad(seq.cast("string"), 5, "0"), F.lit("TN2001PTC123456"))))
+    directors = F.when(seq % 20 == 0, '[{"name":" "},{"FirstName":"Ravi","LastName":"Iyer","role":"Whole-time Director"}]').otherwise("[]")
+    document = F.concat(F.lit('{"address":"Reg '), seq, F.lit(', Salem","gst":"29ABCDE1234F1ZW","directors":'), directors, F.lit("}"))
+    documents = rows.filter("seq % 10 = 0").select(F.col("cin"), document.alias("document"))
+    return rows, documents
+
+
+_REGISTERED = f"""WITH {_C}, r AS (SELECT *, CASE WHEN seq % 5 = 4 THEN seq - 1 ELSE seq END AS m, CASE WHEN seq % 5 = 0 THEN 'u' || lpad(CAST(seq AS VARCHAR), 5, '0') || 'TN2001PTC123456' END AS cin FROM c)"""
+
+
+@query("enrich_registry", f"""{_REGISTERED}, g AS (SELECT *, coalesce(nullif(gst, ''), CASE WHEN m % 3 = 0 THEN '33ABCDE1234F1Z7' END) AS gst2 FROM r), h AS (SELECT *, CASE WHEN seq % 10 = 0 THEN coalesce(gst2, '29ABCDE1234F1ZW') ELSE gst2 END AS gst3 FROM g)
+SELECT seq, CASE WHEN gst3 IS NULL AND cin IS NULL AND turnover IS NULL THEN gst ELSE gst3 END AS gst, CASE WHEN seq % 10 = 0 THEN 'Reg ' || seq || ', Salem' ELSE address END AS address, CASE WHEN seq % 20 = 0 THEN 'Ravi Iyer' ELSE contact_person END AS contact_person, CASE WHEN seq % 20 = 0 THEN 'Whole-time Director' ELSE designation END AS designation,
+ CASE WHEN gst3 = '33ABCDE1234F1Z7' AND turnover IS NULL THEN 'Rs. 5 Cr. to 25 Cr.' ELSE turnover END AS turnover FROM h""")
+def enrich_registry(spark, d):
+    """Registry documents by CIN, numbers out of the texts found for a name, and slabs out of pages."""
+    rows, documents = _registered(spark, d)
+    number = F.regexp_extract("company_name", "[0-9]+", 0).cast("long")
+    texts = rows.select(F.col("company_name").alias("name"), F.when(number % 3 == 0, "29ABCDE1234F1ZX or 33abcde1234f1z7").otherwise("GSTIN 29ABCDE1234F1ZX").alias("text")).distinct()
+    pages = rows.filter("seq < 3").select(F.lit("33ABCDE1234F1Z7").alias("gst"), F.lit("Slab: Rs. 5 Cr. to 25 Cr. FY 2024-2025").alias("text"))
+    none = spark.createDataFrame([], "company_name string, email string, address string, contact_person string, designation string, linkedin_url string, gst string, cin string, phones array<string>, official_name string, url string")
+    by_name, geo = spark.createDataFrame([], "name string, address string, email string"), spark.createDataFrame([], "address_key string, city string, state string, region string")
+    out = enrich.enrich(rows, none, by_name, lookups.registry_rows(documents), lookups.gst_rows(texts), lookups.slab_rows(pages), geo)
+    return out.select("seq", "gst", "address", "contact_person", "designation", "turnover")
+
+
+@query("lookups_remembered", f"""{_REGISTERED} SELECT upper(cin) AS key, CASE WHEN seq % 10 = 0 THEN 'Reg ' || seq || ', Salem' END AS address, CASE WHEN seq % 20 = 0 THEN 'Ravi Iyer' END AS contact_person, CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS run FROM r WHERE cin IS NOT NULL""")
+def lookups_remembered(spark, d):
+    """Two runs over a registry; the second asks for what the first has not, and for nothing that the first has found missing."""
+    rows, documents = _registered(spark, d)
+    memory, shape = fresh_folder(spark, "memory"), "address string, gst string, contact_person string, designation string"
+    ask = lookups.ask_recorded(lookups.registry_rows(documents), "cin")
+    keys = rows.select("seq", enrich.cin_key().alias("key"))
+    lookups.look_up(keys.filter("seq % 3 = 0"), memory, ask, shape, 1)
+    return lookups.look_up(keys, memory, ask, shape, 2).select("key", "answer.address", "answer.contact_person", "run")
+
+
 @query("enrich_phone_merge", f"""WITH {_C} SELECT seq, coalesce(phone, '9876543210') AS phone, CASE WHEN phone IS NULL THEN '9123456780' ELSE '9876543210' END AS phone_alt FROM c""")
 def enrich_phone_merge(spark, d):
     found = F.array(F.lit("9876543210"), F.lit("98765 43210"), F.lit("9123456780"))
@@ -641,6 +665,20 @@ def job_state_stream(spark, d):
     return current_jobs(spark, f"{root}/jobs").select("job_id", "status", "current_step", "last_event")
 
 
+@query("job_log_folded", f"WITH {_EVENTS}, {_LATEST} SELECT job_id, status, current_step, last_event, (SELECT count(*) FROM e) AS events FROM l")
+def job_log_folded(spark, d):
+    """A log of hundreds of files: folded, written on, folded again, its old files dropped, and written on."""
+    events, log = job_events(spark, d), f"{fresh_folder(spark, 'log')}/events"
+    for part, files in enumerate((150, 100, 50)):
+        events.filter(F.pmod("id", F.lit(3)) == part).repartition(files).write.mode("append").parquet(log)
+        if part < 2:
+            jobs.fold_log(spark, log)
+    jobs.drop_folded(spark, log)
+    rows = jobs.read_log(spark, log)
+    total = rows.agg(F.count(F.lit(1))).first()[0]
+    return jobs.latest_states(rows).select("job_id", "status", "current_step", "last_event", F.lit(total).alias("events"))
+
+
 @query("incremental_dedup_stream", """WITH RECURSIVE o AS (SELECT doc_id, doc_id % 4 AS part, ['name:' || source || '/' || lang || n_chars % 9, 'site:' || n_chars % 700] AS keys, row_number() OVER (ORDER BY doc_id % 4, doc_id) AS n FROM documents),
 walk(n, part, ok, seen, taken) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, []::VARCHAR[], []::VARCHAR[] UNION ALL
   SELECT s.n, s.part, s.free AND NOT list_has_any(s.keys, s.taken), CASE WHEN s.free THEN list_concat(s.seen, s.keys) ELSE s.seen END, CASE WHEN s.free AND NOT list_has_any(s.keys, s.taken) THEN list_concat(s.taken, s.keys) ELSE s.taken END
@@ -692,13 +730,21 @@ def export_committed(spark, d):
     return export.read_export(spark, path).select("job", "Company Name", "Website URL")
 
 
-@query("file_catalogue")
+@query("file_catalogue", """SELECT name, size_bytes FROM (SELECT CASE n_nationkey % 4 WHEN 0 THEN n_name || '.csv' WHEN 1 THEN lower(n_name) || '.CSV' WHEN 2 THEN n_name || '.xlsx' ELSE n_name || '.txt' END AS name, n_nationkey * 10 + length(n_name) + 1 AS size_bytes FROM nation) WHERE lower(name) LIKE '%.csv' OR lower(name) LIKE '%.xlsx'""")
 def file_catalogue(spark, d):
+    """A file for each nation, of a known name and length."""
     from ..sources.files import catalogue
 
-    root = fresh_folder(spark, "files")
-    table(spark, d, "region").write.mode("overwrite").option("header", True).csv(f"{root}/csv")
-    return catalogue(spark, f"{root}/csv").select("name", "size_bytes")
+    root, key = fresh_folder(spark, "files"), F.col("n_nationkey")
+    name = F.when(key % 4 == 0, F.concat("n_name", F.lit(".csv"))).when(key % 4 == 1, F.concat(F.lower("n_name"), F.lit(".CSV"))).when(key % 4 == 2, F.concat("n_name", F.lit(".xlsx"))).otherwise(F.concat("n_name", F.lit(".txt")))
+    rows = table(spark, d, "nation").select(name.alias("file"), F.concat("n_name", F.repeat(F.lit("x"), key * 10)).alias("value"))
+    rows.repartition("file").write.partitionBy("file").text(f"{root}/written")
+    fs, at = file_system(spark, f"{root}/written/file=*/part-*")
+    fs.mkdirs(file_system(spark, f"{root}/files")[1])
+    for part in fs.globStatus(at):
+        path = part.getPath()
+        fs.rename(path, file_system(spark, f"{root}/files/{path.getParent().getName().removeprefix('file=')}")[1])
+    return catalogue(spark, f"{root}/files").select("name", "size_bytes")
 
 
 @query("header_normalised", "SELECT p_name AS company_name, 'https://' || p_brand AS website, CAST(p_partkey AS VARCHAR) AS phone FROM part")
@@ -943,10 +989,12 @@ def directory_results(spark, d):
     return both.select("query", "company_name", "website", "city", "provider_ord")
 
 
-@query("query_encoded", "SELECT p_partkey, p_brand || ' companies in Tamil Nadu' AS place, url_encode(p_brand || ' & ' || p_type) AS encoded FROM part")
+@query("query_encoded", "SELECT p_partkey, p_brand || ' & Co ' || p_type || ' CEO' AS query, replace(url_encode(p_brand || ' & Co ' || p_type || ' CEO'), '%20', '+') AS query_encoded FROM part")
 def query_encoded(spark, d):
-    rows = table(spark, d, "part")
-    return rows.select("p_partkey", F.concat("p_brand", F.lit(" companies in Tamil Nadu")).alias("place"), F.replace(F.url_encode(F.concat("p_brand", F.lit(" & "), "p_type")), F.lit("+"), F.lit("%20")).alias("encoded"))
+    from ..sources.providers import request_query
+
+    requests = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(" & Co")).alias("industry"), F.col("p_type").alias("location"), F.array(F.lit("CEO")).alias("keywords"))
+    return request_query(requests).select("p_partkey", "query", "query_encoded")
 
 
 @query("phones_in_order", "SELECT page_id, '90000' || z || '|' || CASE WHEN page_id % 2 = 0 THEN '80000' || z || '|70000' || z ELSE '70000' || z || '|80000' || z END AS phones FROM (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 5, '0') AS z FROM pages)")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.baseline import HEADER_ALIASES, normalise_headers
+from ..operators.lineage import folder_exists
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -110,7 +111,9 @@ def catalogue(spark: SparkSession, folder: str, recursive: bool = False) -> Data
 
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Company fields of all CSV files below a folder, then all workbooks."""
+    """Company fields of all CSV files below a folder, then all workbooks; none where there is no such path."""
+    if not folder_exists(spark, folder):
+        return spark.createDataFrame([], ", ".join(f"{f} string" for f in HEADER_ALIASES))
     return _parsed_files(spark, folder, csv_rows, "*.[cC][sS][vV]").unionByName(_parsed_files(spark, folder, xlsx_rows, "*.[xX][lL][sS][xX]"))
 
 

@@ -128,7 +128,7 @@ def test_category_split(spark):
 
 def test_nested_texts():
     nested = {"id": "x", "output": [{"choices": [{"message": {"content": [{"type": "text", "text": "inner"}]}}]}]}
-    assert P.completion_text(nested) == "inner" and P.any_text(nested) == "inner"
+    assert P.completion_text(nested) == "inner"
     assert P.completion_text({"status": "IN_QUEUE"}) is None
     assert P.best_jsonld_name(['[{"@type":"Organization","name":"Portal"},{"@type":"LocalBusiness","name":"Acme Pumps"}]']) == "Acme Pumps"
     assert P.contact_near_title("Asha Rao (Managing Director)") == ("Asha Rao", "Managing Director")

@@ -251,3 +251,50 @@ def test_followed_jobs_keep_the_last_state(spark, tmp_path):
         until_idle(follow_jobs(events, f"{tmp_path}/jobs", f"{tmp_path}/state"))
     found = {r["job_id"]: (r["status"], r["created_at"], r["last_event"]) for r in current_jobs(spark, f"{tmp_path}/jobs").collect()}
     assert found == {"a": ("failed", "t1", 5), "b": ("queued", "t2", 2)}
+
+
+def test_folded_log_counts_each_event_once(spark, tmp_path):
+    from leadweave.operators import jobs
+    from leadweave.schema import JOB_EVENT
+
+    log, ids = f"{tmp_path}/log", []
+    for turn in range(3):
+        for i in range(4):
+            ids.append(turn * 4 + i)
+            spark.createDataFrame([(ids[-1], f"j{i % 2}", "t", "s", "running", "")], JOB_EVENT).coalesce(1).write.mode("append").parquet(log)
+        assert sorted(r["id"] for r in jobs.read_log(spark, log).collect()) == ids
+        assert jobs.fold_log(spark, log) == turn
+        assert sorted(r["id"] for r in jobs.read_log(spark, log).collect()) == ids
+        if turn:
+            assert jobs.drop_folded(spark, log) == (8 if turn == 1 else 4)
+            assert sorted(r["id"] for r in jobs.read_log(spark, log).collect()) == ids
+
+
+def test_lookups_ask_once(spark, tmp_path):
+    """A key is asked for once, found or not; live lookups keep their pace; nothing is asked for empty and null keys."""
+    import time
+
+    from leadweave.operators import lookups
+    from leadweave.plans.settings import Settings
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def answer(key):
+        (asked / f"{key}-{time.time_ns()}").touch()
+        return {"v": key.upper()} if key != "none" else None
+
+    ask = lookups.ask_live(answer, "v string", Settings(lookup_pause=0.05))
+    keys = [("a",), ("b",), ("a",), (None,), ("",), ("none",)]
+    first = lookups.look_up(spark.createDataFrame(keys, "key string").coalesce(1), f"{tmp_path}/m", ask, "v string", 1)
+    assert {(r["key"], r["answer"] and r["answer"]["v"], r["run"]) for r in first.collect()} == {("a", "A", 1), ("b", "B", 1), ("none", None, 1)}
+    second = lookups.look_up(spark.createDataFrame([*keys, ("c",)], "key string"), f"{tmp_path}/m", ask, "v string", 2)
+    assert {(r["key"], r["run"]) for r in second.collect()} == {("a", 1), ("b", 1), ("none", 1), ("c", 2)}
+    names = sorted(p.name.split("-")[0] for p in asked.iterdir())
+    assert names == ["a", "b", "c", "none"]
+    assert {r["key"]: r["v"] for r in lookups.answered(second, "key").collect()} == {"a": "A", "b": "B", "c": "C"}
+    assert lookups.look_up(spark.createDataFrame([], "key string"), f"{tmp_path}/new", ask, "v string", 1).count() == 0
+
+
+def test_missing_baseline_is_empty(spark, tmp_path):
+    assert files.baseline(spark, f"{tmp_path}/nowhere").count() == 0 and "company_name" in files.baseline(spark, f"{tmp_path}/nowhere").columns

@@ -3,8 +3,8 @@
 Every run of ``gram`` words of a template is hashed; of each ``window`` neighbouring hashes the least is kept (winnowing) in
 an inverted index hash -> (template, place). All runs of a text are looked up in it, whole batches at a time, so that any
 passage that shares gram + window - 1 words with a template is met. The places met give diagonals; neighbouring ones
-make one candidate, and a local alignment of words in a band around it (match 1, mismatch and gap -1) gives the words that
-match, in order, and where the passage starts and ends. Alignments of one template that follow one another in the text and
+make one candidate, and a local alignment of words (match 1, mismatch and gap -1) in a band that follows them from hit to
+hit, so that a passage with many small insertions stays in it, gives the words that match, in order, and where the passage starts and ends. Alignments of one template that follow one another in the text and
 in the template, with less than the template's length between them, are chained into one passage, so that a long insertion
 or a missing paragraph does not cut it in two.
 
@@ -75,8 +75,8 @@ class Index:
         body = np.frombuffer(text.encode(), dtype=np.uint8)
         return self.words(body, np.array([0, len(body)]))
 
-    def candidates(self, runs: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(template, diagonal, first and last place) of each group of hits; a diagonal is text place - template place."""
+    def candidates(self, runs: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(template, its diagonal at each word) of each group of hits; a diagonal is text place - template place."""
         lo, hi = np.searchsorted(self.keys, runs, side="left"), np.searchsorted(self.keys, runs, side="right")
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
@@ -92,20 +92,40 @@ class Index:
             band, length = self.band(k), len(self.tokens[k])
             cut = np.flatnonzero((np.diff(d) > band) | (np.abs(np.diff(p)) > length + band)) + 1
             for ds, ps in zip(np.split(d, cut), np.split(p, cut), strict=True):
-                out.append((int(k), int(np.median(ds)), int(ps.min()), int(ps.max())))
+                out.append((int(k), self.followed(ds, ps - ds, length)))
         return out
 
+    @staticmethod
+    def followed(diagonals: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+        """The diagonal at each of a template's words: that of the last hit up to it, of the most hits that follow one another in both."""
+        order = np.lexsort((-diagonals, places))
+        hits = list(zip(places[order].tolist(), (places + diagonals)[order].tolist(), strict=True))
+        ends: list[int] = []  # least text place that a run of so many hits can end with
+        last: list[int] = []  # and the hit that it is
+        before = []
+        for i, (_, at) in enumerate(hits):
+            n = bisect.bisect_left(ends, at)
+            before.append(last[n - 1] if n else -1)
+            ends[n : n + 1], last[n : n + 1] = [at], [i]
+        path, i = [], last[-1]
+        while i >= 0:
+            path.append(hits[i])
+            i = before[i]
+        place, at = np.array(path[::-1]).T
+        return (at - place)[np.maximum(np.searchsorted(place, np.arange(length), side="right") - 1, 0)]
+
     def band(self, k: int) -> int:
         return min(8, max(1, len(self.tokens[k]) // 4))
 
-    def align(self, k: int, diagonal: int, text: np.ndarray) -> tuple[int, int, int, int, int]:
-        """Best local alignment of template k in the band: words matched, first and last + 1 word of the text, and of the template."""
+    def align(self, k: int, diagonal: int | np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int]:
+        """Best local alignment of template k in the band around a diagonal, or around one for each of its words: words matched, first and last + 1 word of the text, and of the template."""
         template, band = self.tokens[k].tolist(), self.band(k)
+        centres = np.broadcast_to(diagonal, len(template)).tolist()
         best = (0, 0, 0, 0, 0, 0)
         row: dict[int, tuple[int, int, int, int]] = {}  # text place -> (score, matches, start in text, in template)
         for t, word in enumerate(template):
             new: dict[int, tuple[int, int, int, int]] = {}
-            lo, hi = max(0, t + diagonal - band), min(len(text), t + diagonal + band + 1)
+            lo, hi = max(0, t + centres[t] - band), min(len(text), t + centres[t] + band + 1)
             for p in range(lo, hi):
                 score, matched, *start = row.get(p - 1, (0, 0, p, t))
                 same = int(text[p]) == word
@@ -123,7 +143,7 @@ class Index:
     def passages(self, runs: np.ndarray, text: np.ndarray, min_coverage: float) -> list[tuple[int, int, int, int]]:
         """(first word, last + 1, template, words matched) of each passage, in order; of those of a template that overlap, the best."""
         aligned: dict[int, list[tuple]] = {}
-        for k, diagonal, _, _ in self.candidates(runs):
+        for k, diagonal in self.candidates(runs):
             matched, a, b, ta, tb = self.align(k, diagonal, text)
             if matched:
                 aligned.setdefault(k, []).append((a, b, ta, tb, matched))

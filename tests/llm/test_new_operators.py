@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadweave.llm import conversations as CV
+from leadweave.llm import licenses as LI
 from leadweave.llm import quality as QU
 from leadweave.llm import spelling as SP
 from leadweave.llm.common import U64, mix
@@ -282,3 +283,26 @@ def test_quality_of_odd_rows(spark, kinds):
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] == 0}) == 1
     assert QU.score_texts(docs.limit(0), model).count() == 0
+
+
+# Licenses whose words drift
+
+
+@pytest.mark.parametrize("name", ["mit", "bsd-3-clause", "apache-2.0-notice", "gpl-3.0-notice"])
+def test_licenses_with_insertions(spark, name):
+    """1 to 12 foreign words after every 8th, 12th, 20th and 40th: the whole passage is one, with nearly all of its words."""
+    words, texts, cases = LI.TEMPLATES[name].split(), [], []
+    for every in (8, 12, 20, 40):
+        for n in range(1, 13):
+            out = []
+            for i, word in enumerate(words):
+                out += [word] + [f"foreign{i}w{j}" for j in range(n)] * (i % every == every - 1)
+            texts.append(" ".join(["before it", *out, "after it"]))
+            cases.append((every, n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in LI.scan(docs).filter(F.col("license") == name).collect():
+        found[r["doc_id"]].append(r)
+    for i, (every, n) in enumerate(cases):
+        assert len(found[i]) == 1, (every, n)
+        assert found[i][0]["coverage"] >= (0.9 if n < min(8, every) else 0.7), (every, n)

@@ -960,6 +960,39 @@ def _key(before: str, after: str = ""):
     return F.concat(F.lit(before), F.col("p_partkey").cast("string"), F.lit(after))
 
 
+def _recorded(spark, d, root: str, part: int | None = None) -> str:
+    """Result pages as JSON lines in a folder for each query."""
+    card = F.concat(_key('<div class="g"><h3>Works ', "</h3>"), _key('<a href="https://w', '.example/">go</a></div>'))
+    pages = result_pages(spark, d, card)
+    pages = pages if part is None else pages.filter(F.pmod("place", F.lit(2)) == part)
+    pages.repartition("query").write.mode("append").partitionBy("query").json(root)
+    return root
+
+
+@query("provider_source", "SELECT CAST(p_partkey % 7 AS VARCHAR) AS query, 'Works ' || p_partkey AS company_name, p_partkey * 1000000 AS rank FROM part WHERE p_partkey % 7 IN (2, 5) AND p_partkey > 40")
+def provider_source(spark, d):
+    """Recorded pages of two queries, through the source by name, which skips the folders of the others."""
+    from ..sources.providers import RecordedPages, web_search
+
+    spark.dataSource.register(RecordedPages)
+    pages = spark.read.format("recorded_pages").option("path", _recorded(spark, d, fresh_folder(spark, "pages"))).option("queries", "[2, 5]").load()
+    return web_search(pages.filter(F.col("place") > 40)).select("query", "company_name", "rank")
+
+
+@query("provider_stream", "SELECT CAST(p_partkey % 7 AS VARCHAR) AS query, 'Works ' || p_partkey AS company_name, p_partkey * 1000000 AS rank FROM part")
+def provider_stream(spark, d):
+    """Recorded pages as they arrive: a stream that is stopped and goes on from its checkpoint."""
+    from ..sources.providers import RecordedPages, web_search
+
+    spark.dataSource.register(RecordedPages)
+    root = fresh_folder(spark, "pages")
+    for part in (0, 1):
+        _recorded(spark, d, f"{root}/in", part)
+        found = web_search(spark.readStream.format("recorded_pages").option("path", f"{root}/in").load())
+        until_idle(found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").start())
+    return spark.read.parquet(f"{root}/out").select("query", "company_name", "rank")
+
+
 @query("web_results", "SELECT p_partkey % 7 AS query, 'Works ' || p_partkey || ' & Co' AS company_name, 'https://w' || p_partkey || '.example/' AS website, p_partkey * 1000000 AS rank FROM part WHERE p_partkey % 3 > 0")
 def web_results(spark, d):
     from ..sources.providers import web_search

@@ -5,11 +5,16 @@ A provider turns recorded pages (query, place, html) into company rows with a ra
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Callable
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.extract import category_and_address, website_of_listing
 from ..functions.markup import Element, cards
@@ -110,7 +115,13 @@ def request_query(requests: DataFrame) -> DataFrame:
 
 
 class RecordedPages(DataSource):
-    """``spark.read.format("recorded_pages").option("path", folder)``: pages (query, place, html) from JSON-lines files."""
+    """``spark.read`` or ``spark.readStream.format("recorded_pages").option("path", folder)``: pages (query, place, html).
+
+    Pages lie in JSON-lines files below the folder, in ``query=...`` folders or with the query in each line. The
+    option ``queries``, a JSON list, skips the folders of other queries, and their lines. (Conditions are not pushed down: Spark
+    4.1 keeps those of one query for the next over the same DataFrame, which then lacks rows.) Files are read by URI through Arrow's file systems, on the executors.
+    As a stream, files count in the order of their times and names, and must arrive whole.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -120,23 +131,91 @@ class RecordedPages(DataSource):
         return "query string, place long, html string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PageReader(self.options["path"])
+        return _PageReader(self.options["path"], self.options.get("queries"))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802 (Spark's name)
+        return _PageStream(self.options["path"], self.options.get("queries"))
 
-class _PageReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
 
-    def partitions(self):
-        from pathlib import Path
+def _file_system(uri: str):
+    """Arrow's file system for a path or URI, and the path in it."""
+    if "://" not in uri and uri.startswith("file:/"):
+        uri = uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.jsonl"))] or [InputPartition(None)]
 
-    def read(self, partition):
-        import json
+def _page_files(uri: str) -> list[tuple[int, str]]:
+    """(time, path) of the page files below a folder, in order; hidden and unfinished ones left out."""
+    system, root = _file_system(uri)
+    found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    own = [(f.mtime_ns or 0, f.path) for f in found if f.is_file and f.path.endswith((".json", ".jsonl"))]
+    return sorted(f for f in own if not any(part.startswith(("_", ".")) for part in f[1][len(root) :].split("/")))
+
+
+def _query_of(path: str) -> str | None:
+    """The query that a file's folder names."""
+    named = [p for p in path.split("/") if p.startswith("query=")]
+    return unquote(named[-1].removeprefix("query=")) if named else None
+
 
+class _Wanted:
+    """A folder, and the queries that are wanted of it: all, if none are named."""
+
+    def __init__(self, path: str, queries: str | None):
+        self.path, self.queries = path, None if queries is None else frozenset(map(str, json.loads(queries)))
+
+    def fits(self, query: str | None) -> bool:
+        return self.queries is None or query in self.queries
+
+    def files(self) -> list[tuple[int, str]]:
+        return [(time, path) for time, path in _page_files(self.path) if _query_of(path) is None or self.fits(_query_of(path))]
+
+    def read(self, partition):
         if partition.value is not None:
-            with open(partition.value, encoding="utf-8") as f:
-                for line in f:
-                    page = json.loads(line)
-                    yield page.get("query"), page.get("place"), page.get("html")
+            yield from _pages(self.path, partition.value, self.fits)
+
+
+class _PageReader(_Wanted, DataSourceReader):
+    def partitions(self):
+        return [InputPartition(path) for _, path in self.files()] or [InputPartition(None)]
+
+
+def _pages(uri: str, path: str, fits, rows: int = 512):
+    """Arrow batches of a file's pages."""
+    system, _ = _file_system(uri)
+    query = _query_of(path)
+    held: list[tuple] = []
+
+    def batch():
+        columns = zip(*held, strict=True) if held else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["query", "place", "html"])
+
+    with system.open_input_stream(path) as body, io.TextIOWrapper(body, encoding="utf-8") as lines:
+        for line in lines:
+            page = json.loads(line) if line.strip() else {}
+            own = page.get("query", query)
+            own = None if own is None else str(own)
+            if page and fits(own):
+                held.append((own, page.get("place"), page.get("html")))
+                if len(held) == rows:
+                    yield batch()
+                    held.clear()
+    yield batch()
+
+
+class _PageStream(_Wanted, DataSourceStreamReader):
+    """Offsets are the time and name of the last file that has been read."""
+
+    def initialOffset(self) -> dict:  # noqa: N802 (Spark's name)
+        return {"time": -1, "path": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802 (Spark's name)
+        files = _page_files(self.path)
+        return {"time": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict):
+        after, last = (start["time"], start["path"]), (end["time"], end["path"])
+        return [InputPartition(path) for time, path in self.files() if after < (time, path) <= last] or [InputPartition(None)]
+
+    def commit(self, end: dict) -> None:
+        pass

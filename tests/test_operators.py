@@ -298,3 +298,21 @@ def test_lookups_ask_once(spark, tmp_path):
 
 def test_missing_baseline_is_empty(spark, tmp_path):
     assert files.baseline(spark, f"{tmp_path}/nowhere").count() == 0 and "company_name" in files.baseline(spark, f"{tmp_path}/nowhere").columns
+
+
+def test_page_source_skips_other_queries(spark, tmp_path):
+    """Folders of other queries are no partitions; odd lines and unfinished files do no harm; one frame serves many questions."""
+    spark.dataSource.register(providers.RecordedPages)
+    pages = [(q, p, None if p == 3 else f"<p>{p}") for q in ("a b", "c", "d/e") for p in range(5)]
+    spark.createDataFrame(pages, "query string, place long, html string").repartition("query").write.partitionBy("query").json(f"{tmp_path}/in")
+    (tmp_path / "in" / "loose.jsonl").write_text('{"query": "c", "place": 9, "html": "x"}\n\n{"query": 7, "place": null}\n')
+    (tmp_path / "in" / "_part.jsonl").write_text("not finished")
+    source = spark.read.format("recorded_pages").option("path", f"{tmp_path}/in")
+    df = source.load()
+    assert df.count() == 17 and df.rdd.getNumPartitions() == 4
+    own = source.option("queries", '["c"]').load()
+    assert own.rdd.getNumPartitions() == 2  # its folder, and the file that names no query
+    assert sorted((r["place"], r["html"]) for r in own.filter("place >= 3").collect()) == [(3, None), (4, "<p>4"), (9, "x")]
+    assert sorted({r["query"] for r in df.filter("query IN ('a b', 'd/e') OR query = '7'").collect()}) == ["7", "a b", "d/e"]
+    assert df.filter("place IS NULL").count() == 1 and df.filter("query <> 'c'").count() == 11 and df.count() == 17
+    assert spark.read.format("recorded_pages").option("path", f"{tmp_path}/none").load().count() == 0

@@ -1,11 +1,17 @@
 """Toxicity scores from a learned lexicon, found with Levenshtein automata.
 
-The lexicon holds the words, and the beginnings of words (written ``stem*``), that labelled toxic texts have and labelled
-clean texts lack. A term is tested by its own texts alone, however few of all toxic texts they are: so many of them must be
-toxic that chance (the binomial tail's Chernoff bound, over all words tried) hardly explains it. All its terms form one trie. The words of a text run through the product of that trie and the terms' Levenshtein automata, made deterministic as states
-are met, so that misspelled terms are found without trying each term. Each find weighs as much as its term, or its term at
-that distance, has proved in the labelled texts; the words and signs around it raise that weight (address) or lower it
-(quotation, report) by fixed factors. A text's score is the chance that any of its finds is abuse, each taken to be independent.
+The lexicon holds the words, and the beginnings of words (written ``stem*``), of which labelled texts prove that they tell
+toxic from clean. A term is tested by its own texts alone, however few of all toxic texts they are: so many of them must be
+toxic that chance (the binomial tail's Chernoff bound, over all words tried) hardly explains it. Clean texts that only quote
+or report it do not count against it, nor such toxic texts for it. What a term weighs is its precision: the share of toxic
+ones among the texts in which no more precise term explains the label, drawn towards that among all its texts. Terms
+that weigh too little are left out, and what they explained falls to others, until none is.
+
+All terms form one trie. The words of a text run through the product of that trie and the terms' Levenshtein automata, made
+deterministic as states are met, so that misspelled terms are found without trying each term. Each find weighs as much as
+its term, or its term at that distance, has proved in the labelled texts; the words and signs around it raise that weight
+(address) or lower it (quotation, report) by factors that start from stated priors and move with what labelled texts with
+such finds show. A text's score is the chance that any of its finds is abuse, each taken to be independent.
 
 Learning uses at most ``fit_rows`` labelled rows (those with the smallest hash of the id), of equal texts one. Scoring
 covers all rows and whole texts.
@@ -31,12 +37,18 @@ from .language import fold_of
 
 FIT_ROWS = 40_000
 MAX_TERMS = 5_000
-#: Terms expected to be learned by chance, were the labels dealt at random, and the most of a term's texts that may be clean.
-CHANCE, IMPURE = 1.0, 0.01
+#: Terms expected to be learned by chance, were the labels dealt at random, and the least share of toxic ones among a term's texts.
+CHANCE, LEAST_SHARE = 1.0, 0.8
+#: What a kept term weighs at least, and how often terms that weigh less are dropped and their texts dealt out anew.
+LEAST_WEIGHT, ROUNDS = 0.8, 20
+#: Texts' weight with which a term's precision in all its texts stands beside that in the texts left to it.
+OWN_TEXTS = 2.0
 #: Lengths of the beginnings that may become stems.
 STEMS = (4, 5, 6, 7)
 #: Taken for misspelled terms before any is seen in labelled texts, by distance, with this many texts' weight.
 PRIOR, PRIOR_TEXTS = {1: 0.8, 2: 0.6}, 2.0
+#: What a context does to a find's weight before any is seen in labelled texts, with this many texts' weight, and the bounds.
+CONTEXTS, CONTEXT_TEXTS, FACTORS = {"quoted": 0.5, "reported": 0.7, "addressed": 1.3}, 20.0, (0.02, 2.0)
 LOWEST = 0.01
 WINDOW = 4
 #: Words that tell of speech or address near a term.
@@ -140,11 +152,41 @@ class TermAutomaton:
         return self.found[state]
 
 
+class Lexicon(dict):
+    """term -> {edits: chance that a find is abuse}, with the factors of the contexts."""
+
+    def __init__(self, weights=(), factors: dict[str, float] = CONTEXTS):
+        super().__init__(weights)
+        self.factors = dict(factors)
+
+    def __reduce__(self):
+        return Lexicon, (dict(self), self.factors)
+
+
+def tokens_of(lowered: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m.group()) for m in WORD.finditer(lowered)]
+
+
+def is_quoted(text: str, a: int, b: int) -> bool:
+    return a > 0 and text[a - 1] in OPENING and b < len(text) and text[b] in CLOSING
+
+
+def contexts_of(text: str, tokens: list[tuple[int, int, str]], i: int) -> list[str]:
+    """Which contexts the i-th word stands in."""
+    near = [w for _, _, w in tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]]
+    out = ["quoted"] if is_quoted(text, *tokens[i][:2]) else []
+    if any(w in REPORTING for w in near):
+        out.append("reported")
+    if any(w in ADDRESS for w in near):
+        out.append("addressed")
+    return out
+
+
 class Scorer:
-    """weights: term -> {edits: chance that a find is abuse}."""
+    """weights: a Lexicon, or a plain dict of the same shape."""
 
     def __init__(self, weights: dict[str, dict[int, float]]):
-        self.weights = weights
+        self.weights, self.factors = weights, getattr(weights, "factors", CONTEXTS)
         self.automaton = TermAutomaton({t: max(w) for t, w in weights.items()})
         self.seen: dict[str, tuple[str, int, float] | None] = {}
 
@@ -166,26 +208,13 @@ class Scorer:
         lowered = text.lower()
         if not any(self.best(w) for w in set(WORD.findall(lowered))):
             return []
-        tokens = [(m.start(), m.end(), m.group()) for m in WORD.finditer(lowered)]
+        tokens = tokens_of(lowered)
         out = []
         for i, (a, b, word) in enumerate(tokens):
             if hit := self.best(word):
-                near = [w for _, _, w in tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]]
-                out.append((a, b, *hit, self.context(lowered, a, b, near)))
+                out.append((a, b, *hit, math.prod(self.factors[c] for c in contexts_of(lowered, tokens, i))))
         return out
 
-    @staticmethod
-    def context(text: str, a: int, b: int, near: list[str]) -> float:
-        """Under 1 if the find looks quoted or reported, over 1 if it looks addressed to someone."""
-        factor = 1.0
-        if a and text[a - 1] in OPENING and b < len(text) and text[b] in CLOSING:
-            factor *= 0.5
-        if any(w in REPORTING for w in near):
-            factor *= 0.7
-        if any(w in ADDRESS for w in near):
-            factor *= 1.3
-        return factor
-
     def score(self, matches: list[tuple]) -> float:
         clear = 1.0 - LOWEST
         for *_, weight, context in matches:
@@ -193,12 +222,20 @@ class Scorer:
         return 1.0 - clear
 
 
+def plain_words(text: str) -> set[str]:
+    """The words of a text that it neither only quotes nor only reports."""
+    lowered = text.lower()
+    tokens = tokens_of(lowered)
+    told = {j for i, (_, _, w) in enumerate(tokens) if w in REPORTING for j in range(i - WINDOW, i + WINDOW + 1) if j != i}
+    return {w for i, (a, b, w) in enumerate(tokens) if i not in told and not is_quoted(lowered, a, b)}
+
+
 def _words(batches):
-    """Distinct words of each text, and their beginnings, counted by label."""
+    """Distinct plain words of each text, and their beginnings, counted by label."""
     counts = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
+            words = plain_words(text or "")
             counts[toxic].update(words)
             counts[toxic].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
     both = list(counts[1].keys() | counts[0].keys())
@@ -213,49 +250,112 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     return rows.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
-def learn_weights(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, dict[int, float]]:
-    """From (text, toxic): the terms, and what a find at each distance weighs."""
+Find = tuple[str, int, str]  # term, edits, context
+
+
+def finds_of(automaton: TermAutomaton, text: str) -> set[Find]:
+    """Every term found in a text, at each distance and in each context: quoted, else reported, else addressed, else ''."""
+    lowered = text.lower()
+    hits = {w: found for w in set(WORD.findall(lowered)) if (found := automaton.find(w))}
+    out: set[Find] = set()
+    if hits:
+        tokens = tokens_of(lowered)
+        for i, (_, _, word) in enumerate(tokens):
+            if word in hits:
+                context = (contexts_of(lowered, tokens, i) or [""])[0]
+                out.update((automaton.terms[k], e, context) for e, k in hits[word])
+    return out
+
+
+def explained_by(finds: list[Find], own: dict[str, float]) -> list[Find]:
+    """What explains a text's label, of the terms in ``own``: its most precise plain find; without one, its most precise
+    quoted or reported find; without an exact one, each of its misspelled terms."""
+    exact = [f for f in finds if f[1] == 0 and f[0] in own]
+    if not exact:
+        return sorted({(term, e, "") for term, e, _ in finds if term in own})
+    plain = [f for f in exact if f[2] in ("", "addressed")]
+    _, term = max((own[f[0]], f[0]) for f in plain or exact)
+    around = {f[2] for f in plain or exact if f[0] == term}
+    return [(term, 0, next(c for c in ("addressed", "reported", "", "quoted") if c in around))]
+
+
+def learn_weights(rows: DataFrame, max_terms: int = MAX_TERMS, chance: float = CHANCE, least_share: float = LEAST_SHARE) -> Lexicon:
+    """From (text, toxic): the terms, what a find at each distance weighs, and what contexts do to it."""
     rows = cut_lineage(rows)  # the documents are read once for it
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
-        return {}
+        return Lexicon()
     counts = cut_lineage(rows.mapInArrow(_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 0"))
     share = totals[1] / (totals[0] + totals[1])
-    least = math.log(max(1, counts.count()) / CHANCE)
+    least = math.log(max(1, counts.count()) / chance)
     both = F.col("toxic") + F.col("clean")
     evidence = F.col("toxic") * F.log(F.col("toxic") / both / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / both / (1 - share))).otherwise(0.0)
-    # As often among clean texts as IMPURE of its texts allow, were there as many clean texts as toxic ones.
-    even = F.col("clean") * (totals[1] / totals[0])
-    terms = counts.filter((F.col("toxic") > share * both) & (evidence >= least) & (even <= IMPURE * F.col("toxic"))).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()
-    weights = {r["word"]: {0: r["toxic"] / (r["toxic"] + r["clean"] + 1.0)} for r in terms}
-    tried = {r["word"]: 0 if r["word"].endswith("*") else allowed_edits(r["word"]) for r in terms}
-    scorer = Scorer({t: dict.fromkeys(range(n + 1), 1.0) for t, n in tried.items()})
-
-    def misspelled(batches):
-        """Texts that have a misspelled term and no exact one, by term, distance and label."""
+    precision = F.col("toxic") / (both + 1.0)
+    terms = counts.select("word", evidence.alias("evidence"), precision.alias("precision"), (F.col("toxic") > share * both).alias("more"))
+    terms = terms.filter(F.col("more") & (F.col("evidence") >= least) & (F.col("toxic") >= least_share * both)).orderBy(F.desc("evidence"), "word").limit(max_terms).collect()
+    own = {r["word"]: r["precision"] for r in terms}
+    tried = {t: 0 if t.endswith("*") else allowed_edits(t) for t in own}
+    automaton = TermAutomaton(tried)
+
+    def held(batches):
+        for batch in batches:
+            found = [sorted(finds_of(automaton, text or "")) for text in batch.column(0).to_pylist()]
+            keep = [i for i, f in enumerate(found) if f]
+            lists = pa.array([[dict(zip(("term", "edits", "context"), f, strict=True)) for f in found[i]] for i in keep], pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("context", pa.string())])))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1).cast(pa.int32()).take(pa.array(keep, pa.int64()))], names=["finds", "toxic"])
+
+    texts = cut_lineage(rows.mapInArrow(held, "finds array<struct<term:string,edits:int,context:string>>, toxic int"))
+    for _ in range(ROUNDS):
+        seen = _explained(texts, own)
+        lexicon = weigh(own, tried, seen)
+        if len(lexicon) == len(own):
+            break
+        own = {t: own[t] for t in lexicon}  # what a dropped term explained falls to others
+    return lexicon
+
+
+def _explained(texts: DataFrame, own: dict[str, float]) -> Counter:
+    """How many texts of each label each (term, edits, context) explains."""
+
+    def count(batches):
         found = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = {h[:2] for w in set(WORD.findall((text or "").lower())) if (h := scorer.best(w))}
-                if hits and all(e for _, e in hits):
-                    found.update((t, e, toxic) for t, e in hits)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "edits", "toxic", "n"])
+            for finds, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.update((*f, toxic) for f in explained_by([(f["term"], f["edits"], f["context"]) for f in finds], own))
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], kind) for i, kind in enumerate(kinds)] + [pa.array(list(found.values()), pa.int64())], names=["term", "edits", "context", "toxic", "n"])
+
+    seen: Counter = Counter()
+    for r in texts.mapInArrow(count, "term string, edits int, context string, toxic int, n long").groupBy("term", "edits", "context", "toxic").agg(F.sum("n").alias("n")).collect():
+        seen[r["term"], r["edits"], r["context"], r["toxic"]] = r["n"]
+    return seen
+
+
+def weigh(own: dict[str, float], tried: dict[str, int], seen: Counter) -> Lexicon:
+    """The lexicon from each term's precision in all its texts, its most edits, and texts explained by (term, edits, context, label)."""
 
-    seen = {(r["term"], r["edits"], r["toxic"]): r["n"] for r in rows.mapInArrow(misspelled, "term string, edits int, toxic int, n long").groupBy("term", "edits", "toxic").agg(F.sum("n").alias("n")).collect()}
+    def rate(toxic: float, clean: float, prior: float, texts: float) -> float:
+        return (toxic + texts * prior) / (toxic + clean + texts)
 
-    def rate(toxic: int, clean: int, prior: float) -> float:
-        return (toxic + PRIOR_TEXTS * prior) / (toxic + clean + PRIOR_TEXTS)
+    def of(term: str, e: int, label: int) -> int:
+        return sum(seen[term, e, context, label] for context in ("", "addressed"))
 
+    weights = {t: {0: w} for t, p in own.items() if (w := rate(of(t, 0, 1), of(t, 0, 0), p, OWN_TEXTS)) >= LEAST_WEIGHT}
     for e, prior in PRIOR.items():
-        overall = rate(*(sum(n for (_, f, label), n in seen.items() if f == e and label == wanted) for wanted in (1, 0)), prior)
-        for term, own in weights.items():
-            if e <= tried[term]:
-                own[e] = own[0] * rate(seen.get((term, e, 1), 0), seen.get((term, e, 0), 0), overall)
-    return weights
+        overall = rate(*(sum(of(t, e, label) for t in weights) for label in (1, 0)), prior, PRIOR_TEXTS)
+        for t, w in weights.items():
+            if e <= tried[t]:
+                w[e] = w[0] * rate(of(t, e, 1), of(t, e, 0), overall, PRIOR_TEXTS)
+    factors = {}
+    for context, prior in CONTEXTS.items():
+        toxic = sum(seen[t, 0, context, 1] for t in weights)
+        expected = sum(w[0] * (seen[t, 0, context, 1] + seen[t, 0, context, 0]) for t, w in weights.items())
+        factors[context] = min(FACTORS[1], max(FACTORS[0], (toxic + CONTEXT_TEXTS * prior) / (expected + CONTEXT_TEXTS)))
+    return Lexicon(weights, factors)
 
 
 def _scorer(weights: dict[str, dict[int, float]]) -> Scorer:
-    return kept("toxicity", hash(str(sorted(weights.items()))), lambda: Scorer(weights))
+    return kept("toxicity", hash(str((sorted(weights.items()), getattr(weights, "factors", CONTEXTS)))), lambda: Scorer(weights))
 
 
 def score_texts(docs: DataFrame, weights: dict[str, dict[int, float]], text_col: str = "text", finds: bool = False) -> DataFrame:

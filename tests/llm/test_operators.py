@@ -491,6 +491,99 @@ def test_toxic_terms_of_few_texts(spark):
     assert not {w for t in clean for w in t.split()} & set(weights)
 
 
+def test_toxic_term_that_clean_texts_quote(spark):
+    """A term keeps its weight however many clean texts quote it; where all such texts are clean, quotation clears them."""
+    plain = make_texts(700, 31)
+    told = ['they wrote "scumbag" there ' + t for t in make_texts(60, 32)]
+    toxic = [f"scumbag {t}" for t in make_texts(400, 33)]
+    rows = spark.createDataFrame([(t, 0) for t in plain + told] + [(t, 1) for t in toxic], "text string, toxic int")
+    weights = TX.learn_weights(rows)
+    assert weights["scumbag"][0] > 0.99 and weights.factors["quoted"] < 0.2 < 0.9 < weights.factors["addressed"]
+    docs = documents(spark, [told[0], toxic[0], "what a scumbagg"])
+    scores = [r["score"] for r in TX.score_texts(docs, weights).orderBy("doc_id").collect()]
+    assert scores[0] < 0.5 < min(scores[1:])
+    some = spark.createDataFrame([(t, 0) for t in plain] + [(f"scumbag {t}", 0) for t in make_texts(20, 35)] + [(t, 1) for t in toxic], "text string, toxic int")
+    assert TX.learn_weights(some)["scumbag"][0] == pytest.approx((400 + 2 * 400 / 421) / 422)
+
+
+def test_toxicity_by_brute_force(spark):
+    """Weights, factors and scores, recomputed text by text and term by term."""
+    rng = random.Random(9)
+    clean = make_texts(260, 41, words=(6, 14)) + ["he said moronic " + t for t in make_texts(9, 42, words=(6, 14))] + ['a "scumbag" ' + t for t in make_texts(8, 43, words=(6, 14))]
+    clean += ["moronic " + t for t in make_texts(4, 44, words=(6, 14))] + ["moronik " + t for t in make_texts(1, 45, words=(6, 14))]
+    toxic = [rng.choice(["moronic ", "scumbag ", "you scumbag ", "scumbags moronic ", "scummy ", "moronix "]) + t for t in make_texts(90, 46, words=(6, 14))]
+    data = list(dict.fromkeys([(t, 0) for t in clean] + [(t, 1) for t in toxic]))
+    got = TX.learn_weights(spark.createDataFrame(data, "text string, toxic int"))
+
+    def tokens(text):
+        out, words = [], [(m.start(), m.end(), m.group()) for m in TX.WORD.finditer(text.lower())]
+        for i, (a, b, w) in enumerate(words):
+            near = {v for j, (_, _, v) in enumerate(words) if j != i and abs(j - i) <= 4}
+            marks = [("quoted", a > 0 and text[a - 1] == '"' and text[b : b + 1] == '"'), ("reported", bool(near & TX.REPORTING)), ("addressed", bool(near & TX.ADDRESS))]
+            out.append((w, [m for m, holds in marks if holds]))
+        return out
+
+    def distance(term, word):
+        if term.endswith("*"):
+            return 0 if word.startswith(term[:-1]) and len(word) >= len(term) - 1 else None
+        d = edits(term, word)
+        return d if d <= TX.allowed_edits(term) else None
+
+    words = [({w for w, m in tokens(t) if not {"quoted", "reported"} & set(m)}, y) for t, y in data]
+    forms = [(ws | {w[:n] + "*" for w in ws for n in (4, 5, 6, 7) if len(w) > n}, y) for ws, y in words]
+    n1, n = sum(y for _, y in data), len(data)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for ws, y in forms:
+        for w in ws:
+            counts[w][y] += 1
+    counts = {w: c for w, c in counts.items() if c[1]}
+    own = {}
+    for w, (c, x) in counts.items():
+        evidence = x * math.log(x / (c + x) / (n1 / n)) + (c * math.log(c / (c + x) / (1 - n1 / n)) if c else 0)
+        if x / (c + x) > n1 / n and evidence >= math.log(len(counts)) and x >= TX.LEAST_SHARE * (c + x):
+            own[w] = x / (c + x + 1)
+    found = [([(t, e, m) for w, m in tokens(text) for t in own if (e := distance(t, w)) is not None], y) for text, y in data]
+    while True:
+        seen = collections.Counter()
+        for finds, y in found:
+            exact = [f for f in finds if f[0] in own and f[1] == 0]
+            plain = [f for f in exact if not {"quoted", "reported"} & set(f[2])]
+            if exact:
+                best = max((own[t], t) for t, _, _ in plain or exact)[1]
+                marks = [m[0] if m else "" for t, _, m in plain or exact if t == best]
+                seen[best, 0, next(c for c in ("addressed", "reported", "", "quoted") if c in marks), y] += 1
+            else:
+                seen.update({(t, e, "", y) for t, e, _ in finds if t in own})
+        of = lambda t, e, y: seen[t, e, "", y] + seen[t, e, "addressed", y]
+        want = {t: {0: (of(t, 0, 1) + 2 * p) / (of(t, 0, 1) + of(t, 0, 0) + 2)} for t, p in own.items()}
+        want = {t: w for t, w in want.items() if w[0] >= TX.LEAST_WEIGHT}
+        if len(want) == len(own):
+            break
+        own = {t: own[t] for t in want}
+    for e, prior in ((1, 0.8), (2, 0.6)):
+        x, c = (sum(of(t, e, y) for t in want) for y in (1, 0))
+        overall = (x + 2 * prior) / (x + c + 2)
+        for t, w in want.items():
+            if not t.endswith("*") and e <= TX.allowed_edits(t):
+                w[e] = w[0] * (of(t, e, 1) + 2 * overall) / (of(t, e, 1) + of(t, e, 0) + 2)
+    assert set(got) == set(want) >= {"scumbag"}
+    for t in want:
+        assert got[t] == pytest.approx(want[t])
+    factors = {}
+    for c, prior in (("quoted", 0.5), ("reported", 0.7), ("addressed", 1.3)):
+        x, expected = sum(seen[t, 0, c, 1] for t in want), sum(w[0] * (seen[t, 0, c, 0] + seen[t, 0, c, 1]) for t, w in want.items())
+        factors[c] = min(2.0, max(0.02, (x + 20 * prior) / (expected + 20)))
+    assert got.factors == pytest.approx(factors) and factors["quoted"] < 0.5
+    rows = TX.score_texts(documents(spark, [t for t, _ in data]), got).collect()
+    for r in rows:
+        clear = 0.99
+        for w, marks in tokens(r["text"]):
+            hits = [want[t][e] for t in want if (e := distance(t, w)) is not None]
+            if hits:
+                clear *= 1 - min(0.999, max(hits) * math.prod(factors[m] for m in marks))
+        assert r["score"] == pytest.approx(1 - clear), r["text"]
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/x?q", "https://example.com/en/a", "https://a.example.com/en/", "http://x.com/de", "http://x.com", "http://q.net/es/1", "ftp://q.net/fr/", "http://q.net/de/", "http://other.org/", "no scheme", None, "http://notcom/"]
     rows = UF.judge_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")).orderBy("page_id").collect()

@@ -47,6 +47,12 @@ def test_chains_settle_without_a_sweep(spark, monkeypatch):
     assert sorted(r["seq"] for r in dedup.greedy_distinct(df).collect()) == greedy(rows)
 
 
+def test_size_estimates_stay_small(spark):
+    """Doubling pointers 12 times squares no estimate of Spark's, whose number of digits would double with each."""
+    left = spark.createDataFrame([(i, k) for i in range(3000) for k in (f"c{i}", f"c{i + 1}")], "seq long, key string")
+    assert int(greedy_module.chained(left)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 1000
+
+
 def test_greedy_blocking_and_baseline(spark):
     rows = spark.createDataFrame([(0, "A", None), (1, "B", "https://x.example"), (2, "C", "https://x.example")], "seq long, company_name string, website string")
     known = spark.createDataFrame([("name:b",)], "key string")

@@ -53,6 +53,27 @@ def test_size_estimates_stay_small(spark):
     assert int(greedy_module.chained(left)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 1000
 
 
+@pytest.mark.parametrize("range_keys", [700, 10_000])
+def test_braids_settle_in_two_passes(spark, monkeypatch, range_keys):
+    """Chains that end in rows with two forerunners, which are always blocked: neither doubling nor a sweep is needed."""
+    rows = [(i, [f"a{i}", f"a{i + 1}"] + [f"b{i - i % 7}"] * (i % 7 in (3, 5)) + [f"x{i // 50}"] * (i % 50 == 9)) for i in range(3000)]
+    monkeypatch.setattr(greedy_module, "swept", None)
+    monkeypatch.setattr(greedy_module, "chained", None)
+    df = spark.createDataFrame(rows, "seq long, keys array<string>")
+    assert sorted(r["seq"] for r in dedup.greedy_distinct(df, range_keys=range_keys).collect()) == greedy(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_conditional(spark, seed):
+    """Ranges that hang together in all ways: rows with several conditions, keys of many ranges, one range."""
+    rng = random.Random(seed)
+    rows = [(i, [f"a{i + rng.randint(0, 3)}", f"b{i + rng.randint(0, 9)}", f"h{rng.randint(0, 40)}"][: rng.randint(1, 3)]) for i in range(150)]
+    left = spark.createDataFrame([(s, k) for s, keys in rows for k in set(keys)], "seq long, key string")
+    for ranges in (1, 9):
+        assert sorted(r["seq"] for r in greedy_module.conditional(left, ranges, 10_000).collect()) == greedy(rows)
+    assert greedy_module.conditional(left, 9, 3) is None
+
+
 def test_greedy_blocking_and_baseline(spark):
     rows = spark.createDataFrame([(0, "A", None), (1, "B", "https://x.example"), (2, "C", "https://x.example")], "seq long, company_name string, website string")
     known = spark.createDataFrame([("name:b",)], "key string")

@@ -2,7 +2,8 @@
 
 A text can only hold a term if it holds all of its pieces: its words, or its runs of three signs where a term may begin and
 end within words. Each term is filed under the one piece that fewest texts hold, so that a piece of many texts finds few terms;
-texts meet terms by equal pieces, and what meets is verified. Equal texts are looked at once. A term with a piece that no text
+texts meet terms by equal pieces, and what meets is verified. Equal texts are looked at once, and only
+their numbers travel with pieces. A term with a piece that no text
 holds meets nothing.
 """
 
@@ -39,24 +40,25 @@ def found_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term: st
 
     Both are taken as they are: lower-case them first where case is nothing. Null texts, and null or empty terms, meet nothing.
     """
-    kinds = cut_lineage(texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct())
+    kinds = cut_lineage(texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()))
     wanted = cut_lineage(terms.select(F.col(term).alias("term")).filter("term <> ''").distinct())
     if whole_words:
-        keyed, needed = kinds.select("text", F.explode(words_of(F.col("text"))).alias("piece")), wanted.select("term", F.explode(words_of(F.col("term"))).alias("piece"))
+        keyed, needed = kinds.select("id", F.explode(words_of(F.col("text"))).alias("piece")), wanted.select("term", F.explode(words_of(F.col("term"))).alias("piece"))
     else:
-        sizes = [r["n"] for r in wanted.select(F.least(F.length("term"), F.lit(RUN)).alias("n")).distinct().collect()]  # three at most
-        keyed = kinds.select("text", F.explode(F.concat(*[runs_of(F.col("text"), n) for n in sizes] or [F.array().cast("array<string>")])).alias("piece"))
+        sizes = [r["n"] for r in wanted.select(F.least(F.length("term"), F.lit(RUN)).alias("n")).distinct().collect()]  # RUN at most
+        keyed = kinds.select("id", F.explode(F.concat(*[runs_of(F.col("text"), n) for n in sizes] or [F.array().cast("array<string>")])).alias("piece"))
         needed = F.when(F.length("term") < RUN, F.array("term")).otherwise(runs_of(F.col("term"), RUN))
         needed = wanted.select("term", F.explode(needed).alias("piece"))
     held = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    filed = needed.join(held, "piece", "left").groupBy("term").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    met = keyed.join(filed, "piece")
+    least = F.min_by(F.struct("piece", "n"), F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("_least")
+    filed = needed.join(held, "piece", "left").groupBy("term").agg(least).select("term", "_least.*").filter("n > 0").select("term", "piece")
+    met = keyed.join(filed, "piece").select("id", "term").join(kinds, "id")
     fits = at_boundaries(F.col("text"), F.col("term")) if whole_words else F.contains("text", F.col("term"))
     found = met.filter(fits).select("text", "term")
     if whole_words:  # terms of signs only have no words
         signs = wanted.filter(~F.rlike("term", F.lit(WORD)))
         if not signs.isEmpty():
-            found = found.unionByName(found_terms(kinds, signs, whole_words=False).filter(at_boundaries(F.col("text"), F.col("term"))))
+            found = found.unionByName(found_terms(kinds.select("text"), signs, whole_words=False).filter(at_boundaries(F.col("text"), F.col("term"))))
     return found
 
 

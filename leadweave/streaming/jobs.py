@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.dedup import greedy_distinct
 from ..operators.jobs import latest_states
@@ -32,13 +30,13 @@ def until_idle(query: StreamingQuery) -> None:
         query.stop()
 
 
-def _started(spark: SparkSession, frame: DataFrame, mode: str, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+def _started(spark: SparkSession, frame: DataFrame, mode: str, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, once: bool = False) -> StreamingQuery:
     """A query takes the session's settings when it starts; the session gets its own back."""
     before = spark.conf.get(STORE[0], None)
     spark.conf.set(*STORE)
     try:
         writer = frame.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint)
-        return (writer.trigger(processingTime=every) if every else writer).start()
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every) if every else writer).start()
     finally:
         if before is None:
             spark.conf.unset(STORE[0])
@@ -65,74 +63,75 @@ def current_jobs(spark: SparkSession, table: str) -> DataFrame:
     return changes.groupBy("job_id").agg(F.max_by(row, "batch").alias("_last")).select("_last.*")
 
 
-#: Groups in which rows without a question pass the stateful step, and keys of a partition that are told apart at once.
-LANES, TOLD = 1024, 200_000
-
-
 class TakenKeys(StatefulProcessor):
-    """State: whether an earlier batch has exported the key. A row that says so sets it; if any row asks, one row answers."""
+    """State: the first batch that exported the key. A batch that asks gets an answer if an earlier one did."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", StructType([StructField("taken", BooleanType())]))
+        self.taken = handle.getValueState("taken", StructType([StructField("batch", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
-        if key[0] != "key":
-            for row in rows:
-                yield Row(key=None, company=row["company"])
-            return
-        known = self.taken.exists()
-        asked = told = False
+        known = self.taken.get()[0] if self.taken.exists() else None
+        first, asked = known, set()
         for row in rows:
-            asked, told = asked or row["kind"] == "asked", told or row["kind"] == "taken"
-        if told and not known:
-            self.taken.update((True,))
-        if asked and (known or told):
-            yield Row(key=key[1], company=None)
+            if row["asked"]:
+                asked.add(row["batch"])
+            elif first is None or row["batch"] < first:
+                first = row["batch"]
+        if first != known:
+            self.taken.update((first,))
+        for batch in sorted(asked):
+            if first is not None and first < batch:
+                yield Row(key=key[0], batch=batch)
 
     def close(self) -> None:
         pass
 
 
-def _each_key_once(batches):
-    """The keys of a partition's rows, each once, so that a key of many rows is asked for a few times."""
-    met: set[str] = set()
-    for batch in batches:
-        new = set(pc.unique(pc.list_flatten(batch.column(0))).to_pylist()) - met - {None}
-        met = new if len(met) > TOLD else met | new
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["key"])
+KEYS = "key string, batch long"
+
+
+def _answered(spark: SparkSession, export: str, checkpoint: str) -> None:
+    """Works off the keys asked for and exported since the last time; keys that an earlier batch took go to ``{export}/known``."""
+    told = [spark.readStream.schema(KEYS).parquet(f"{export}/{name}/to=*").select("key", "batch", F.lit(name == "asked").alias("asked")) for name in ("asked", "keys")]
+    shape = StructType([StructField("key", StringType()), StructField("batch", LongType())])
+    answers = told[0].unionByName(told[1]).groupBy("key").transformWithState(TakenKeys(), shape, "Append", "None")
+
+    def step(known: DataFrame, number: int) -> None:
+        known.withColumn("to", F.col("batch")).write.mode("append").partitionBy("to").parquet(f"{export}/known")
+
+    _started(spark, answers, "append", step, f"{checkpoint}/taken", once=True).awaitTermination()
 
 
 def append_new(companies: DataFrame, export: str, checkpoint: str, keyed: Callable[[DataFrame], DataFrame], every: str | None = None) -> StreamingQuery:
     """Each batch: distinct companies that no earlier batch exported are appended to ``{export}/rows``.
 
-    ``keyed`` adds ``seq``, unique in a batch, and ``keys``. A batch looks at its own keys only, each once a partition: it
-    meets its entry in the state store, which later batches fill from the keys that a batch exports to ``{export}/keys``. So a batch costs the same
-    however much has been exported. A batch that is run again replaces its own folders. Rows without keys are dropped.
+    ``keyed`` adds ``seq``, unique in a batch, and ``keys``. A batch first drops its own duplicates, whose rows so never reach
+    Python; the keys of what is left, each held by one row, meet their entries in a state store, filled from the keys that
+    batches export. So a batch costs the same however much has been exported. Rows without keys are dropped.
+
+    A batch that is run again replaces its rows; its keys are told and asked for once more, which changes nothing: a key that it
+    took itself does not bar it.
     """
     spark = companies.sparkSession
-    rows = keyed(companies).withColumn("keys", F.array_distinct("keys"))
-    kind = rows.select(F.struct("*").alias("company")).schema["company"].dataType
-    spark.createDataFrame([], "key string").write.mode("append").parquet(f"{export}/keys/batch=-1")
-    taken = spark.readStream.schema("key string").parquet(f"{export}/keys/batch=*")
-    asked = rows.select("keys").mapInArrow(_each_key_once, "key string")
-    passing = F.concat(F.lit("lane"), F.pmod(F.xxhash64("seq"), F.lit(LANES)).cast("string"))
-    told = [frame.select(F.lit("key").alias("what"), "key", F.lit(name).alias("kind"), F.lit(None).cast(kind).alias("company")) for frame, name in ((asked, "asked"), (taken, "taken"))]
-    told.append(rows.select(F.lit("row").alias("what"), passing.alias("key"), F.lit("row").alias("kind"), F.struct("*").alias("company")))
-    shape = StructType([StructField("key", StringType()), StructField("company", kind)])
-    answers = told[0].unionByName(told[1]).unionByName(told[2]).groupBy("what", "key").transformWithState(TakenKeys(), shape, "Append", "None")
+    for name in ("asked", "keys", "known"):
+        spark.createDataFrame([], KEYS).write.mode("append").parquet(f"{export}/{name}/to=-1")
 
     def step(batch: DataFrame, number: int) -> None:
-        batch = cut_lineage(batch)
-        rows = batch.filter("company IS NOT NULL").select("company.*")
-        if rows.isEmpty():  # a batch that only told of keys
-            return
-        known = batch.filter("company IS NULL").select("key")
-        blocked = rows.select("seq", F.explode("keys").alias("key")).join(known, "key", "left_semi").select("seq").distinct()
-        new = cut_lineage(greedy_distinct(rows).join(blocked, "seq", "left_anti"))
+        first = cut_lineage(greedy_distinct(keyed(batch).withColumn("keys", F.array_distinct("keys"))))
+
+        def tell(rows: DataFrame, name: str) -> DataFrame:
+            keys = rows.select("seq", F.explode("keys").alias("key")).filter("key IS NOT NULL")
+            keys.select("key", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{export}/{name}/to={number}")
+            return keys
+
+        asked = tell(first, "asked")
+        _answered(spark, export, checkpoint)
+        known = spark.read.schema(KEYS).parquet(f"{export}/known/to={{-1,{number}}}").select("key")
+        new = cut_lineage(first.join(asked.join(known, "key", "left_semi").select("seq"), "seq", "left_anti"))
         new.write.mode("overwrite").parquet(f"{export}/rows/batch={number}")
-        new.select(F.explode("keys").alias("key")).filter("key IS NOT NULL").write.mode("overwrite").parquet(f"{export}/keys/batch={number}")
+        tell(new, "keys")
 
-    return _started(spark, answers, "append", step, checkpoint, every)
+    return _started(spark, companies, "append", step, checkpoint, every)
 
 
 def exported(spark: SparkSession, export: str) -> DataFrame:

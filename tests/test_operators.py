@@ -267,6 +267,24 @@ def test_export_stream_forgets_nothing_over_restarts(spark, tmp_path):
     assert sorted(r["seq"] for r in exported(spark, f"{tmp_path}/out").collect()) == sorted(want)
 
 
+def test_export_stream_asks_only_for_what_a_batch_keeps(spark, tmp_path):
+    """Duplicates within a batch meet no state, and the keys of a batch run again do not bar its own rows."""
+    from leadweave.streaming.jobs import _answered, append_new, exported, until_idle
+
+    for b in range(2):
+        spark.createDataFrame([(b * 500 + i, ["hot", f"r{i}"] if i else [f"own{b}", "first"]) for i in range(500)], "seq long, keys array<string>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("seq long, keys array<string>").parquet(f"{tmp_path}/in")
+        until_idle(append_new(stream, f"{tmp_path}/out", f"{tmp_path}/state", lambda x: x))
+    assert sorted(r["seq"] for r in exported(spark, f"{tmp_path}/out").collect()) == [0, 1]
+    asked = spark.read.parquet(f"{tmp_path}/out/asked").filter("`to` >= 0").collect()
+    assert sorted((r["batch"], r["key"]) for r in asked) == sorted([(0, "own0"), (0, "first"), (0, "hot"), (0, "r1"), (1, "own1"), (1, "first"), (1, "hot"), (1, "r1")])
+    again = spark.createDataFrame([("own0", 0), ("hot", 0), ("hot", 1), ("own1", 1)], "key string, batch long")
+    again.write.mode("append").parquet(f"{tmp_path}/out/asked/to=7")
+    before = spark.read.parquet(f"{tmp_path}/out/known").count()
+    _answered(spark, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.parquet(f"{tmp_path}/out/known").count() == before + 1
+
+
 def test_followed_jobs_keep_the_last_state(spark, tmp_path):
     from leadweave.schema import JOB_EVENT
     from leadweave.streaming.jobs import current_jobs, follow_jobs, until_idle

@@ -141,15 +141,20 @@ class Lattices:
             else:
                 there = ids >= 0
                 parts.append((at[there], np.full(np.count_nonzero(there), d, np.int8), ids[there].astype(np.int32), logs[there]))
-        end, size, ids, logs = (np.concatenate(c) for c in zip(*parts, strict=True))
         # edges by place in the word, then letter
-        by_place = np.argsort(place, kind="stable")
-        rank = np.empty(n, dtype=np.int64)
-        rank[by_place] = np.arange(n)
-        order = np.argsort(rank[end], kind="stable")
-        end, size, ids, logs = end[order], size[order], ids[order], logs[order]
-        degree = np.bincount(rank[end], minlength=n)
+        by_place = np.argsort(place.astype(np.uint16) if lengths.max() < 1 << 16 else place, kind="stable")  # short numbers sort faster
+        degree = np.zeros(n, dtype=np.int64)
+        for at, *_ in parts:  # an end once in each
+            degree[at] += 1
+        degree = degree[by_place]
         first = np.cumsum(degree) - degree
+        slots = np.empty(n, dtype=np.int64)  # for each letter, where its next edge goes
+        slots[by_place] = first
+        end, size, ids, logs = (np.empty(int(degree.sum()), dtype=c.dtype) for c in parts[0])
+        for at, *values in parts:
+            to = slots[at]
+            end[to], (size[to], ids[to], logs[to]) = at, values
+            slots[at] = to + 1
         slot = np.arange(n) + word + 1  # each word has one more place, before its first letter, of log weight 0
         reach = np.zeros(n + len(words))
         source, chance = slot[end] - size, np.empty(len(end))
@@ -162,8 +167,10 @@ class Lattices:
             sums = np.add.reduceat(ways, seg)
             reach[slot[by_place[la:lb]]] = top + np.log(sums)
             chance[a:b] = ways / np.repeat(sums, times)
-        order = np.argsort(np.repeat(np.arange(n), degree) - 0.9999 * chance, kind="stable")
-        size, ids, logs, chance = size[order], ids[order], logs[order], chance[order]
+        several = np.flatnonzero(np.repeat(degree > 1, degree))
+        order = several[np.argsort(np.repeat(np.arange(n), degree)[several] - 0.9999 * chance[several], kind="stable")]
+        for column in (size, ids, logs, chance):
+            column[several] = column[order]
         sums = np.concatenate([[0.0], np.cumsum(chance)])
         upto = sums[1:] - np.repeat(sums[first], degree)
         upto[first + degree - 1] = 2.0  # the last one takes what is left
@@ -320,6 +327,9 @@ class Segmenter:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.pieces[piece] = (i, single(-sharpness * math.log(min(2.0 - sp.get_score(i), n + 2.0))))
                 self.as_bytes[i] = piece.replace(SPACE, " ").encode()
+        self.one_byte = np.array(self.spelled)
+        self.sizes = np.array([len(b) for b in self.as_bytes], dtype=np.int64)
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.as_bytes), dtype=np.uint8)
         self.longest = max(map(len, self.pieces))
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         lines = any("\n" in p for p in self.pieces)
@@ -393,7 +403,7 @@ class Segmenter:
         odd = np.flatnonzero(ids < 0)
         if len(odd) and ids[odd].min() >= -128:  # one byte each
             ids = ids.copy()
-            ids[odd] = np.array(self.spelled)[-1 - ids[odd]]
+            ids[odd] = self.one_byte[-1 - ids[odd]]
             return ids
         if not len(odd):
             return ids
@@ -403,6 +413,20 @@ class Segmenter:
         """The text of a segmentation; ids that make no valid UTF-8 give replacement signs."""
         return b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
+    def round_trips(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether each segmentation decodes to its text. The bytes are laid side by side; only where they differ from the text's is the text decoded."""
+        if not ids:
+            return []
+        every = np.concatenate(ids)
+        each = self.sizes[every]
+        ends = np.cumsum(each)
+        flat = self.flat[np.repeat(self.begins[every] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in ids])])].tolist()
+        out = []
+        for a, b, own, text in zip(at, at[1:], ids, texts, strict=False):
+            out.append(flat[a:b].removeprefix(b" ") == text.encode("utf-8", "surrogatepass") or self.decode(own.tolist()) == text)
+        return out
+
     def sample(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct segmentations, best first: ids, log probability, perturbed log probability, inclusion score."""
         out: list[list] = [[] for _ in texts]
@@ -515,13 +539,17 @@ class Segmenter:
             values[at] = gumbel(before[at] + rest[at] + after[at], best[doc[at]], doc[at], place[at], kind + 4)
             leaves.append(leaf)
             agenda.append(values)
+            cut: list[tuple] = []
             for j in np.flatnonzero(live & (fixed >= 0)):
                 at = int(fixed[j])
                 now = barred[j] | {ids_of(leaf, at).tobytes(): float(leaf["log"][at])}
                 left = lattices.left(int(word[at]), now)
                 if left > -math.inf:
-                    mass = before[at] + left + after[at]
-                    narrowed[j].append((float(gumbel(mass, best[j], np.array([j]), np.array([place[at]]), kind + 5)[0]), turn, at, now))
+                    cut.append((j, at, now, before[at] + left + after[at]))
+            if cut:
+                rows, ats, masses = (np.array(c) for c in zip(*((j, at, mass) for j, at, _, mass in cut), strict=True))
+                for (j, at, now, _), value in zip(cut, gumbel(masses, best[rows], rows, place[ats], kind + 5).tolist(), strict=True):
+                    narrowed[j].append((value, turn, at, now))
             # the best set of each agenda
             tops = np.array([np.maximum.reduceat(v, edges[:-1]) for v in agenda])
             origin = tops.argmax(axis=0)
@@ -579,8 +607,8 @@ def sampled_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     for rank, (numbers, log, value, inclusion) in enumerate(drawn, 1):
                         rows.append(i)
                         ids.append(numbers)
-                        out.append((rank, len(numbers), log, value, inclusion, zlib.crc32(numbers.astype("<u4").tobytes()), own.decode(numbers.tolist()) == texts[i]))
-                columns = list(zip(*out, strict=True)) or [()] * 7
+                        out.append((rank, len(numbers), log, value, inclusion, zlib.crc32(numbers.astype("<u4").tobytes())))
+                columns = [*(list(zip(*out, strict=True)) or [()] * 6), own.round_trips(ids, [texts[i] for i in rows])]
                 kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
                 arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
                 if with_ids:

@@ -727,3 +727,15 @@ def test_words_are_those_of_a_regex():
     assert [body[a:b] for a, b in zip(first, last)] == [w for t in texts for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", t.encode())]
     assert np.diff(before).tolist() == [3, 0, 0, 1, 3]
     assert len(set(hashes.tolist())) == 6  # "A" and "a" are one
+
+
+def test_round_trips_at_once_are_those_of_each():
+    from leadweave.llm.segmentations import segmenter
+
+    own = segmenter(None)
+    texts = ["", "a plain text", " starts with a space", "two  spaces\nand a line", "caf\u00e9 \u6f22\u5b57 \U0001f600 \u00fc", "\ufffd"]
+    ids = [found[0][0] for found in own.sample(texts, 1, list(range(len(texts))))]
+    ids += [ids[1], np.array([own.spelled[0xC3]]), ids[0], np.array([own.spelled[0xC3]])]
+    texts += ["a plain texT", "\ufffd", "x", "\u00c3"]
+    assert own.round_trips(ids, texts) == [own.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)] == [True] * 6 + [False, True, False, False]
+    assert own.round_trips([], []) == [] and own.round_trips([ids[0]], [""]) == [True]

@@ -1,14 +1,17 @@
-"""Prefix trie of conversations, rolled up by pointer jumping.
+"""Prefix trie of conversations, rolled up by running sums.
 
 A node is a distinct sequence of first turns; its key is a digest of them. Three things could depend on depth or on a hot
 group, and none does:
 
-- *Places.* Turns are ranged into partitions by conversation and order, counted there, and moved on by what partitions
-  before hold of the same conversation, so that a conversation of any length is spread over tasks.
-- *Digests.* The digest of turns 0..i doubles its reach each round: the digest of the 2^k turns that end at i meets that of
-  the turns before. A conversation leaves when its length is reached, so that late rounds hold the long ones only.
-- *Sums.* Each node points 2^k ancestors up. A round adds what has come together in a node to the one it points to, after
-  partial sums, and doubles the pointer. A node leaves when 2^k exceeds the longest conversation through it.
+- *Running sums.* Rows are ranged into partitions by conversation and order. One pass tells how each partition ends, a row
+  each; the next adds up, beginning with what partitions before hold of the same conversation, so that a conversation of any
+  length is spread over tasks. Turns get their places so.
+- *Digests.* A turn's digest covers its place, and the digest of turns 0..i is the sum of theirs, in two lanes of 64 bits: a
+  running sum, whatever the length. The sum before a turn is its parent's key.
+- *Sums.* The nodes whose smallest member is one conversation are a path, from where it leaves smaller conversations down
+  to its end. Paths hang on nodes of other paths. Sums of whole paths with all that hangs on them double their reach
+  each round; how many rounds depends on how often paths hang on each other, not on the length of conversations. A
+  node's sum is then a running sum along its path, from the end.
 
 The ids that end in a node are ranged too, joined to texts of ``RUN`` ids, and these are hashed one after another, so that a
 node of any size costs constant memory.
@@ -25,7 +28,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,34 +47,63 @@ def digest(c: Column) -> Column:
     return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
 
 
-def turns_in_place(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text -> (conv, at, key, words): each turn's place from 0, its digest and number of words."""
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    row_key = digest(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"))
-    short = rows.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv"), "turn", role.alias("role"), row_key.alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
-    order = ["conv", "turn", "role", "key"]
-    ranged = cut_lineage(short).repartitionByRange(*order).sortWithinPartitions(*order)
+def running(rows: DataFrame, order: list[str], keep: list[str], sums: list[str]) -> DataFrame:
+    """``keep`` (with conv) and, for each of ``sums``, its sum over the conversation's rows in ``order`` up to this one, and before it (``_before``), modulo 2^64."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut_lineage(ranged.select(*keep, *sums, F.spark_partition_id().alias("part")))
 
-    def count(batches):
-        part, last, seen = TaskContext.get().partitionId(), None, 0
+    def added(batches, begun):
+        """Batches with their conversations and running sums."""
+        last, total = None, None
         for batch in batches:
             conv = batch.column("conv").to_numpy()
             if not len(conv):
                 continue
-            new = np.append(True, conv[1:] != conv[:-1])
-            starts = np.flatnonzero(new)
-            at = np.arange(len(conv)) - starts[np.cumsum(new) - 1]
-            if conv[0] == last:
-                at[: starts[1] if len(starts) > 1 else len(conv)] += seen
-            last, seen = conv[-1], int(at[-1]) + 1
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), pa.array(np.full(len(conv), part), pa.int32()), pa.array(at, pa.int64()), batch.column("key"), batch.column("words")], names=["conv", "part", "at", "key", "words"])
-
-    placed = cut_lineage(ranged.select("conv", "key", "words").mapInArrow(count, "conv long, part int, at long, key binary, words long"))
-    held = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # Only the first conversation of a partition can have begun before it: one row for each partition at most.
-    begun = held.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").select("conv", "part", "before")
-    return placed.join(F.broadcast(begun), ["conv", "part"], "left").select("conv", (F.col("at") + F.coalesce("before", F.lit(0))).alias("at"), "key", "words")
+            if total is None:
+                last, total = begun.get(batch.column("part")[0].as_py(), (None, np.zeros(len(sums), np.int64)))
+            starts = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))
+            lengths = np.diff(np.append(starts, len(conv)))
+            each, found = [batch.column(c).to_numpy() for c in sums], []
+            for i, values in enumerate(each):
+                up_to = np.cumsum(values)
+                up_to -= np.repeat(up_to[starts] - values[starts], lengths)
+                if conv[0] == last:
+                    up_to[: lengths[0]] += total[i]
+                found.append(up_to)
+            last, total = conv[-1], np.array([up_to[-1] for up_to in found])
+            yield batch, each, found
+
+    def ends_of(batches):
+        end = None
+        for batch, _, found in added(batches, {}):
+            end = batch.column("part")[0].as_py(), batch.column("conv")[-1].as_py(), [int(up_to[-1]) for up_to in found]
+        if end:
+            yield pa.RecordBatch.from_arrays([pa.array([end[0]], pa.int32()), pa.array([end[1]], pa.int64()), pa.array([end[2]], pa.list_(pa.int64()))], names=["part", "conv", "sums"])
+
+    # One row for each partition.
+    told = ranged.select("part", "conv", *sums).mapInArrow(ends_of, "part int, conv long, sums array<long>").collect()
+    begun, last, total = {}, None, np.zeros(len(sums), np.int64)
+    for end in sorted(told, key=lambda r: r["part"]):
+        begun[end["part"]] = last, total
+        total = np.array(end["sums"], np.int64) + (total if end["conv"] == last else 0)
+        last = end["conv"]
+
+    def sum_up(batches):
+        for batch, each, found in added(batches, begun):
+            both = [pa.array(x) for values, up_to in zip(each, found, strict=True) for x in (up_to, up_to - values)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *both], names=names)
+
+    names = [*keep, *(c + end for c in sums for end in ("", "_before"))]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in ranged.select(*keep).schema] + [f"{c} long" for c in names[len(keep) :]]
+    return ranged.mapInArrow(sum_up, ", ".join(kinds))
+
+
+def turns_in_place(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text -> (conv, at, key, words): each turn's place from 0, its digest and number of words."""
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    row_key = digest(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"))
+    short = rows.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv"), "turn", role.alias("role"), row_key.alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.lit(1).cast("long").alias("turns"))
+    return running(cut_lineage(short), ["conv", "turn", "role", "key"], ["conv", "key", "words"], ["turns"]).select("conv", F.col("turns_before").alias("at"), "key", "words")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,35 +120,31 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.unionByName(lent), known.select("conv", "n")
 
 
-def prefix_digests(rows: DataFrame, longest: int) -> DataFrame:
-    """key, a turn's digest, becomes the digest of all turns up to it."""
-    state, done, step = cut_lineage(rows), [], 1
-    while step < longest:
-        done.append(state.filter(F.col("n") <= step))
-        live = state.filter(F.col("n") > step)
-        before = live.select("conv", (F.col("at") + step).alias("at"), F.col("key").alias("before"))
-        both = digest(F.concat(F.lit(b"+"), "before", "key"))
-        state = cut_lineage(live.join(before, ["conv", "at"], "left").withColumn("key", F.when(F.col("before").isNull(), F.col("key")).otherwise(both)).drop("before"))
-        step *= 2
-    for part in done:
-        state = state.unionByName(part)
-    return state
-
-
-def sums_below(nodes: DataFrame, longest: int) -> DataFrame:
-    """(node, up, depth, reach, leaves, saved) -> (node, leaves, saved) over each node's subtree. reach: the greatest depth below."""
-    state, done, step = nodes, [], 1
-    while step <= longest:
-        done.append(state.filter(F.col("reach") < step))
-        live = state.filter(F.col("reach") >= step)
-        given = live.filter(F.col("depth") >= step).groupBy(F.col("up").alias("node")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
-        further = live.filter(F.col("depth") >= step).select(F.col("node").alias("up"), F.col("up").alias("next"))
-        live = live.join(given, "node", "left").join(further, "up", "left")
-        state = cut_lineage(live.select("node", F.col("next").alias("up"), "depth", "reach", (F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("more_saved", F.lit(0))).alias("saved")))
-        step *= 2
-    for part in done:
-        state = state.unionByName(part)
-    return state.select("node", "leaves", "saved")
+def prefix_digests(rows: DataFrame) -> DataFrame:
+    """(conv, at, n, key, words) -> the same with the digest of all turns up to this one as key, and of those before as up."""
+    placed = F.sha2(F.concat(F.col("at").cast("string").cast("binary"), F.lit(b":"), "key"), 256)
+    lanes = [F.conv(F.substring(placed, first, 15), 16, 10).cast("long").alias(c) for c, first in (("low", 1), ("high", 16))]
+    summed = running(cut_lineage(rows.select("conv", "at", "n", "words", *lanes)), ["conv", "at"], ["conv", "at", "n", "words"], ["low", "high"])
+    key, up = (F.unhex(F.concat(*(F.lpad(F.hex(c + end), 16, "0") for c in ("low", "high")))) for end in ("", "_before"))
+    return summed.select("conv", "at", "n", "words", key.alias("key"), F.when(F.col("at") == 0, F.lit(ROOT)).otherwise(up).alias("up"))
+
+
+def sums_below(nodes: DataFrame, least: int | None) -> DataFrame:
+    """nodes (conv_id, depth, parent_conv_id, leaves, saved, ...) with leaves and saved over each node's subtree. least: the root's conv_id."""
+    hangs = F.col("parent_conv_id") != F.col("conv_id")
+    tops = [F.max(F.when(hangs, c)).alias(name) for c, name in ((F.col("parent_conv_id"), "on"), (F.col("depth") - 1, "place"))]
+    paths = nodes.groupBy(F.col("conv_id").alias("path")).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), *tops)
+    # The root's path hangs on none, so that nothing need point to it, on which most paths hang.
+    state = cut_lineage(paths.withColumn("up", F.when(F.col("on") != F.lit(least).cast("long"), F.col("on"))))
+    while not state.filter("up IS NOT NULL").isEmpty():
+        given = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("path")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+        further = state.filter("up IS NOT NULL").select(F.col("path").alias("up"), F.col("up").alias("next"))
+        met = state.join(given, "path", "left").join(further, "up", "left")
+        state = cut_lineage(met.select("path", F.col("next").alias("up"), "on", "place", (F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("more_saved", F.lit(0))).alias("saved")))
+    hung = state.filter("on IS NOT NULL").groupBy(F.col("on").alias("conv_id"), F.col("place").alias("depth")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+    own = nodes.join(hung, ["conv_id", "depth"], "left").withColumn("leaves", F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).withColumn("saved", F.col("saved") + F.coalesce("more_saved", F.lit(0)))
+    keep = [c for c in nodes.columns if c not in ("conv_id", "leaves", "saved")]
+    return running(cut_lineage(own.withColumn("conv", F.col("conv_id")).withColumn("from_end", -F.col("depth"))), ["conv", "from_end"], ["conv", *keep], ["leaves", "saved"]).withColumnRenamed("conv", "conv_id")
 
 
 def ends(members: DataFrame) -> DataFrame:
@@ -163,23 +190,22 @@ def ends(members: DataFrame) -> DataFrame:
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node."""
-    root = F.lit(ROOT)
+    root, zero = F.lit(ROOT), F.lit(0).cast("long")
     rows, known = rebuilt(turns_in_place(conversations))
-    least, longest = known.agg(F.min("conv"), F.coalesce(F.max("n"), F.lit(0))).first()
-    prefixes = cut_lineage(prefix_digests(rows, longest))
-    nodes = prefixes.groupBy(F.col("key").alias("node")).agg((F.first("at") + 1).alias("depth"), F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.first("words").alias("words"), F.max("n").alias("reach"))
-    above = prefixes.select(F.col("conv").alias("conv_id"), (F.col("at") + 2).alias("depth"), F.col("key").alias("up"))
-    nodes = nodes.join(above, ["conv_id", "depth"], "left").withColumn("up", F.coalesce("up", root))
-    top = known.groupBy().agg(F.min("conv").alias("conv_id"), F.lit(0).cast("long").alias("depth"), root.alias("node"), F.count(F.lit(1)).alias("n_convs"), F.lit(0).cast("long").alias("words"), F.max("n").alias("reach"), F.lit(None).cast("binary").alias("up"))
+    least = known.agg(F.min("conv")).first()[0]
+    prefixes = prefix_digests(rows)
+    nodes = prefixes.groupBy(F.col("key").alias("node")).agg((F.first("at") + 1).alias("depth"), F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.first("words").alias("words"), F.first("up").alias("up"))
+    top = known.groupBy().agg(root.alias("node"), zero.alias("depth"), F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), zero.alias("words"), F.lit(None).cast("binary").alias("up"))
     nodes = cut_lineage(nodes.unionByName(top.filter("n_convs > 0")))
     children = nodes.filter("depth > 0").groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = cut_lineage(nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
-    sums = sums_below(nodes.select("node", "up", "depth", "reach", (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved")), longest)
+    parents = nodes.filter("depth > 0").select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id"))
+    parent = F.when(F.col("depth") == 1, F.lit(least).cast("long")).otherwise(F.col("parent_conv_id"))
+    n_children = F.coalesce("n_children", F.lit(0)).cast("long")
+    linked = nodes.join(children, "node", "left").join(parents, "up", "left")
+    linked = cut_lineage(linked.select("node", "conv_id", "depth", parent.alias("parent_conv_id"), "n_convs", n_children.alias("n_children"), (n_children == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved")))
     ended = ends(prefixes.filter("at + 1 = n").select(F.col("key").alias("node"), "conv").unionByName(known.filter("n = 0").select(root.alias("node"), "conv")))
-    parents = nodes.select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id")).filter(F.col("up") != root)
-    out = nodes.join(sums, "node").join(ended, "node", "left").join(parents, "up", "left")
-    parent = F.when(F.col("depth") == 1, F.lit(least)).otherwise(F.col("parent_conv_id"))
-    return out.select("conv_id", "depth", parent.alias("parent_conv_id"), "n_convs", "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+    out = sums_below(linked, least).join(ended, "node", "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

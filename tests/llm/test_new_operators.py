@@ -151,6 +151,24 @@ def test_trie_of_long_conversations(spark):
     assert found(spark, rows) == trie(rows)
 
 
+def test_trie_of_branches_on_branches(spark):
+    """Each conversation leaves the one before a turn later, the longest begin with the same turns."""
+    rows = [(20 * c, t, "user", f"t{t} x" if t < c else f"own {c}") for c in range(9) for t in range(12 - c % 3)]
+    assert found(spark, rows) == trie(rows)
+
+
+def test_plans_do_not_grow_with_the_longest_conversation(spark, monkeypatch):
+    """Each plan costs the driver memory, so that one long conversation must not add any."""
+    cuts = []
+    monkeypatch.setattr(CV, "cut_lineage", lambda df, cut=CV.cut_lineage: (cuts.append(1), cut(df))[1])
+    rows = [(20 * c, t, "user", f"t{t}" if t < 2 else f"own {c}") for c in range(4) for t in range(3)]
+    assert found(spark, rows) == trie(rows)
+    few = len(cuts)
+    rows += [(60, t, "user", "more") for t in range(3, 300)]
+    assert found(spark, rows) == trie(rows)
+    assert len(cuts) == 2 * few
+
+
 def test_trie_of_one_crowd(spark, monkeypatch):
     """A third of the conversations are copies: their ids go to the hash in several texts."""
     monkeypatch.setattr(CV, "RUN", 7)

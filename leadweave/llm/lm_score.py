@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, byte_chunks, cut_lineage, mix, runs, table
+from .common import U64, Words, byte_chunks, cut_lineage, give_back, mix, runs, table
 from .language import fold_of
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -47,6 +47,8 @@ HEAD_TOKENS = 400_000
 #: Bits of an n-gram's hash that are kept below those of its slice.
 REST = 40
 FLUSH_TOKENS = 1_000_000
+#: Tokens that are scored at once; temporaries take about a hundred bytes each.
+SCORE_TOKENS = 250_000
 
 
 def token_hashes(texts: pa.Array, words: Words):
@@ -63,6 +65,16 @@ def token_hashes(texts: pa.Array, words: Words):
         yield row, tokens, starts
 
 
+def portions(batch: pa.RecordBatch, lengths: np.ndarray):
+    """A batch in runs of whole rows of ``SCORE_TOKENS`` tokens at most, or one longer row."""
+    ends, row = np.cumsum(lengths), 0
+    while row < len(ends):
+        before = ends[row] - lengths[row]
+        end = max(row + 1, int(np.searchsorted(ends, before + SCORE_TOKENS, side="right")))
+        yield batch.slice(row, end - row), lengths[row:end]
+        row = end
+
+
 def ngrams(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """Hashes of the 1-, 2-, ... order-grams that end at each token; 0 where the text has too few tokens before."""
     out = [tokens]
@@ -203,6 +215,7 @@ def corpus_counts(texts: DataFrame, order: int, slice_bits: int) -> DataFrame:
                     yield from flush()
                     waiting = 0
         yield from flush()
+        give_back()
 
     def total(rows: pa.Table) -> pa.Table:
         n, part = rows.column("n")[0].as_py(), rows.column("slice")[0].as_py()
@@ -406,11 +419,13 @@ def training_cases(coded: DataFrame, model: Model):
     def count(batches):
         held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            cases = model.cases(b"".join(batch.column(1).to_pylist()), batch.column(0).to_numpy())
-            for parts, found in zip(held, np.unique(cases, return_counts=True), strict=True):
-                parts.append(found)
-            cases, where = np.unique(np.concatenate(held[0]), return_inverse=True)
-            held = [cases], [np.bincount(where, weights=np.concatenate(held[1]), minlength=len(cases)).astype(np.int64)]
+            for some, lengths in portions(batch, batch.column(0).to_numpy()):
+                cases = model.cases(b"".join(some.column(1).to_pylist()), lengths)
+                for parts, found in zip(held, np.unique(cases, return_counts=True), strict=True):
+                    parts.append(found)
+                cases, where = np.unique(np.concatenate(held[0]), return_inverse=True)
+                held = [cases], [np.bincount(where, weights=np.concatenate(held[1]), minlength=len(cases)).astype(np.int64)]
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)) for parts in held], names=["case", "times"])
 
     return coded.select("n_tokens", "levels").mapInArrow(count, "case long, times long").groupBy("case").agg(F.sum("times").alias("times")).orderBy("case").toPandas()
@@ -426,12 +441,11 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     n_all, v_all = facts["n"] or 0, facts["v"] or 0
     whole = n_all + 0.5 * (v_all + 1)
     head, times, tail = head_and_tail(counts, slice_bits)
-    known = spark.sparkContext.broadcast((head, times))
+    known = spark.sparkContext.broadcast((head, np.log10(times + 0.5)))
 
     def code(ids, held_out, parts) -> pa.RecordBatch:
         """Each document's sums over its frequent tokens, its other tokens, and the levels of its n-grams, a byte each."""
-        head, times = known.value
-        logs = np.log10(times + 0.5)
+        head, logs = known.value
         out: list[list] = [[] for _ in range(3)]
         others, ends, levels_ = [], [np.zeros(1, np.int64)], []
         for tokens, starts, found in parts:
@@ -463,14 +477,14 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
         def probe(batches):
             words = Words(separators=SPACES)
             for batch in batches:
-                parts = []
-                for _, tokens, starts in token_hashes(batch.column(2), words):
+                for row, tokens, starts in token_hashes(batch.column(2), words):
                     found = []
                     for n, hashes in enumerate(ngrams(tokens, starts, order), 1):
                         keys, where = np.unique(hashes, return_inverse=True)
                         found.append(bloom.value.level(n, keys)[where].astype(np.uint8))
-                    parts.append((tokens, starts, found))
-                yield code(batch.column(0), batch.column(1), parts)
+                    some = batch.slice(row, len(starts) - 1)
+                    yield code(some.column(0), some.column(1), [(tokens, starts, found)])
+            give_back()
 
         coded = rows.mapInArrow(probe, kinds)
     else:
@@ -482,10 +496,11 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
 
     def score(batches):
         for batch in batches:
-            lengths = batch.column(1).to_numpy()
-            each = model.log_probabilities(model.cases(b"".join(batch.column(2).to_pylist()), lengths))
-            sums = np.add.reduceat(each, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4, 5, 6)), pa.array(sums)], names=["row", "n_tokens", "doc_id", "held_out", "known", "base", "score"])
+            for some, lengths in portions(batch, batch.column(1).to_numpy()):
+                each = model.log_probabilities(model.cases(b"".join(some.column(2).to_pylist()), lengths))
+                sums = np.add.reduceat(each, np.cumsum(lengths) - lengths)
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in (0, 1, 3, 4, 5, 6)), pa.array(sums)], names=["row", "n_tokens", "doc_id", "held_out", "known", "base", "score"])
+        give_back()
 
     rare = coded.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times"))
     met = rare.join(tail, "token").groupBy("row").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log10(F.col("count") + 0.5)).alias("met_base"))

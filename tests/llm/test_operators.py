@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -432,6 +433,38 @@ def test_lm_filter_is_not_capped(spark, monkeypatch):
     assert sorted(map(str, LM.score_documents(docs, LM.fold_of("doc_id", 5) != 1).collect())) == whole
 
 
+def test_lm_array_work_does_not_grow_with_a_batch_of_long_texts():
+    """A worker took some hundred bytes for each token of a batch of any size."""
+
+    class Coded:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, count, _):
+            tracemalloc.start()
+            self.found, self.peak = next(count([batch])), tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            raise StopIteration
+
+    rows, tokens = 2000, 1000
+    levels = np.random.default_rng(3).integers(0, 4, (rows, 2 * tokens)).astype(np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([tokens] * rows, pa.int64()), pa.array([x.tobytes() for x in levels], pa.binary())], names=["n_tokens", "levels"])
+    coded, model = Coded(), LM.Model(2, 1e6)
+    with pytest.raises(StopIteration):
+        LM.training_cases(coded, model)
+    cases, times = np.unique(model.cases(levels.tobytes(), np.full(rows, tokens)), return_counts=True)
+    assert coded.found.column(0).to_pylist() == cases.tolist() and coded.found.column(1).to_pylist() == times.tolist()
+    assert coded.peak < 50e6
+
+
+def test_lm_portions():
+    lengths = np.array([LM.SCORE_TOKENS, 1, LM.SCORE_TOKENS - 1, 1, 2 * LM.SCORE_TOKENS, 5, 6])
+    batch = pa.RecordBatch.from_arrays([pa.array(lengths)], names=["n"])
+    found = list(LM.portions(batch, lengths))
+    assert [some.column(0).to_pylist() for some, _ in found] == [own.tolist() for _, own in found]
+    assert [len(own) for _, own in found] == [1, 2, 1, 1, 2] and not list(LM.portions(batch.slice(7), lengths[7:]))
+
+
 def test_lm_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
     texts, fitted = make_texts(1300, 15, words=(3, 9)), []
     fit = LM.Model.fit

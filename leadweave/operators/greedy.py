@@ -7,7 +7,8 @@ Four ways, each for what the one before is slow at:
 - *Conditions.* Ranges of ``seq`` are read at once, each by one task that does not know what the ranges before it take. Rows whose
   answer hangs on one such unknown follow it or its opposite; a row that both a thing and its opposite block is dropped. What a
   range says about its keys at its end defines the unknowns of later ranges. If there are few of these, one task solves them
-  in order, and all rows have their answers: two passes, whatever the length of chains.
+  in order, and all rows have their answers: two passes, whatever the length of chains. Rows move once, into their ranges; the
+  keys that several ranges hold come to them.
 - *Chains.* Where rows of far ranges hang together, a row whose only undecided forerunner is one row is kept if and only if that one is not. Such rows point to their
   forerunners; pointers that double their reach, and carry whether they have turned the answer an odd number of times,
   settle a chain of any length in a number of rounds that grows with its logarithm.
@@ -30,6 +31,8 @@ from .lineage import cut_lineage, fresh_folder
 
 #: Rounds of firsts or chains, the share of rows that a round must settle to be worth another of its kind, and the keys of a range.
 ROUNDS, WORTH, RANGE_KEYS = 24, 0.25, 250_000
+#: Firsts for each key below which conditions are tried at once.
+FEW = 0.01
 
 
 def greedy_distinct(df: DataFrame, keys: str = "keys", seq: str = "seq", rounds: int = ROUNDS, range_keys: int = RANGE_KEYS) -> DataFrame:
@@ -39,13 +42,16 @@ def greedy_distinct(df: DataFrame, keys: str = "keys", seq: str = "seq", rounds:
     for _ in range(rounds):
         if not size:
             break
-        if slow and not tried:
-            tried, found = True, conditional(left, math.ceil(size / range_keys), range_keys)
-            if found is not None:
-                kept.append(found)
+        found = None if slow and not tried else cut_lineage(chained(left) if slow else firsts(left))
+        # Firsts that are this few hardly settle anything: what they block is not worth looking for before the conditions are tried.
+        if not tried and (found is None or found.count() < FEW * size):
+            tried, all_kept = True, conditional(left, math.ceil(size / range_keys), range_keys)
+            if all_kept is not None:
+                kept.append(all_kept)
                 size = 0
                 break
-        found = cut_lineage(chained(left) if slow else firsts(left))
+        if found is None:
+            found = cut_lineage(chained(left))
         kept.append(found)
         left = cut_lineage(without_blocked(left, found))
         before, size = size, left.count()
@@ -86,19 +92,25 @@ CONDITIONS = 4
 
 def conditional(left: DataFrame, ranges: int, most: int) -> DataFrame | None:
     """(seq) of the rows kept; None if the ranges hang together by more than ``most`` definitions."""
-    rows = cut_lineage(left.repartitionByRange(ranges, "seq").withColumn("block", F.spark_partition_id()))
-    spread = rows.groupBy("key").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").select("key")
-    held = rows.join(spread, "key", "left_semi").select("key", "block").distinct()
+    rows = cut_lineage(left.repartitionByRange(ranges, "seq").sortWithinPartitions("seq").withColumn("block", F.spark_partition_id()))
+    spread = cut_lineage(rows.groupBy("key").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").select("key"))
+    # Each key of several ranges is defined by all of them but the last, so that what is broadcast here is bounded by ``most``.
+    if spread.count() > most:
+        return None
+    held = rows.join(F.broadcast(spread), "key", "left_semi").select("key", "block").distinct()
     around = Window.partitionBy("key").orderBy("block")
-    held = held.select("key", "block", F.lag("block").over(around).alias("before"), F.lead("block").over(around).isNotNull().alias("later"))
-    marked = rows.join(cut_lineage(held), ["key", "block"], "left").select("block", "seq", "key", "before", F.coalesce("later", F.lit(False)).alias("later"))
-    said = cut_lineage(marked.repartition(ranges, "block").sortWithinPartitions("block", "seq").mapInArrow(_under_conditions, SAID))
+    held = cut_lineage(held.select("key", "block", F.lag("block").over(around).alias("before"), F.lead("block").over(around).isNotNull().alias("later")))
+    if held.filter("later").count() > most:
+        return None
+    # Rows stay where they are: a range is a partition, in order of seq.
+    marked = rows.join(F.broadcast(held), ["key", "block"], "left").select("block", "seq", "key", "before", F.coalesce("later", F.lit(False)).alias("later"))
+    said = cut_lineage(marked.mapInArrow(_under_conditions, SAID))
     definitions = said.filter("op IS NOT NULL").select("block", "place", "node", "op", "blockers")
     if definitions.count() > most:
         return None
     solved = cut_lineage(definitions.repartition(1).sortWithinPartitions("block", "place").mapInArrow(_solved, "node string, holds boolean"))
     rows = said.filter("seq IS NOT NULL")
-    hang = rows.filter("node IS NOT NULL").join(solved, "node").filter("holds <> odd").select("seq")
+    hang = rows.filter("node IS NOT NULL").join(F.broadcast(solved), "node").filter("holds <> odd").select("seq")
     return rows.filter("node IS NULL").select("seq").unionByName(hang)
 
 

@@ -63,6 +63,21 @@ def test_braids_settle_in_two_passes(spark, monkeypatch, range_keys):
     assert sorted(r["seq"] for r in dedup.greedy_distinct(df, range_keys=range_keys).collect()) == greedy(rows)
 
 
+def test_braids_look_for_nothing_that_firsts_block(spark, monkeypatch):
+    """One row comes first in all of its keys: what it blocks took five joins of all rows, for a handful of them."""
+    rows = [(i, [f"a{i}", f"a{i + 1}"] + [f"b{i - i % 7}"] * (i % 7 in (3, 5))) for i in range(2000)]
+    monkeypatch.setattr(greedy_module, "without_blocked", None)
+    df = spark.createDataFrame(rows, "seq long, keys array<string>")
+    assert sorted(r["seq"] for r in dedup.greedy_distinct(df, range_keys=900).collect()) == greedy(rows)
+
+
+def test_ranges_that_hang_together_are_not_read(spark, monkeypatch):
+    """Keys of several ranges are counted before any range is read row by row."""
+    left = spark.createDataFrame([(i, f"k{i % 500}") for i in range(2000)], "seq long, key string")
+    monkeypatch.setattr(greedy_module, "_under_conditions", None)
+    assert greedy_module.conditional(left, 4, 499) is None
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_conditional(spark, seed):
     """Ranges that hang together in all ways: rows with several conditions, keys of many ranges, one range."""
